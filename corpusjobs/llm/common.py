@@ -49,3 +49,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def power_of_two(least: int, low: int, high: int) -> int:
     """The smallest power of two that is at least `least`, held between low and high."""
     return max(low, min(high, 1 << max(0, int(least) - 1).bit_length()))
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is in `ids` (distinct). The ids are broadcast while there are few (16 MB at most);
+    with more, both sides are shuffled by doc_id."""
+    ids = cut(ids.select(F.col("doc_id").alias("_drop")))
+    side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    return docs.join(side, docs["doc_id"] == F.col("_drop"), "left_anti")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import ascii_lower, cut, power_of_two, text_or_empty
+from corpusjobs.llm.common import ascii_lower, cut, drop_rows, power_of_two, text_or_empty
 
 WINDOW = 10
 #: Everything between words, once A-Z are lower case.
@@ -149,5 +149,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark window, with all their columns."""
-    dirty = mark(docs.select("doc_id", "text"), benchmark).filter("n_hit > 0").select(F.col("doc_id").alias("_dirty")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("_dirty")), "left_anti")
+    dirty = mark(docs.select("doc_id", "text"), benchmark).filter("n_hit > 0").select("doc_id").distinct()
+    return drop_rows(docs, dirty)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import decontam, exact_dedup, packing, token_counts
+from corpusjobs.llm import decontam, exact_dedup, packing, simhash, token_counts
 from corpusjobs.llm.common import read_table
 
 
@@ -33,6 +33,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.find_groups(read_table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
