@@ -4,10 +4,10 @@ Grades: 0 harmful (labelled toxic), 1 poor (quality 0), 2 good. One weight vecto
 thresholds t0 < t1 give P(grade <= k) = 1 / (1 + exp(-(t_k - w.x))). A document gets its expected grade and its tail
 probability P(grade >= 2), by which documents are selected.
 
-x: each distinct word, lower-cased and stripped of signs at its ends, hashes to one of `DIMENSIONS` places (present or
-not, so that a harmful word weighs the same in a long text); and the shares of words that are upper case, carry signs,
-repeat the word before, or are the text's commonest word hash with their tenth. Words met in fewer than `MIN_DOCS`
-sampled documents weigh nothing.
+x: each distinct word, lower-cased and stripped of signs at its ends, and its first `STEM` letters hash to one of
+`DIMENSIONS` places each (present or not, so that a harmful word weighs the same in a long text); so does each level
+of `LEVELS` that the share of words reaches which are upper case, carry signs, repeat the word before, or are the text's
+commonest word. Places met in fewer than `MIN_DOCS` sampled documents weigh nothing.
 
 The model is fitted on at most `MAX_TRAIN` labelled documents, in the order of a hash of their doc_id, with all their
 text; every document is scored, whole. Fitting is numpy on the driver, its size bounded by that sample.
@@ -31,23 +31,26 @@ from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import cut, drop_rows, small_batches
 
-MAX_TRAIN, DIMENSIONS, MIN_DOCS = 8192, 1 << 18, 5
+MAX_TRAIN, DIMENSIONS, MIN_DOCS = 8192, 1 << 18, 20
+STEM, LEVELS = 4, (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 GRADES, GOOD, TAIL = 3, 2, 0.5
-ROUNDS, STEP, SHRINK = 150, 0.1, 3e-5
+#: Steps of the fit, their size, the pull of each weight to zero and what each step takes off its size.
+ROUNDS, STEP, SHRINK, LASSO = 150, 0.1, 1e-4, 0.03
 MEMO = 500_000
 #: Signs that end a word in ordinary prose.
 STOPS = ".,;:!?"
 
 
 class Words(dict):
-    """word -> (place of its core, upper case?, signs other than one stop at its end?)."""
+    """word -> (places of its core and stem, upper case?, signs other than one stop at its end?)."""
 
-    def __missing__(self, word: str) -> tuple[int, bool, bool]:
+    def __missing__(self, word: str) -> tuple[int, int, bool, bool]:
         if len(self) > MEMO:
             self.clear()
         core = word.strip("".join(set(word) - {c for c in word if c.isalnum()})) if not word.isalnum() else word
         tail = word[:-1] if word[-1] in STOPS else word
-        found = self[word] = (place(core.lower() or word), len(core) > 1 and core.isupper(), not tail.isalnum())
+        low = core.lower() or word
+        found = self[word] = (place(low), place("\x01" + low[:STEM]), len(core) > 1 and core.isupper(), not tail.isalnum())
         return found
 
 
@@ -68,13 +71,13 @@ def features(text: str | None) -> list[int]:
     n = len(words)
     repeats = sum(map(str.__eq__, words, words[1:]))
     shares = {
-        "upper": sum(c for c, i in zip(counts.values(), info) if i[1]),
-        "signs": sum(c for c, i in zip(counts.values(), info) if i[2]),
+        "upper": sum(c for c, i in zip(counts.values(), info) if i[2]),
+        "signs": sum(c for c, i in zip(counts.values(), info) if i[3]),
         "again": repeats,
         "top": max(counts.values()),
     }
-    on = {i[0] for i in info}
-    on.update(place(f"\x00{name}{10 * k // n}") for name, k in shares.items())
+    on = {p for i in info for p in i[:2]}
+    on.update(place(f"\x00{name}{level}") for name, k in shares.items() for level in LEVELS if k >= level * n)
     return sorted(on)
 
 
@@ -121,6 +124,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         moment[1] = 0.99 * moment[1] + 0.01 * g * g
         move = STEP * (moment[0] / (1 - 0.9**k)) / (np.sqrt(moment[1] / (1 - 0.99**k)) + 1e-8)
         w, t = w + move[:-2], t + move[-2:]
+        w = np.sign(w) * np.maximum(np.abs(w) - LASSO, 0)
     weights = np.zeros(DIMENSIONS)
     weights[names] = w
     return Model(weights, np.array([t[0], t[0] + np.exp(t[1])]))
