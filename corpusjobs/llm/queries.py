@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import decontam, exact_dedup, langid, packing, quality, simhash, token_counts
+from corpusjobs.llm import decontam, exact_dedup, langid, packing, quality, simhash, suffix_dedup, token_counts
 from corpusjobs.llm.common import read_table
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_held_out(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
+        "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_quality_classifier": op5_quality_classifier,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
