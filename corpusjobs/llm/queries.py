@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import decontam, exact_dedup, langid, packing, quality, simhash, suffix_dedup, token_counts
+from corpusjobs.llm import decontam, exact_dedup, langid, licences, packing, pii, quality, simhash, suffix_dedup, token_counts
 from corpusjobs.llm.common import read_table
 
 
@@ -17,6 +17,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -37,6 +41,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replaced(docs)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(read_table(spark, sf_dir, "documents"))
 
@@ -89,10 +98,12 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_language_id": op3_language_id,
         "op4_suffix_array_dedup": op4_suffix_array_dedup,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_pii_surrogates": op6_pii_surrogates,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
