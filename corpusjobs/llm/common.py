@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import string
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,4 +57,23 @@ def drop_rows(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 2_000_000) -
     with more, both sides are shuffled by doc_id."""
     ids = cut(ids.select(F.col("doc_id").alias("_drop")))
     side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    return docs.join(side, docs["doc_id"] == F.col("_drop"), "left_anti")
+    return docs.join(side, docs["doc_id"] == side["_drop"], "left_anti")
+
+
+class Memo(dict):
+    """What a function gave for the keys met so far. Keeps between `limit` and twice as many, dropping those not met for
+    longest; lives in a Python worker."""
+
+    def __init__(self, work: Callable, limit: int):
+        super().__init__()
+        self.work, self.limit, self.old = work, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.work(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -20,45 +20,67 @@ ignored (`packed_documents` returns one row for each piece, with its token ids).
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import cut, small_batches
+from corpusjobs.llm.common import Memo, cut, small_batches
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker keeps; pieces of one length that are ranked by one task, about.
-MEMO, BUCKET_ROWS = 500_000, 20_000
+MEMO, BUCKET_ROWS = 600_000, 20_000
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian unsigned 32-bit numbers."""
+#: Fixed value: the pattern by which the vocabulary used here splits lower-case words, and the last plain character.
+#: Words of other characters, or that Unicode normalisation may change, take the library's path.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: str.split() takes NOT_SPACE for white space, the vocabulary does not.
+LAST_PLAIN, NOT_SPACE = "\u024f", "\x1c\x1d\x1e\x1f"
+_split = regex.compile(PIECES).findall
+
+
+class WordIds:
+    """Ids of texts as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.splits_on_space = all(self.ids(f"{a} {b}\n{a}") == self.ids(a) + self.ids(b) + self.ids(a) for a, b in (("one", "two"), ("it's", "...")))
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.special = [t["content"] for t in data["added_tokens"]]
+        self.by_piece = any((step.get("pattern") or {}).get("Regex") == PIECES for step in (data.get("pre_tokenizer") or {}).get("pretokenizers", []))
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(own)]
+        self.letter = {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
+        self.words, self.pieces = Memo(self._word, MEMO), Memo(self._piece, MEMO)
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > MEMO:
-            self.clear()
-        found = self[word] = self.ids(word)
-        return found
+    def _piece(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else "".join(map(self.letter.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        plain = self.by_piece and word.isprintable() and max(word) <= LAST_PLAIN and not any(s in word for s in self.special)
+        return b"".join(map(self.pieces.__getitem__, _split(word.lower()))) if plain else self.ids(word)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) if self.splits_on_space else self.ids(text)
+        if not self.splits_on_space or any(c in text for c in NOT_SPACE):
+            return self.ids(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _WORDS: dict[str, WordIds] = {}
