@@ -76,21 +76,16 @@ def find_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def kept_documents(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs without the later copies, all columns kept; texts that occur once are not shuffled."""
-    names = docs.columns
-    keyed = docs.withColumn("_norm", normalised(text_or_empty())).select(
-        *[F.col(f"`{c}`") for c in names], F.xxhash64("_norm").alias("h"), F.unhex(F.sha2("_norm", 256)).alias("_sha")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), normalised(text_or_empty()).alias("norm")).select(
+        "row", "id", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha")
     )
-    digests = cut(keyed.select("doc_id", "h", "_sha"))
+    digests = cut(keyed.select("id", "h", "sha"))
     bits = power_of_two(BITS_PER_ROW * digests.count(), MIN_BITS, max_bits)
     slots = repeated_slots(digests, bits)
-    groups = (
-        with_maybe_repeated(digests, slots, bits).filter("maybe").groupBy("_sha").agg(F.min("doc_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    )
+    groups = with_maybe_repeated(digests, slots, bits).filter("maybe").groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
     seen = with_maybe_repeated(keyed, slots, bits)
-    once = seen.filter(~F.col("maybe")).select(names)
-    first = groups.filter("_n > 1")
-    maybe = seen.filter("maybe")
-    single = groups.filter("_n = 1").select("_sha")
-    alone = maybe.join(single, "_sha", "left_semi").select(names)
-    firsts = maybe.join(first, (maybe["_sha"] == first["_sha"]) & maybe["doc_id"].eqNullSafe(first["_keep"]), "left_semi")
-    return once.unionByName(alone).unionByName(firsts.dropDuplicates(["doc_id", "_sha"]).select(names))
+    once, maybe = seen.filter(~F.col("maybe")).select("row.*"), seen.filter("maybe")
+    alone = maybe.join(groups.filter("n = 1").select("sha"), "sha", "left_semi").select("row.*")
+    first = groups.filter("n > 1").withColumnRenamed("sha", "of")
+    firsts = maybe.join(first, (F.col("sha") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
+    return once.unionByName(alone).unionByName(firsts.dropDuplicates(["id", "sha"]).select("row.*"))

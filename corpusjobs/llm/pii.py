@@ -15,7 +15,8 @@ entity that really occurs. Those that are get the next attempt, until none is le
 joined back to the documents that need them. The text is otherwise unchanged.
 
 Edge cases: null text stays null with no entities; where patterns overlap the type named first wins; repeated rows are
-replaced row by row, alike; an empty table gives an empty result; `replaced` carries other columns.
+replaced row by row, alike; an empty table gives an empty result; `replaced` carries other columns, but for
+those named as the ones it adds.
 """
 
 from __future__ import annotations
@@ -253,6 +254,7 @@ def settle(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """docs with text replaced, plus n_entities and kinds (an entity kind for each occurrence, in order)."""
     small_batches(docs.sparkSession)
+    docs = docs.drop("n_entities", "kinds", "_moved")
     found = cut(find_entities(docs))
     settled = settle(found.select("kind", "canon").distinct(), key)
     later = settled.filter("attempt > 0").select("kind", "canon", "attempt")

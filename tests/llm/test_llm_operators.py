@@ -1,0 +1,331 @@
+"""The operators against plain Python over small tables with the awkward cases in them."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from corpusjobs.llm import decontam, exact_dedup, langid, licences, packing, pii, quality, simhash, suffix_dedup, token_counts
+from corpusjobs.llm.components import components
+from corpusjobs.llm.queries import vocabulary
+
+SCHEMA = "doc_id long, text string, lang string, source string, words int, h long"
+WORDS = "alpha beta gamma delta the of and to in ein der la le que zwei drei quatre cinco seis sette".split()
+
+
+def table(spark, texts, langs=None):
+    """A documents table with extra columns whose names the operators use inside."""
+    rows = [(n, t, (langs or {}).get(n, "en"), "s", 1, 2) for n, t in texts]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id") if rows else spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(WORDS) + str(rng.randint(0, 30)) for _ in range(n))
+    base = [prose(rng.randint(5, 80)) for _ in range(60)]
+    passage = prose(14)
+    out = [*base, *base[:10], base[3].replace(" ", "\t\n"), None, "", "   \n", "a", "x" * 120, "ab" * 100, "ab" * 100 + "c"]
+    out += [prose(20) + " " + passage + " " + prose(12) for _ in range(8)]
+    out += [base[7] + " tail", base[8][:-1], "Übung É é " * 12, "Übung É é " * 12 + "!", "long " * 3000 + prose(2500), "\x00\x1c odd \x85 bytes <|endoftext|> here"]
+    rows = list(enumerate(out))
+    return rows + [rows[5], rows[5]]
+
+
+def by_id(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r["doc_id"], []).append(r.asDict())
+    return out
+
+
+def test_exact_dedup(spark, texts):
+    got = by_id(exact_dedup.find_copies(table(spark, texts)))
+    norm = {n: re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for n, t in texts}
+    sizes, first = Counter(), {}
+    for n, t in texts:
+        sizes[norm[n]] += 1
+        first.setdefault(norm[n], n)
+    assert Counter({k: len(v) for k, v in got.items()}) == Counter(n for n, _ in texts)
+    for n, rows in got.items():
+        t = norm[n]
+        for r in rows:
+            assert (r["keep_id"], r["group_size"], r["kept"]) == (first[t], sizes[t], first[t] == n)
+            assert r["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
+    kept = exact_dedup.kept_documents(table(spark, texts), max_bits=1 << 16)
+    assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
+    assert exact_dedup.find_copies(table(spark, [])).count() == 0
+
+
+def test_decontamination(spark, texts):
+    item = next(t for n, t in texts if t and "alpha" in t and len(t.split()) > 12)
+    shared = [t for _, t in texts if t and len(t.split()) > 40][-1]
+    items = [(1, item), (2, "the"), (3, " ".join(shared.split()[22:33])), (4, None), (5, "???"), (6, item), (7, "gamma3 Übung"), (8, "Übung É é Übung")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(lower))
+    windows = {}
+    for n, t in items:
+        w = words(t)
+        for s in range(max(len(w) - 9, 1) if w else 0):
+            windows.setdefault(tuple(w[s : s + 10]), set()).add(str(n))
+    for got in (by_id(decontam.find_leaks(table(spark, texts), bench)),):
+        for n, t in texts:
+            w, hit, found = words(t), set(), set()
+            for size in {len(x) for x in windows}:
+                for s in range(len(w) - size + 1):
+                    if (x := tuple(w[s : s + size])) in windows:
+                        hit.update(range(s, s + size))
+                        found |= windows[x]
+            for r in got[n]:
+                want = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+                assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want
+    shuffled = decontam.mark(table(spark, texts), bench, broadcast_windows=0)
+    assert {(r["doc_id"], r["n_hit"]) for r in shuffled.collect()} == {(k, r["n_hit"]) for k, rows in got.items() for r in rows}
+    clean = decontam.clean_documents(table(spark, texts), bench)
+    assert {r["doc_id"] for r in clean.collect()} == {k for k, rows in got.items() if not rows[0]["contaminated"]}
+    empty = decontam.find_leaks(table(spark, texts), bench.limit(0))
+    assert empty.filter("contaminated").count() == 0 and empty.count() == len(texts)
+
+
+def test_token_counts(spark, texts):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    n_of = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    got = by_id(token_counts.count_tokens(table(spark, texts), path, limit=40))
+    for n, t in texts:
+        t = t or ""
+        for r in got[n]:
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n_of(t), n_of(t) > 40)
+            assert n_of(t[: r["limit_chars"]]) <= 40 and (n_of(t) > 40 or r["limit_chars"] == len(t))
+    counter = token_counts.counter(path)
+    rng = random.Random(9)
+    signs = ["a", "the", " ", "  ", "\n", "'s", "'ll", "é", "漢", "12", "!?", "\x1c", "\x85", "Z"]
+    for _ in range(300):
+        s = "".join(rng.choice(signs) for _ in range(12))
+        stored = counter.prefixes(s)
+        assert [counter.prefix_count(s, i, stored) for i in range(len(s) + 1)] == [n_of(s[:i]) for i in range(len(s) + 1)]
+    ends = {r["doc_id"]: (r["ends"], r["counts"]) for r in token_counts.store_prefixes(table(spark, texts), path).collect()}
+    assert all(ends[n][1][-1] == n_of(t) for n, t in texts if t)
+
+
+def test_packing(spark, texts):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = packing.pack(table(spark, texts), path, capacity=64).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for n, t in texts:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want = [(k, a, len(ids[a : a + 64]), zlib.crc32(ids[a : a + 64].tobytes())) for k, a in enumerate(range(0, len(ids), 64))]
+        assert sorted(set(got[n])) == want
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+    lengths = sorted((r["length"] for r in rows), reverse=True)
+    room = []
+    for n in lengths:  # one by one: best-fit decreasing
+        fit = min((k for k in range(len(room)) if room[k] >= n), key=lambda k: room[k], default=None)
+        if fit is None:
+            room.append(64 - n)
+        else:
+            room[fit] -= n
+    assert len(bins) == len(room)
+    assert packing.pack(table(spark, []), path).count() == 0
+
+
+def test_simhash(spark, texts):
+    rng = random.Random(3)
+    got = by_id(simhash.find_groups(table(spark, texts)))
+    prints = {}
+    for n, t in texts:
+        w = (t or "").encode().lower().split()
+        shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+        h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+        prints[n] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    leader = {n: n for n in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= 2 and leader[a] > leader[b]:
+                    leader[a], changed = leader[b], True
+    for n, rows in got.items():
+        for r in rows:
+            assert (r["fingerprint"], r["component_id"]) == (f"{prints[n]:016x}", leader[n])
+    # many shards, and dense clusters
+    seeds = [rng.getrandbits(64) for _ in range(40)]
+    many = list(dict.fromkeys(s ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for s in seeds for _ in range(15)))
+    signed = [(x - (1 << 64) if x >> 63 else x, n) for n, x in enumerate(many)]
+    joined = {r["node"]: r["component"] for r in components(simhash.links(spark.createDataFrame(signed, "fp long, first long"), shard_points=40)).collect()}
+    leader, changed = list(range(len(many))), True
+    near = [[b for b in range(len(many)) if (many[a] ^ many[b]).bit_count() <= 2] for a in range(len(many))]
+    while changed:
+        changed = False
+        for a, others in enumerate(near):
+            low = min(leader[b] for b in others)
+            if low < leader[a]:
+                leader[a], changed = low, True
+    assert [joined.get(n, n) for n in range(len(many))] == leader
+
+
+def test_components(spark):
+    chain = [(n, n + 1) for n in range(40)] + [(100, 101), (103, 102), (101, 102), (7, 7)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {**{n: 0 for n in range(41)}, **{n: 100 for n in range(100, 104)}}
+
+
+def test_suffix_dedup(spark, texts):
+    got = by_id(suffix_dedup.remove_repeats(table(spark, texts)))
+    kept = by_id(suffix_dedup.shortened(table(spark, texts)))
+    seen = {}
+    for n, t in sorted(dict(texts).items()):
+        b = (t or "").encode()
+        mark = bytearray(len(b))
+        own = set()
+        for s in range(len(b) - 49):
+            if b[s : s + 50] in seen:
+                mark[s : s + 50] = b"\x01" * 50
+            else:
+                own.add(b[s : s + 50])
+        for w in own:
+            seen[w] = n
+        left = bytes(c for c, m in zip(b, mark) if not m)
+        spans = len(re.findall(b"\x01+", bytes(mark)))
+        for r in got[n]:
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), sum(mark), spans, hashlib.sha256(left).hexdigest()), n
+        assert {bytes(r["kept"]) for r in kept[n]} == {left}
+    assert suffix_dedup.remove_repeats(table(spark, [])).count() == 0
+
+
+def test_loser_tree_merges_runs():
+    rng = np.random.default_rng(1)
+    rows = rng.integers(0, 3, (500, suffix_dedup.WIDTH)).astype(np.uint8)
+    rows[:, :4] = rng.integers(0, 2, (500, 4))
+    rows = np.concatenate([rows, rows[:100]])
+    doc = np.arange(600)
+    runs = []
+    for part in np.array_split(rng.permutation(600), 7):
+        run, first, last = suffix_dedup.sorted_run(rows[part] + 1, doc[part])
+        runs.append(suffix_dedup.Run(*suffix_dedup.front_code(run), first, last))
+    merged, common, first, last = suffix_dedup.merge(runs)
+    want = {}
+    for r, d in zip(rows + 1, doc):
+        want.setdefault(r.tobytes(), []).append(d)
+    assert [m.tobytes() for m in merged] == sorted(want)
+    assert [(a, b) for a, b in zip(first, last)] == [(min(want[k]), max(want[k])) for k in sorted(want)]
+    assert common[1:].tolist() == suffix_dedup.shared(merged)[1:].tolist()
+
+
+def test_language_id(spark):
+    rng = random.Random(6)
+    stems = {"aa": "ka lo mi ne pu".split(), "bb": "ru si ta vo xe".split(), "cc": "éa öl ñu ço ßi".split()}
+    texts, langs = [], {}
+    for n in range(120):
+        lang = list(stems)[n % 3]
+        texts.append((n, " ".join("".join(rng.choice(stems[lang]) for _ in range(3)) for _ in range(rng.choice([3, 30, 900])))))
+        langs[n] = lang
+    texts += [(200, None), (201, "123 !"), (202, ""), (203, "漢字")]
+    langs |= {203: None, 200: "aa"}
+    rows = by_id(langid.identify_held_out(table(spark, texts, langs)))
+    assert all(rows[n][0]["lang_pred"] == langs[n] for n in range(120))
+    assert [rows[n][0]["lang_pred"] for n in (200, 201, 202)] == ["und"] * 3
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == (zlib.crc32(str(n).encode()) % 5 == 0) for n, v in rows.items() for r in v)
+    nothing = langid.identify(table(spark, texts), table(spark, []))
+    assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+    # the folded table counts the phrases that a search in the sample finds
+    model = langid.Model({"aa": [texts[0][1]], "bb": [texts[1][1]]})
+    sample = [langid.letters(texts[0][1]), langid.letters(texts[1][1])]
+    text = langid.letters(texts[2][1] + " " + texts[3][1])[:900]
+    for k, s in enumerate(sample):
+        phrases, at = 0, 0
+        while at < len(text):
+            size = 1
+            while at + size <= len(text) and text[at : at + size] in s:
+                size += 1
+            at += max(1, size - 1)
+            phrases += 1
+        assert abs(model.phrases([text])[1][0, k] - phrases) <= 1 + 2 * sum(c not in s for c in text)
+
+
+def test_quality(spark, texts):
+    rng = random.Random(8)
+    docs, labels = [], []
+    for n in range(300):
+        words = [rng.choice(WORDS) + rng.choice("abc") for _ in range(rng.randint(20, 60))]
+        grade = n % 3
+        if grade == 0:
+            words[5] = words[9] = "vileword"
+        if grade == 1:
+            words = [w + "$$$" for w in words]
+        docs.append((n, " ".join(words)))
+        if n < 200:
+            labels.append((n, int(grade != 1), int(grade == 0)))
+    labels += [(0, 1, 0), (1000, 1, 0), (1, None, None)]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = by_id(quality.grade(table(spark, [*docs, (900, None), (901, "")]), lab))
+    assert all(got[n][0]["keep"] == (n % 3 == 2) for n in range(200, 300))
+    assert all(0 <= r["expected_grade"] <= 2 and 0 <= r["p_good"] <= 1 for v in got.values() for r in v)
+    assert set(got) == {*range(300), 900, 901}
+    kept = quality.selected(table(spark, docs), lab)
+    assert {r["doc_id"] for r in kept.collect()} == {n for n in range(300) if got[n][0]["keep"]} and "lang" in kept.columns
+    assert quality.grade(table(spark, texts), lab.limit(0)).filter("not keep").count() == 0
+
+
+def test_licences(spark):
+    texts = [(0, "some text here\nReleased under the MIT License."), (1, "RELEASED   under the mit license!"), (2, "nothing"), (3, None), (4, ""),
+             (5, licences._GRANT.replace("Software", "software")), (6, "All rights reserved."), (7, "Licensed under CC BY-NC 4.0.\n\nmore\nLicensed under the Apache License, Version 2.0."), (8, "word " * 5000)]
+    got = by_id(licences.scan(table(spark, texts)))
+    assert [got[n][0]["licence"] for n in range(9)] == ["MIT", "MIT", None, None, None, "MIT", "all-rights-reserved", "Apache-2.0", None]
+    index = licences.Index(licences.TEMPLATES, 0.6)
+    rng = random.Random(2)
+    for _ in range(300):  # pruning loses nothing
+        words = rng.choice(licences.TEMPLATES)[1].split()
+        stretch = " ".join(w for w in words if rng.random() > 0.12)
+        pairs = licences.bigrams(stretch)
+        dice = [2 * len(pairs & b) / max(1, len(pairs) + len(b)) for _, b in index.templates]
+        found = index.best(stretch)
+        assert (found[0] if found else 0) == (max(dice) if max(dice) >= 0.6 else 0)
+
+
+def test_pii(spark):
+    text = 'Write to Ann.Lee@mail.example.org or ANN.LEE@MAIL.EXAMPLE.ORG, +1 (017) 555-7713 / +1 017 555 7713, 4845168114407329, 10.1.2.3, token = "04dbebab91ab8568" Mr. Adam Stone and Mrs Eva Weber, г-н Иван Попов'
+    docs = [(0, text), (1, "no one"), (2, None), (3, "again 4845168114407329 and 4845 1681 1440 7329"), (4, "")] + [(10 + n, f"Mr. Otto Fam{c}") for n, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 2)]
+    out = pii.replaced(table(spark, docs), b"key")
+    got = by_id(out)
+    assert out.columns[:6] == ["doc_id", "text", "lang", "source", "words", "h"]
+    assert got[1][0]["text"] == "no one" and got[2][0]["text"] is None
+    assert got[0][0]["n_entities"] == 10
+    new = got[0][0]["text"]
+    mails = re.findall(r"\S+@[\w.]+\w", new)
+    assert mails[0].upper() == mails[1] and mails[0] != "ann.lee@mail.example.org" and re.fullmatch(r"\w{3}\.\w{3}@\w{4}\.\w{7}\.org", mails[0])
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} / \+1 \d{3} \d{3} \d{4}", new)
+    card = re.search(r", (\d{16}),", new).group(1)
+    assert got[3][0]["text"] == f"again {card} and {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}"
+    given, family = re.search(r"Mr. ([\w-]+) ([\w-]+) and", new).groups()
+    assert given.split("-")[0] in pii.GIVEN["latin", "m"] and family.split("-")[0] in pii.FAMILY["latin"]
+    assert re.search(r"г-н [А-Яа-яё-]+ [А-Яа-яё-]+", new)
+    people = {got[10 + n][0]["text"] for n in range(26)}
+    assert len(people) == 26 and people == {got[36 + n][0]["text"] for n in range(26)}  # distinct, and the same again
+    size = 1000
+    assert sorted(pii.permute(n, size, b"k", "x") for n in range(size)) == list(range(size))
