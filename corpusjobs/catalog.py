@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.plans import chunk_queries, ingest_queries, search_queries
+from corpusjobs.plans import answer_queries, chunk_queries, graph_queries, ingest_queries, search_queries
 
-MODULES = [ingest_queries, chunk_queries, search_queries]
+MODULES = [ingest_queries, chunk_queries, search_queries, graph_queries, answer_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
