@@ -9,7 +9,7 @@ before ends in a token that is stable next to t (the pair encodes to itself), so
 and one pass gives the count at every prefix of the piece. Counts of pieces add up, so a document's counts at the ends
 of its pieces are running sums, and the count of any prefix, or the longest prefix within a budget, needs the table of
 one piece only. Words recur and share prefixes, so each Python worker keeps the counts that it has worked out (at most
-`MEMO` of each kind, then it starts anew).
+2 * `MEMO` words and `PREFIXES` prefixes).
 
 The count is the library's for the whole text; special tokens written out in a text count as one token each, as is the
 library's default. The vocabulary file is a parameter, read on the executors.
@@ -31,10 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import small_batches
+from corpusjobs.llm.common import Memo, small_batches
 
 LIMIT = 512
-MEMO = 600_000
+MEMO, PREFIXES = 700_000, 1_000_000
+LAST = (1 << 20) - 1
 #: Longest piece, in bytes, whose prefixes are shared with other pieces.
 SHARED = 64
 #: Fixed value: the published pattern by which this family of vocabularies splits a text into pieces.
@@ -49,13 +50,13 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
-class Counter(dict):
-    """Counts for one vocabulary. As a dict: a run of characters between single spaces -> the tokens of the space and the
-    run; not a number where a space next to it need not start a piece (white space beside it, special tokens)."""
+class Counter:
+    """Counts for one vocabulary. runs: a run of characters between single spaces -> the tokens of the space and the run;
+    not a number where a space next to it need not start a piece (white space beside it, special tokens)."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.prefix: dict[bytes, tuple[int, int]] = {b"": (0, -1)}
+        self.runs = Memo(self._run, MEMO)
+        self.prefix: dict[bytes, int] = {b"": 0}
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         to_byte = _letters()
@@ -116,7 +117,7 @@ class Counter(dict):
         return counts
 
     def total(self, piece: str) -> int:
-        """The count of a whole piece. Pieces share prefixes, so their states (count, last token) are kept too."""
+        """The count of a whole piece. Pieces share prefixes, so their states, count << 20 | last token, are kept too."""
         data = piece.encode()
         n = len(data)
         if n > SHARED:
@@ -131,28 +132,27 @@ class Counter(dict):
                 t = age(data[j:i])
                 if t is None:
                     continue
-                count, last = known[data[:j]]
+                state = known[data[:j]]
                 if j:
+                    last = state & LAST
                     ok = stable.get((last, t))
                     if ok is None:
                         ok = stable[last, t] = self._stable(last, t)
                     if not ok:
                         continue
-                known[data[:i]] = (count + 1, t)
+                known[data[:i]] = (state | LAST) + 1 | t
                 break
-        return known[data][0]
-
-    def __missing__(self, run: str) -> float:
-        for memo in (self, self.prefix, self.stable):
-            if len(memo) > MEMO:
-                memo.clear()
-        self.prefix[b""] = (0, -1)
+        return known[data] >> 20
+
+    def _run(self, run: str) -> float:
+        if len(self.prefix) > PREFIXES:
+            self.prefix.clear()
+            self.prefix[b""] = 0
+        if len(self.stable) > MEMO:
+            self.stable.clear()
         if not run or run[0].isspace() or run[-1].isspace() or self.special is not None and self.special.search(run):
-            n = nan
-        else:
-            n = sum(map(self.total, _find(" " + run)))
-        self[run] = n
-        return n
+            return nan
+        return sum(map(self.total, _find(" " + run)))
 
     def pieces(self, text: str) -> list[tuple[str, int]]:
         """The pieces of a text in order, with their counts; a special token is a piece of one token."""
@@ -167,8 +167,8 @@ class Counter(dict):
 
     def count(self, text: str) -> int:
         runs = text.split(" ")
-        n = sum(map(self.__getitem__, runs[1:]))
-        if n != n or not runs[0] or self[runs[0]] != self[runs[0]]:
+        n = sum(map(self.runs.__getitem__, runs[1:]))
+        if n != n or not runs[0] or self.runs[runs[0]] != self.runs[runs[0]]:
             return sum(n for _, n in self.pieces(text))
         return n + sum(map(self.total, _find(runs[0])))
 
