@@ -47,7 +47,7 @@ def module_of(path: str) -> str:
 def python_rows(content: str, path: str) -> list[Row] | None:
     try:
         tree = ast.parse(content)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):  # the last two: nested too deeply
         return None
     package = module_of(path) if path.endswith("__init__.py") else module_of(path).rpartition(".")[0]
     rows: list[Row] = []
@@ -59,31 +59,37 @@ def python_rows(content: str, path: str) -> list[Row] | None:
         base = base[: len(base) - level + 1] if level > 1 else base
         return ".".join(filter(None, [*base, module]))
 
-    def walk(node: ast.AST, scope: str, of_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            inside, is_class = scope, of_class
-            match child:
-                case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
-                    inside, is_class = f"{scope}.{child.name}" if scope else child.name, isinstance(child, ast.ClassDef)
-                    kind = "class" if is_class else "method" if of_class else "function"
-                    first = min(n.lineno for n in (child, *child.decorator_list))
-                    rows.append(("symbol", first, child.end_lineno, child.name, inside, kind))
-                case ast.Call(func=ast.Name(id=name)) | ast.Call(func=ast.Attribute(attr=name)):
-                    rows.append(("call", child.lineno, None, name, scope or "<module>", ast.unparse(child.func)[:120]))
-                case ast.Call():
-                    pass
-                case ast.Import():
-                    rows.extend(("import", child.lineno, None, "", a.name, "") for a in child.names)
-                    continue
-                case ast.ImportFrom():
-                    module = absolute(child.module, child.level)
-                    rows.extend(("import", child.lineno, None, "" if a.name == "*" else a.name, module, "") for a in child.names)
-                    continue
-                case ast.expr():
-                    is_class = False
-            walk(child, inside, is_class)
-
-    walk(tree, "", False)
+    def written(func: ast.expr, name: str) -> str:
+        try:
+            return ast.unparse(func)[:120]
+        except RecursionError:
+            return name
+
+    # depth first with a stack of our own: trees can be deeper than calls may nest
+    todo: list[tuple[ast.AST, str, bool]] = [(n, "", False) for n in reversed(tree.body)]
+    while todo:
+        node, scope, of_class = todo.pop()
+        inside, is_class = scope, of_class
+        match node:
+            case ast.FunctionDef() | ast.AsyncFunctionDef() | ast.ClassDef():
+                inside, is_class = f"{scope}.{node.name}" if scope else node.name, isinstance(node, ast.ClassDef)
+                kind = "class" if is_class else "method" if of_class else "function"
+                first = min(n.lineno for n in (node, *node.decorator_list))
+                rows.append(("symbol", first, node.end_lineno, node.name, inside, kind))
+            case ast.Call(func=ast.Name(id=name)) | ast.Call(func=ast.Attribute(attr=name)):
+                rows.append(("call", node.lineno, None, name, scope or "<module>", written(node.func, name)))
+            case ast.Call():
+                pass
+            case ast.Import():
+                rows.extend(("import", node.lineno, None, "", a.name, "") for a in node.names)
+                continue
+            case ast.ImportFrom():
+                module = absolute(node.module, node.level)
+                rows.extend(("import", node.lineno, None, "" if a.name == "*" else a.name, module, "") for a in node.names)
+                continue
+            case ast.expr():
+                is_class = False
+        todo += [(child, inside, is_class) for child in reversed(list(ast.iter_child_nodes(node)))]
     return rows
 
 

@@ -227,3 +227,8 @@ def test_drafted_questions(spark):
     log = spark.createDataFrame([(1, "What is X? ", ["a", "a", "b", "c"]), (2, "what is x?", ["z"]), (3, "Other", [])], "position long, question string, sources array<string>")
     rows = evaluation.drafted_questions(log).orderBy("question_id").collect()
     assert [(r["question_id"], r["question"], r["expected_files"]) for r in rows] == [("real-1", "What is X? ", ["a", "b"]), ("real-2", "Other", [])]
+
+
+def test_deep_source():
+    assert S.chunks_of("(" * 5000, ".py", 1500, 5)[0][:2] == (1, 1) and list(codeparse.rows_of("(" * 5000, "a.py")) == []
+    assert [r[3] for r in codeparse.rows_of("x" + ".a" * 3000 + "()", "a.py")] == ["a"]
