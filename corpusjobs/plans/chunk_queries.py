@@ -101,18 +101,19 @@ def rebuilt_files(spark: SparkSession, d: str) -> DataFrame:
     return whole.groupBy("project_id", "path").agg(F.md5(text).alias("text_md5"))
 
 
-#: Windows over plain text files by recursion: the window that starts at a line ends at the last line that still fits.
+#: Windows by recursion, all files taken for plain text: the window that starts at a line ends at the last line that still fits.
 @query(f"""WITH RECURSIVE {PROSE}, {LINES}, t AS (SELECT project_id, path, line_no, length(line) + 1 AS n, sum(length(line) + 1) OVER (PARTITION BY project_id, path ORDER BY line_no) AS upto,
-  count(*) OVER (PARTITION BY project_id, path) AS total FROM lines WHERE ends_with(path, '.txt')),
+  count(*) OVER (PARTITION BY project_id, path) AS total FROM lines),
 fit AS (SELECT a.project_id, a.path, a.line_no AS s, a.total, max(greatest(a.line_no, b.line_no)) AS e FROM t a JOIN t b ON a.project_id = b.project_id AND a.path = b.path AND b.line_no >= a.line_no
   AND (b.upto - a.upto + a.n <= 600 OR b.line_no = a.line_no) GROUP BY ALL),
 whole AS (SELECT project_id, path, max(upto) AS size FROM t GROUP BY ALL),
 w AS (SELECT fit.project_id, fit.path, s, CASE WHEN size <= 600 THEN total ELSE e END AS e, total FROM fit JOIN whole USING (project_id, path) WHERE s = 1
   UNION ALL SELECT f.project_id, f.path, f.s, f.e, f.total FROM w JOIN fit f ON f.project_id = w.project_id AND f.path = w.path AND w.e < w.total AND f.s = greatest(w.e + 1 - 2, w.s + 1))
-SELECT project_id, path, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line FROM w
+SELECT project_id, path || '.txt' AS path, CAST(s AS INT) AS start_line, CAST(e AS INT) AS end_line FROM w
 WHERE EXISTS (SELECT 1 FROM lines l WHERE l.project_id = w.project_id AND l.path = w.path AND l.line_no BETWEEN s AND e AND regexp_matches(line, '[^[:space:]]'))""")
 def line_windows(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk(prose(spark, d).filter(F.col("path").endswith(".txt")), 600, 2).select("project_id", "path", "start_line", "end_line")
+    text = prose(spark, d).withColumn("path", F.concat("path", F.lit(".txt")))
+    return chunking.chunk(text, 600, 2).select("project_id", "path", "start_line", "end_line")
 
 
 @query(f"WITH {V.FILES} SELECT project_id, count(*) AS files FROM files WHERE regexp_matches(content, '[^[:space:]]') GROUP BY ALL")

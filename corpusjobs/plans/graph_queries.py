@@ -105,13 +105,13 @@ def enclosing_definitions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark, d):
-    """Names to look up: those that documents with a multiple of 10 define, and one unknown."""
-    words = _words(spark, d).filter("doc_id % 10 < 2")
+    """Names to look up: a function and a method of each file, and one unknown."""
+    words = _words(spark, d)
     forms = F.array(F.concat(F.lit("f_"), F.get("w", F.lit(1))), F.concat(F.lit("C_"), F.get("w", F.lit(3)), F.lit(".m_"), F.get("w", F.lit(4))), F.lit("nothing"))
     return words.select("project_id", F.explode(forms).alias("symbol")).distinct()
 
 
-NAMES = f"""{CODE}, names AS (SELECT DISTINCT project_id, unnest(['f_' || w[2], 'C_' || w[4] || '.m_' || w[5], 'nothing']) AS symbol FROM code WHERE doc_id % 10 < 2),
+NAMES = f"""{CODE}, names AS (SELECT DISTINCT project_id, unnest(['f_' || w[2], 'C_' || w[4] || '.m_' || w[5], 'nothing']) AS symbol FROM code),
 defs AS (SELECT n.project_id, symbol, path, start_line, qualname, row_number() OVER (PARTITION BY n.project_id, symbol ORDER BY path, start_line, qualname) AS pos FROM names n JOIN symbols s ON n.project_id = s.project_id AND (symbol = name OR symbol = qualname))"""
 
 

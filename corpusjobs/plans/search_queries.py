@@ -84,14 +84,14 @@ def naming_questions(spark: SparkSession, d: str) -> DataFrame:
         .when(doc % 5 == 3, F.concat(F.lit("("), name, F.lit(") vs ./src/doc_1.md")))
         .otherwise(F.concat(F.lit("old"), F.col("path"), F.lit("s")))
     )
-    return V.files(spark, d).select("project_id", doc.cast("string").alias("question_id"), F.concat(text, F.lit(" "), F.substring("content", 1, 60)).alias("question"))
+    return V.files(spark, d).select("project_id", doc.cast("string").alias("question_id"), text.alias("question"))
 
 
 NAMING = f"""{V.FILES}, naming AS (
   SELECT project_id, CAST(doc_id AS VARCHAR) AS question_id, CASE doc_id % 5
     WHEN 0 THEN 'What does ' || name || ' do?' WHEN 1 THEN 'Explain ' || upper(path) || ' and my_' || name
     WHEN 2 THEN 'see test.' || name || ' or x' || name || 'x' WHEN 3 THEN '(' || name || ') vs ./src/doc_1.md'
-    ELSE 'old' || path || 's' END || ' ' || substr(content, 1, 60) AS question
+    ELSE 'old' || path || 's' END AS question
   FROM (SELECT *, string_split(path, '/')[-1] AS name FROM files)
 ), named AS (
   SELECT n.project_id, question_id, path FROM naming n JOIN files f USING (project_id)
@@ -119,13 +119,13 @@ def bm25_in_files(spark: SparkSession, d: str) -> DataFrame:
 
 def _vectors(spark, d):
     rows = V.table(spark, d, "embeddings").select(F.concat(F.lit("p"), (F.col("label") % 3).cast("string")).alias("project_id"), F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "vec_id")
-    return rows, rows.filter("vec_id % 25 = 0").select("project_id", F.col("chunk_id").alias("question_id"), "embedding")
+    return rows, rows.filter("vec_id % 50 = 0").select("project_id", F.col("chunk_id").alias("question_id"), "embedding")
 
 
 NEAREST = """v AS (SELECT 'p' || (label % 3) AS project_id, CAST(vec_id AS VARCHAR) AS chunk_id, CAST(embedding AS DOUBLE[]) AS e, vec_id FROM embeddings),
 near AS (
   SELECT q.project_id, q.chunk_id AS question_id, v.chunk_id, 1 - list_cosine_similarity(q.e, v.e) AS distance
-  FROM v q JOIN v USING (project_id) WHERE q.vec_id % 25 = 0
+  FROM v q JOIN v USING (project_id) WHERE q.vec_id % 50 = 0
 ), near_ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY project_id, question_id ORDER BY round(distance, 9), chunk_id) AS INT) AS rank FROM near
 )"""
