@@ -14,17 +14,21 @@ CAMEL = r"[A-Z]+(?=[A-Z][a-z]|[0-9]|\b)|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 CHARS_PER_TOKEN = 3
 
 
+STRUCTURED = "[a-z][A-Z]|[A-Z][A-Z][a-z]|_|[A-Za-z][0-9]|[0-9][A-Za-z]"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case identifiers and, of those with several snake or camel parts, the parts; duplicates stay."""
-    idents = F.filter(F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0)), lambda x: ~F.lower(x).isin(STOP_WORDS))
+    """Lower-case identifiers, then the parts of those with several snake or camel parts; duplicates stay."""
+    idents = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
+    whole = F.filter(F.transform(idents, lambda x: F.lower(x)), lambda x: ~x.isin(STOP_WORDS))
 
-    def with_parts(x: Column) -> Column:
-        parts = F.regexp_extract_all(F.translate(x, "_", " "), F.lit(CAMEL), F.lit(0))
-        kept = F.filter(F.transform(parts, lambda p: F.lower(p)), lambda p: (F.char_length(p) > 1) & ~p.isin(STOP_WORDS))
-        simple = ~x.rlike("[a-z][A-Z]|[A-Z][A-Z][a-z]|_|[A-Za-z][0-9]|[0-9][A-Za-z]")
-        return F.when(simple, F.array(F.lower(x))).when(F.size(parts) > 1, F.concat(F.array(F.lower(x)), kept)).otherwise(F.array(F.lower(x)))
+    def parts(x: Column) -> Column:
+        found = F.regexp_extract_all(F.translate(x, "_", " "), F.lit(CAMEL), F.lit(0))
+        kept = F.filter(F.transform(found, lambda p: F.lower(p)), lambda p: (F.char_length(p) > 1) & ~p.isin(STOP_WORDS))
+        return F.when(F.size(found) > 1, kept).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(idents, with_parts))
+    structured = F.filter(idents, lambda x: x.rlike(STRUCTURED) & ~F.lower(x).isin(STOP_WORDS))
+    return F.concat(whole, F.flatten(F.transform(structured, parts)))
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -7,6 +7,7 @@ at most `BROADCAST_TERMS` of them.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,21 +49,20 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """project_id, question_id, chunk_id, score > 0.
 
-    Tokens are counted in each chunk's own row (an array of a chunk's asked terms), so the full postings are never
-    shuffled: what leaves the scan is a row for each chunk and asked term.
+    Chunks are tokenised once. Within a task, a chunk's tokens collapse to a row for each asked term and one for all the
+    others, so the full postings are never shuffled; lengths and statistics follow from these rows, which are kept on
+    the executors' disks (spark.catalog.clearCache() frees them; lost ones are worked out again).
     """
     asked = question_terms(questions)
     terms = asked.select("project_id", "term").distinct()
-    n_terms = terms.count()
-    small = F.broadcast if n_terms <= BROADCAST_TERMS else (lambda x: x)
-    tokens = chunks.select("project_id", "chunk_id", T.tokens(F.col("search_text")).alias("tokens"))
-    hit = (
-        tokens.select("project_id", "chunk_id", F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("term"))
-        .join(small(terms), ["project_id", "term"])
-        .groupBy("project_id", "chunk_id", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    projects = project_stats(chunks)
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
+    tokens = chunks.select("project_id", "chunk_id", F.explode_outer(T.tokens(F.col("search_text"))).alias("token"))
+    known = small(terms.select("project_id", F.col("term").alias("token"), "term"))
+    counts = tokens.join(known, ["project_id", "token"], "left").groupBy("project_id", "chunk_id", "term").agg(F.count("token").alias("tf"))
+    counts = counts.withColumn("length", F.sum("tf").over(W.partitionBy("project_id", "chunk_id"))).persist(StorageLevel.DISK_ONLY)
+    lengths = counts.groupBy("project_id", "chunk_id").agg(F.first("length").alias("length"))
+    projects = lengths.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_len"))
+    hit = counts.filter("term is not null")
     df = hit.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(projects, "project_id").select(
         "project_id", "term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
