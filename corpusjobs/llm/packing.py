@@ -38,7 +38,7 @@ from corpusjobs.llm.common import Memo, cut, small_batches
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker keeps; pieces of one length that are ranked by one task, about.
-MEMO, BUCKET_ROWS = 600_000, 20_000
+MEMO, BUCKET_ROWS = 600_000, 1_000
 
 
 #: Fixed value: the pattern by which the vocabulary used here splits lower-case words, and the last plain character.
@@ -188,8 +188,9 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     steps = plan(by_length, capacity)
     schema = "length long, rank_from long, rank_to long, first long, each long, base long"
     step_rows = spark.createDataFrame(steps, schema)
-    buckets = max(1, ceil(max(by_length.values(), default=0) / BUCKET_ROWS))
-    dealt = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    buckets = spark.createDataFrame([(k, ceil(n / BUCKET_ROWS)) for k, n in by_length.items()], "length long, buckets int")
+    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int")
+    dealt = parts.join(F.broadcast(buckets), "length").withColumn("bucket", bucket).drop("buckets")
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
