@@ -128,7 +128,7 @@ class Counter:
             at -= 1
         age, stable, longest = self.age.get, self.stable, self.longest
         for i in range(at + 1, n + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
                 t = age(data[j:i])
                 if t is None:
                     continue
