@@ -22,6 +22,8 @@ from corpusjobs.llm.common import SPACE_RUN, cut, power_of_two, text_or_empty
 #: Bits for each row, and the least and most bits of the filter. A bitmap row covers 32768 bits (4 KB).
 BITS_PER_ROW, MIN_BITS, MAX_BITS = 16, 1 << 16, 1 << 27
 ROW_BITS = 1 << 15
+#: Rows from which a group of copies counts as hot, and hot groups that may be broadcast (about 10 MB).
+HOT_ROWS, BROADCAST_GROUPS = 200, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -54,6 +56,17 @@ def with_maybe_repeated(rows: DataFrame, filter_rows: DataFrame, bits: int) -> D
     return out.withColumn("maybe", checks[0] & checks[1]).drop("_b0", "_m0", "_b1", "_m1")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, n: str) -> DataFrame:
+    """rows joined with their group by sha. The few groups of over HOT_ROWS rows are broadcast (there are at most one for each
+    HOT_ROWS rows, and the number is checked), so their rows stay where they are; the rest is shuffled."""
+    hot = groups.filter(F.col(n) > HOT_ROWS)
+    if hot.count() > BROADCAST_GROUPS:
+        return rows.join(groups, "sha")
+    spread = rows.join(F.broadcast(hot), "sha")
+    rest = rows.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(groups.filter(F.col(n) <= HOT_ROWS), "sha")
+    return spread.unionByName(rest)
+
+
 def find_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs, dropped ones too."""
     text = normalised(text_or_empty())
@@ -67,8 +80,8 @@ def find_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     maybe = seen.filter("maybe").select("doc_id", F.unhex("text_sha256").alias("sha"))
-    groups = maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = maybe.join(groups, "sha").select(
+    groups = cut(maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    again = _with_groups(maybe, groups, "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
     return once.unionByName(again)
@@ -82,10 +95,9 @@ def kept_documents(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     digests = cut(keyed.select("id", "h", "sha"))
     bits = power_of_two(BITS_PER_ROW * digests.count(), MIN_BITS, max_bits)
     slots = repeated_slots(digests, bits)
-    groups = with_maybe_repeated(digests, slots, bits).filter("maybe").groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n"))
+    groups = cut(with_maybe_repeated(digests, slots, bits).filter("maybe").groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")))
     seen = with_maybe_repeated(keyed, slots, bits)
     once, maybe = seen.filter(~F.col("maybe")).select("row.*"), seen.filter("maybe")
-    alone = maybe.join(groups.filter("n = 1").select("sha"), "sha", "left_semi").select("row.*")
-    first = groups.filter("n > 1").withColumnRenamed("sha", "of")
-    firsts = maybe.join(first, (F.col("sha") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep")), "left_semi")
-    return once.unionByName(alone).unionByName(firsts.dropDuplicates(["id", "sha"]).select("row.*"))
+    firsts = _with_groups(maybe, groups, "n").filter(F.col("id").eqNullSafe(F.col("keep")))
+    alone = firsts.filter("n = 1").select("row.*")
+    return once.unionByName(alone).unionByName(firsts.filter("n > 1").dropDuplicates(["id", "sha"]).select("row.*"))
