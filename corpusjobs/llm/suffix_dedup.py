@@ -32,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,11 @@ MATCH, GRAM = 50, 25
 LEFT = MATCH - GRAM
 #: Layout of a suffix: right of the anchor, its length, left of the anchor backwards, its length plus one.
 WIDTH = MATCH + 1 + LEFT + 1
-MAX_BITS, BYTES_PER_PART = 1 << 29, 16 << 20
-#: Suffixes that a task gathers before it sorts them into a run.
-RUN = 400_000
+MAX_BITS, BYTES_PER_PART = 1 << 29, 4 << 20
+#: Bytes of text that are looked at together.
+SLICE = 1 << 20
+#: Suffixes that a task gathers before it sorts them into runs; parts of the merge for each part of the grams.
+RUN, RUN_PARTS = 150_000, 4
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(7)
@@ -143,10 +146,11 @@ def suffixes(data: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray
     return out
 
 
-def names(rows: np.ndarray) -> np.ndarray:
-    """Two longs that name each suffix: its 128-bit hash."""
+def names(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A long and an int that name each suffix: 96 bits of its hash."""
     flat, digest = rows.tobytes(), xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(flat[i : i + WIDTH]) for i in range(0, len(flat), WIDTH)]), np.int64).reshape(-1, 2)
+    both = np.frombuffer(b"".join([digest(flat[i : i + WIDTH]) for i in range(0, len(flat), WIDTH)]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1].astype(np.int32)
 
 
 def shared(rows: np.ndarray) -> np.ndarray:
@@ -283,16 +287,36 @@ def owners(rows: np.ndarray, common: np.ndarray, first: np.ndarray, last: np.nda
     return r, a, following[r, a + 1] - 1, owner[r, a]
 
 
-def _candidates(batch: pa.RecordBatch, bits: np.ndarray | None, n_bits: int) -> tuple:
-    """The anchors of a batch (doc_id, tag, text), those of repeated grams if a bitmap is given."""
-    texts = [t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]
-    data, owner, at, low, high, gram = anchors(texts)
-    if bits is not None and len(gram):
-        spot = (gram >> np.uint64(64 - n_bits)).astype(np.int64)
-        keep = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-        owner, at, low, high, gram = owner[keep], at[keep], low[keep], high[keep], gram[keep]
-    starts = np.cumsum([0] + [len(t) for t in texts])[:-1]
-    return data, starts, owner, at, low, high, gram
+def _pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """(pieces, their text, their offset in it): about SLICE bytes at a time. A longer text comes in pieces that overlap by
+    MATCH - 1 bytes, so each string starts in one piece only."""
+    held, rows, offsets, n = [], [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - MATCH + 1), SLICE):
+            piece = text[at : at + SLICE + MATCH - 1]
+            held.append(piece)
+            rows.append(row)
+            offsets.append(at)
+            n += len(piece)
+            if n >= SLICE:
+                yield held, np.array(rows), np.array(offsets)
+                held, rows, offsets, n = [], [], [], 0
+    if held:
+        yield held, np.array(rows), np.array(offsets)
+
+
+def _candidates(batch: pa.RecordBatch, bits: np.ndarray | None, n_bits: int) -> Iterator[tuple]:
+    """(bytes, row, place in its text, place, low, high, gram) of the anchors of a batch (doc_id, tag, text), by pieces; those of
+    repeated grams if a bitmap is given."""
+    for texts, rows, offsets in _pieces([t or b"" for t in batch.column(2).cast(pa.binary()).to_pylist()]):
+        data, owner, at, low, high, gram = anchors(texts)
+        if bits is not None and len(gram):
+            spot = (gram >> np.uint64(64 - n_bits)).astype(np.int64)
+            keep = (bits[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+            owner, at, low, high, gram = owner[keep], at[keep], low[keep], high[keep], gram[keep]
+        if len(gram):
+            starts = np.cumsum([0] + [len(t) for t in texts])[:-1]
+            yield data, rows[owner], at - starts[owner] + offsets[owner], at, low, high, gram
 
 
 def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
@@ -301,9 +325,10 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, owner, _, _, _, gram = _candidates(batch, None, 0)
-            if not len(gram):
+            found = [(c[1], c[6]) for c in _candidates(batch, None, 0)]
+            if not found:
                 continue
+            owner, gram = (np.concatenate(x) for x in zip(*found))
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
             gram = gram[np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))]  # once a document
@@ -329,14 +354,15 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, spans (array of start, end in bytes): stretches covered by strings of earlier documents, one row for each
+    """doc_id, tag, spans (array of start << 32 | end in bytes): stretches covered by strings of earlier documents, one row for each
     document that has any. `docs` has doc_id, tag (a hash of the text) and text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_bits = power_of_two(total // 4, 1 << 16, MAX_BITS).bit_length() - 1
     parts = power_of_two(total // BYTES_PER_PART, 4, 4096)
     bitmap = spark.sparkContext.broadcast(repeated_grams(docs, n_bits, parts))
-    part_bits = np.uint64(64 - (parts.bit_length() - 1))
+    # runs are merged in smaller parts: their suffixes are spread out in memory
+    part_bits = np.uint64(64 - (RUN_PARTS * parts).bit_length() + 1)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -345,13 +371,12 @@ def covered(docs: DataFrame) -> DataFrame:
                 mine = part == p
                 run, first, last = sorted_run(rows[mine], doc[mine])
                 common, rest = front_code(run)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "common": [common], "rest": [rest], "first": [first.tobytes()], "last": [last.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "common": [packer.compress(common)], "rest": [packer.compress(rest)], "first": [first.tobytes()], "last": [last.tobytes()]})
 
-        held, n = [], 0
+        packer, held, n = zstandard.ZstdCompressor(level=3), [], 0
         for batch in batches:
-            data, _, owner, at, low, high, gram = _candidates(batch, bitmap.value, n_bits)
-            if len(at):
-                doc = batch.column(0).to_numpy()[owner]
+            for data, row, _, at, low, high, gram in _candidates(batch, bitmap.value, n_bits):
+                doc = batch.column(0).to_numpy()[row]
                 held.append((suffixes(data, at, low, high), doc, (gram >> part_bits).astype(np.int64)))
                 n += len(at)
             if n >= RUN:
@@ -361,28 +386,25 @@ def covered(docs: DataFrame) -> DataFrame:
             yield from flush(held)
 
     def owned(pdf: pd.DataFrame) -> pd.DataFrame:
-        streams = [Run(c, r, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for c, r, a, b in zip(pdf["common"], pdf["rest"], pdf["first"], pdf["last"])]
+        unpack = zstandard.ZstdDecompressor().decompress
+        streams = [Run(unpack(c), unpack(r), np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for c, r, a, b in zip(pdf["common"], pdf["rest"], pdf["first"], pdf["last"])]
         rows, common, first, last = merge(streams)
         row, low, high, owner = owners(rows, common, first, last)
-        name = names(rows[row])
-        return pd.DataFrame({"k1": name[:, 0], "k2": name[:, 1], "j_low": low, "j_high": high, "owner": owner})
+        k1, k2 = names(rows[row])
+        return pd.DataFrame({"k1": k1, "k2": k2, "j_low": low, "j_high": high, "owner": owner})
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts, owner, at, low, high, _ = _candidates(batch, bitmap.value, n_bits)
-            name = names(suffixes(data, at, low, high))
-            take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[:, 0]), pa.array(name[:, 1]), batch.column(0).take(take), batch.column(1).take(take), pa.array(at - starts[owner])],
-                ["k1", "k2", "doc_id", "tag", "at"],
-            )
+            for data, row, place, at, low, high, _ in _candidates(batch, bitmap.value, n_bits):
+                (k1, k2), take = names(suffixes(data, at, low, high)), pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), batch.column(0).take(take), batch.column(1).take(take), pa.array(place)], ["k1", "k2", "doc_id", "tag", "at"])
 
     table = docs.mapInArrow(runs, "part int, common binary, rest binary, first binary, last binary").groupBy("part").applyInPandas(
-        owned, "k1 long, k2 long, j_low long, j_high long, owner long"
+        owned, "k1 long, k2 int, j_low long, j_high long, owner long"
     )
-    found = docs.mapInArrow(occurrences, "k1 long, k2 long, doc_id long, tag long, at long")
+    found = docs.mapInArrow(occurrences, "k1 long, k2 int, doc_id long, tag long, at long")
     hits = found.join(table, ["k1", "k2"]).filter("owner < doc_id")
-    span = F.struct((F.col("at") - F.col("j_high")).alias("a"), (F.col("at") - F.col("j_low") + MATCH).alias("b"))
+    span = F.shiftleft(F.col("at") - F.col("j_high"), 32) + (F.col("at") - F.col("j_low") + MATCH)
     return hits.groupBy("doc_id", "tag").agg(F.collect_list(span).alias("spans"))
 
 
@@ -406,10 +428,10 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return split(digests, later, "left_semi"), plain, touched
 
 
-def union_of(spans: list[dict]) -> list[tuple[int, int]]:
+def union_of(spans: list[int]) -> list[tuple[int, int]]:
     """Maximal stretches of the given ones, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
+    for a, b in ((s >> 32, s & 0xFFFFFFFF) for s in sorted(spans)):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
