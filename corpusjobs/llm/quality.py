@@ -7,7 +7,8 @@ probability P(grade >= 2), by which documents are selected.
 x: each distinct word, lower-cased and stripped of signs at its ends, and its first `STEM` letters hash to one of
 `DIMENSIONS` places each (present or not, so that a harmful word weighs the same in a long text); so does each level
 of `LEVELS` that the share of words reaches which are upper case, carry signs, repeat the word before, or are the text's
-commonest word. Places met in fewer than `MIN_DOCS` sampled documents weigh nothing.
+commonest word. A place weighs nothing unless, of some grade, `MIN_DOCS` sampled documents and the grade's share in
+`MIN_SHARES` hold it; the share is zero for harmful ones, so a harmful word counts from the second such document on.
 
 The model is fitted on at most `MAX_TRAIN` labelled documents, in the order of a hash of their doc_id, with all their
 text; every document is scored, whole. Fitting is numpy on the driver, its size bounded by that sample.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import cut, drop_rows, small_batches
 
-MAX_TRAIN, DIMENSIONS, MIN_DOCS = 8192, 1 << 18, 20
+MAX_TRAIN, DIMENSIONS = 8192, 1 << 18
+#: A place counts that so many sampled documents of a grade hold, and this share of the grade's documents.
+MIN_DOCS, MIN_SHARES = 2, (0.0, 0.02, 0.04)
 STEM, LEVELS = 4, (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 GRADES, GOOD, TAIL = 3, 2, 0.5
 #: Steps of the fit, their size, the pull of each weight to zero and what each step takes off its size.
@@ -99,8 +102,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
         return Model(np.zeros(DIMENSIONS), np.array([-30.0 if k < only else 30.0 for k in range(GRADES - 1)]))
     at = np.concatenate(rows).astype(np.int64)
     sizes = np.array([len(r) for r in rows])
-    usual = np.bincount(at, minlength=DIMENSIONS) >= MIN_DOCS
     row = np.repeat(np.arange(len(rows)), sizes)
+    usual = np.zeros(DIMENSIONS, bool)
+    for k, share in enumerate(MIN_SHARES):
+        usual |= np.bincount(at[grades[row] == k], minlength=DIMENSIONS) >= max(MIN_DOCS, share * (grades == k).sum())
     row, at = row[usual[at]], at[usual[at]]
     names, at = np.unique(at, return_inverse=True)
     w, t, n = np.zeros(len(names)), np.array([-2.0, 1.0]), len(rows)
