@@ -165,12 +165,53 @@ class Counter:
             at = m.end()
         return out + [(p, self.total(p)) for p in _find(text[at:])]
 
-    def count(self, text: str) -> int:
+    def _by_run(self, text: str) -> tuple[list[str], list[float]]:
+        """The text between single spaces, and the tokens of each part with the space before it: not a number if a space of
+        the text need not start a piece."""
         runs = text.split(" ")
-        n = sum(map(self.runs.__getitem__, runs[1:]))
-        if n != n or not runs[0] or self.runs[runs[0]] != self.runs[runs[0]]:
-            return sum(n for _, n in self.pieces(text))
-        return n + sum(map(self.total, _find(runs[0])))
+        counts = [nan, *map(self.runs.__getitem__, runs[1:])]
+        if runs[0] and self.runs[runs[0]] == self.runs[runs[0]]:
+            counts[0] = sum(map(self.total, _find(runs[0])))
+        return runs, counts
+
+    def count(self, text: str) -> int:
+        n = sum(self._by_run(text)[1])
+        return n if n == n else sum(n for _, n in self.pieces(text))
+
+    def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """The count of a text and the characters of its longest prefix within the budget. The counts that add up to the first
+        tell where the prefix ends; only the piece that it ends in is looked into."""
+        runs, counts = self._by_run(text)
+        n = sum(counts)
+        if n != n:  # not by runs: by pieces
+            stored = self.prefixes(text)
+            n = stored[1][-1] if stored[1] else 0
+            return n, self.fit(text, budget, stored) if n > budget else len(text)
+        if n <= budget:
+            return n, len(text)
+        at, spent = 0, 0
+        for k, (run, more) in enumerate(zip(runs, counts)):
+            if spent + more > budget:
+                break
+            spent += more
+            at += len(run) + (k > 0)
+        for piece in _find(" " * (k > 0) + run):
+            if spent + self.total(piece) > budget:
+                return n, at + self._within(piece, budget - spent)
+            spent += self.total(piece)
+            at += len(piece)
+
+    def _within(self, piece: str, budget: int) -> int:
+        """Characters of the longest prefix of a piece within the budget, from the piece's own prefix counts. A prefix does not end
+        in white space; one that the pattern would cut into other pieces counts as those."""
+        table, at, best = self.table(piece), 0, 0
+        for n, c in enumerate(piece[:-1], 1):
+            at += len(c.encode())
+            if table[at] <= budget and not c.isspace():
+                best = n
+        while best and len(inner := _find(piece[:best])) > 1 and sum(map(self.total, inner)) > budget:
+            best -= 1
+        return best
 
     def prefixes(self, text: str) -> tuple[list[int], list[int]]:
         """Ends of the pieces (in characters) and the token counts up to them: what to store for later questions."""
@@ -199,13 +240,7 @@ class Counter:
             start = ends[k - 1] if k else 0
         if self.special is not None and self.special.fullmatch(text[start:end]):
             return start
-        table, at, best = self.table(text[start:end]), 0, start
-        base = counts[k - 1] if k else 0
-        for n, c in enumerate(text[start:end], 1):
-            at += len(c.encode())
-            if base + table[at] <= budget and not text[start + n - 1].isspace():
-                best = start + n
-        return best
+        return start + self._within(text[start:end], budget - (counts[k - 1] if k else 0))
 
 
 _COUNTERS: dict[str, Counter] = {}
@@ -229,8 +264,9 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 n_bytes.append(len(text.encode()))
-                n_tokens.append(n := of.count(text))
-                chars.append(of.fit(text, limit) if n > limit else len(text))
+                n, fits = of.count_and_fit(text, limit)
+                n_tokens.append(n)
+                chars.append(fits)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(chars, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars"],
