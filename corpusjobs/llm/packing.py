@@ -21,6 +21,8 @@ ignored (`packed_documents` returns one row for each piece, with its token ids).
 from __future__ import annotations
 
 import json
+import re
+import unicodedata
 import zlib
 from array import array
 from collections import deque
@@ -29,7 +31,6 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,16 +38,28 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import Memo, cut, small_batches
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker keeps; pieces of one length that are ranked by one task, about.
-MEMO, BUCKET_ROWS = 600_000, 1_000
-
+#: Words whose ids a worker keeps.
+MEMO = 600_000
+#: Pieces of one length are ranked in buckets: so many for each shuffle partition over all lengths, of so many rows at least.
+BUCKETS, BUCKET_ROWS = 8, 50
 
 #: Fixed value: the pattern by which the vocabulary used here splits lower-case words, and the last plain character.
 #: Words of other characters, or that Unicode normalisation may change, take the library's path.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: str.split() takes NOT_SPACE for white space, the vocabulary does not.
 LAST_PLAIN, NOT_SPACE = "\u024f", "\x1c\x1d\x1e\x1f"
-_split = regex.compile(PIECES).findall
+_odd_space = re.compile(f"[{NOT_SPACE}]").search
+
+
+def _of_kind(kind: str) -> str:
+    """The plain characters of a Unicode category, as the inside of a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(33, ord(LAST_PLAIN) + 1)) if unicodedata.category(c).startswith(kind))
+
+
+#: PIECES for words of plain characters.
+_split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_of_kind('L')}]+|[{_of_kind('N')}]|[^{_of_kind('L')}{_of_kind('N')}]+").findall
+_plain = [c for c in map(chr, range(33, ord(LAST_PLAIN) + 1)) if c.isprintable() and not c.isspace() and max(c.lower()) <= LAST_PLAIN]
+_not_plain = re.compile(f"[^{''.join(map(re.escape, _plain))}]").search
 
 
 class WordIds:
@@ -59,7 +72,7 @@ class WordIds:
         self.splits_on_space = all(self.ids(f"{a} {b}\n{a}") == self.ids(a) + self.ids(b) + self.ids(a) for a, b in (("one", "two"), ("it's", "...")))
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
-        self.special = [t["content"] for t in data["added_tokens"]]
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in data["added_tokens"]) or r"(?!)").search
         self.by_piece = any((step.get("pattern") or {}).get("Regex") == PIECES for step in (data.get("pre_tokenizer") or {}).get("pretokenizers", []))
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(own)]
@@ -74,11 +87,13 @@ class WordIds:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        plain = self.by_piece and word.isprintable() and max(word) <= LAST_PLAIN and not any(s in word for s in self.special)
-        return b"".join(map(self.pieces.__getitem__, _split(word.lower()))) if plain else self.ids(word)
+        if not self.by_piece or _not_plain(word) or self.special(word):
+            return self.ids(word)
+        parts = _split(word.lower())
+        return self.pieces[parts[0]] if len(parts) == 1 else b"".join([self.pieces[p] for p in parts])
 
     def encode(self, text: str) -> bytes:
-        if not self.splits_on_space or any(c in text for c in NOT_SPACE):
+        if not self.splits_on_space or _odd_space(text):
             return self.ids(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
@@ -188,7 +203,8 @@ def assign(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     steps = plan(by_length, capacity)
     schema = "length long, rank_from long, rank_to long, first long, each long, base long"
     step_rows = spark.createDataFrame(steps, schema)
-    buckets = spark.createDataFrame([(k, ceil(n / BUCKET_ROWS)) for k, n in by_length.items()], "length long, buckets int")
+    rows = max(BUCKET_ROWS, ceil(sum(by_length.values()) / (BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    buckets = spark.createDataFrame([(k, ceil(n / rows)) for k, n in by_length.items()], "length long, buckets int")
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")).cast("int")
     dealt = parts.join(F.broadcast(buckets), "length").withColumn("bucket", bucket).drop("buckets")
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
