@@ -65,6 +65,31 @@ def test_exact_dedup(spark, texts):
     assert exact_dedup.find_copies(table(spark, [])).count() == 0
 
 
+def test_only_possibly_repeated_rows_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from corpusjobs.llm.common import cut
+
+    # hashes of which some occur again: in the same task, in others, and one in a third of all rows
+    rng = random.Random(12)
+    values = [rng.getrandbits(63) for _ in range(20_000)]
+    values += values[:500] * 2 + [values[7]] * 10_000
+    rng.shuffle(values)
+    again = {h for h, n in Counter(values).items() if n > 1}
+    for parts in (1, 6):
+        hashes = cut(spark.createDataFrame([(h,) for h in values], "h long").repartition(parts))
+        rows, tasks = exact_dedup.size_of(hashes)
+        assert (rows, tasks) == (len(values), parts)
+        bits = 1 << 20
+        bitmaps = exact_dedup.lane_bitmaps(hashes, bits, tasks, 128)
+        assert bitmaps.count() <= 128 * bits // exact_dedup.ROW_BITS < rows / 6  # what is shuffled
+        slots = cut(exact_dedup.repeated_slots(hashes, bits, tasks))
+        maybe = exact_dedup.with_maybe_repeated(hashes, slots, bits).filter("maybe")
+        found = {r["h"] for r in maybe.select("h").distinct().collect()}
+        assert again <= found and len(found) < 4_000
+        assert exact_dedup.with_maybe_repeated(hashes, slots, bits).filter(~F.col("maybe")).count() > 15_000
+
+
 def test_decontamination(spark, texts):
     item = next(t for n, t in texts if t and "alpha" in t and len(t.split()) > 12)
     shared = [t for _, t in texts if t and len(t.split()) > 40][-1]
