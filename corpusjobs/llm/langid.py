@@ -6,23 +6,27 @@ more a language is like the text, the longer the matches and the fewer the phras
 text are its normalised count, and the language with the fewest wins.
 
 The automata are turned into one transition table with failing transitions folded in (a failing one starts the next
-phrase), so parsing is one table lookup for each character and language. Many texts are parsed side by side: a text is
-laid out in blocks of `BLOCK` characters (a phrase ends at the end of a block), and numpy steps through all blocks
-and languages at once. Whole texts are parsed.
+phrase), so parsing is one table lookup for each symbol and language. Many texts are parsed side by side: a text is
+laid out in blocks of `BLOCK` symbols, and numpy steps through all blocks and languages at once. A phrase ends at the end of a
+block, for every language alike, so a long text counts at most one phrase more for each `BLOCK` symbols. Whole texts are parsed.
 
-The sample: for each of at most `MAX_LANGUAGES` languages (the most frequent), up to `SAMPLE_ROWS` rows in the order of
-a hash of their text, rows of at most `ROW_CHARS` characters first, up to `SAMPLE_CHARS` characters.
+The sample: for each language up to `SAMPLE_ROWS` different texts in the order of their hash, texts of at most `ROW_CHARS`
+characters first, up to `SAMPLE_CHARS` letters. Every language is learned; with many languages or letters, less of each, so
+that the table keeps to `CELLS` numbers (down to `LEAST_CHARS` letters a language).
 
-Text is reduced to letters, lower-cased; what lies between letters counts as one space. Letters that no sample has
-are a phrase of their own.
+Text is reduced to letters, lower-cased; what lies between letters counts as one space. The `SINGLES` commonest letters are a
+symbol each, all others that a sample has are written in two or three symbols, so large scripts are told apart in full.
+Letters that no sample has are a phrase of their own.
 
 Edge cases: null texts and texts without a letter are `und` with score 0, as are all if nothing can be learned; rows
 without a language are not learned from; equal phrase counts go to the language whose name sorts first; repeated rows
-are predicted row by row; with one language the score is 1; other columns are ignored.
+are predicted row by row, and learned from once; texts of any length are parsed whole; an empty table gives an empty
+result; with one language the score is 1; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +37,11 @@ from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import small_batches
 
-MAX_LANGUAGES, SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS = 64, 64, 20_000, 24_000
-#: Letters that are told apart, at most; characters that one lane parses in a row.
-MAX_LETTERS, BLOCK = 250, 1024
+SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS, LEAST_CHARS = 64, 20_000, 24_000, 256
+#: Numbers in the folded table, about (256 MB in a Python worker); symbols that one lane parses in a row.
+CELLS, BLOCK = 1 << 26, 1024
+#: Letters with a symbol of their own, and symbols in which the others are written.
+SINGLES, BASE = 160, 90
 PHRASE = 1 << 30
 UNKNOWN = "und"
 
@@ -44,19 +50,29 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
+def chars_for(languages: int, width: int = SINGLES + BASE) -> int:
+    """Letters to learn of each language: an automaton has up to two states for each, a row of the table for each state."""
+    return max(LEAST_CHARS, min(SAMPLE_CHARS, CELLS // (2 * width * max(1, languages))))
+
+
 def sample(docs: DataFrame) -> dict[str, list[str]]:
     """language -> sampled texts of the learnable rows; bounded by the parameters above."""
-    rows = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
-    languages = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    keyed = rows.filter(F.col("lang").isin(languages)).select(
-        "lang", F.struct((F.char_length("text") > ROW_CHARS).alias("long"), F.xxhash64("text").alias("h")).alias("k")
-    )
-    order = W.partitionBy("lang").orderBy("k")
-    picked = keyed.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS).select(F.col("lang").alias("_l"), F.col("k.h").alias("_h")).distinct()
+    rows = docs.select("lang", F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}"))
+    keyed = rows.select("lang", (F.char_length("text") > ROW_CHARS).alias("long"), F.xxhash64("text").alias("h"))
+    # different texts of each language, about: of many only those with the smallest hashes can be picked
+    sizes = keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not sizes:
+        return {}
+    share = lambda n: min(1.0, 16 * SAMPLE_ROWS / n)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(-(2**63) + share(r["n"]) * (2**64 - 1)) if share(r["n"]) < 1 else 2**63 - 1) for r in sizes], "_l string, most long")
+    low = keyed.join(F.broadcast(limits), F.col("lang") == F.col("_l")).filter("h <= most").groupBy("lang", "h").agg(F.min("long").alias("long"))
+    order = W.partitionBy("lang").orderBy("long", "h")
+    picked = low.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= SAMPLE_ROWS).select(F.col("lang").alias("_l"), F.col("h").alias("_h"))
     texts = rows.join(F.broadcast(picked), (F.col("lang") == F.col("_l")) & (F.xxhash64("text") == F.col("_h")))
     out: dict[str, list[str]] = {}
-    # at most SAMPLE_ROWS distinct texts a language, cut to what can be used of each
-    for r in texts.select("lang", "_h", F.substring("text", 1, SAMPLE_CHARS).alias("t")).dropDuplicates(["lang", "_h"]).orderBy("lang", "_h").collect():
+    # at most SAMPLE_ROWS different texts a language, cut to what can be used of each
+    part = F.substring("text", 1, 2 * chars_for(len(sizes)))
+    for r in texts.groupBy("lang", "_h").agg(F.min(part).alias("t")).orderBy("lang", "_h").collect():
         out.setdefault(r["lang"], []).append(r["t"])
     return dict(sorted(out.items()))
 
@@ -96,56 +112,63 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """languages; symbol: code point -> 0 (no letter), 1 (unknown letter), 2 and up; the folded table and its width."""
+    """languages; code: letter -> its symbols (0 is no letter, 1 an unknown one); the folded table and its width."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = list(texts)
-        learned = {lang: letters(" ".join(t))[:SAMPLE_CHARS] for lang, t in texts.items()}
-        seen: dict[str, int] = {}
-        for t in learned.values():
-            for c in t:
-                seen[c] = seen.get(c, 0) + 1
-        seen.pop(" ", None)
-        known = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:MAX_LETTERS])
-        self.number = {" ": 0} | {c: n + 2 for n, c in enumerate(known)}
-        self.width = len(known) + 2
+        most = chars_for(len(texts))
+        learned = {lang: letters(" ".join(t))[:most] for lang, t in texts.items()}
+        seen = Counter("".join(learned.values()).replace(" ", ""))
+        ranked = sorted(seen, key=lambda c: (-seen[c], c))
+        self.code = {" ": [0]} | {c: [n + 2] for n, c in enumerate(sorted(ranked[:SINGLES]))}
+        others = sorted(ranked[SINGLES:])
+        first, digits = 2 + min(SINGLES, len(ranked)), 2 if len(others) <= BASE**2 else 3
+        self.code |= {c: [first + n // BASE**k % BASE for k in reversed(range(digits))] for n, c in enumerate(others)}
+        self.width = first + BASE * bool(others)
         tables, self.start = [], []
         at = 0
         for t in learned.values():
-            go = automaton([self.number.get(c, 1) for c in t])
+            go = automaton([x for c in t for x in self.code[c]])
             root = np.full(self.width, at | PHRASE, np.int32)
             for c, to in go[0].items():
                 root[c] = (at + to) | PHRASE
-            root[1] = at | PHRASE
             table = np.tile(root, (len(go), 1))
             for s, out in enumerate(go):
                 for c, to in out.items():
-                    if c != 1:
-                        table[s, c] = at + to
+                    table[s, c] = at + to
             tables.append(table)
             self.start.append(at)
             at += len(go)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self._symbol: np.ndarray | None = None
-
-    def symbol(self) -> np.ndarray:
-        if self._symbol is None:
-            out = np.zeros(0x110000, np.uint8)
-            for code in range(0x110000):
-                c = chr(code)
+        self._symbols: tuple[np.ndarray, np.ndarray] | None = None
+
+    def symbols(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each code point: how many symbols, and which."""
+        if self._symbols is None:
+            n, which = np.ones(0x110000, np.uint8), np.zeros((0x110000, 3), np.uint8)
+            for point in range(0x110000):
+                c = chr(point)
                 if c.isalpha():
-                    out[code] = self.number.get(c.lower(), 1) if len(c.lower()) == 1 else 1
-            self._symbol = out
-        return self._symbol
+                    code = self.code.get(c.lower(), [1])
+                    n[point] = len(code)
+                    which[point, : len(code)] = code
+            self._symbols = n, which
+        return self._symbols
 
     def phrases(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(letters of each text, phrases of each text by language)."""
         codes = np.frombuffer("\n".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         owner = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])[: len(codes)]
-        symbols = self.symbol()[codes]
-        keep = (symbols != 0) | (np.append(0, symbols[:-1]) != 0)  # of a run of no letters, the first
-        symbols, owner = symbols[keep], owner[keep]
-        n_letters = np.bincount(owner, symbols != 0, len(texts)).astype(np.int64)
+        many, which = self.symbols()
+        is_letter = which[codes, 0] != 0
+        keep = is_letter | np.append(False, is_letter[:-1])  # of a run of no letters, the first
+        codes, owner = codes[keep], owner[keep]
+        n_letters = np.bincount(owner, is_letter[keep], len(texts)).astype(np.int64)
+        symbols = which[codes, 0]
+        if (n := many[codes]).max(initial=1) > 1:
+            letter = np.repeat(np.arange(len(codes)), n)
+            digit = np.arange(len(letter)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+            symbols, owner = which[codes[letter], digit], owner[letter]
         sizes = np.bincount(owner, minlength=len(texts))
         firsts = np.cumsum(sizes) - sizes
         blocks = -(-sizes // BLOCK)

@@ -293,6 +293,33 @@ def test_language_id(spark):
         assert abs(model.phrases([text])[1][0, k] - phrases) <= 1 + 2 * sum(c not in s for c in text)
 
 
+def test_language_id_of_large_scripts_and_many_languages(spark):
+    rng = random.Random(16)
+    # two languages that share a script of 3,000 letters and differ in how letters follow each other
+    script = [chr(0x4E00 + k) for k in range(3000)]
+    pairs = {lang: [a + b for a, b in zip(rng.sample(script, 1500), rng.sample(script, 1500))] for lang in ("ja", "zh")}
+    texts, langs = [], {}
+    for n in range(160):
+        lang = "ja" if n % 2 else "zh"
+        texts.append((n, "".join(rng.choice(pairs[lang]) for _ in range(400))))
+        langs[n] = lang
+    got = by_id(langid.identify_held_out(table(spark, texts, langs)))
+    held = [n for n in got if got[n][0]["held_out"]]
+    assert len(held) > 20 and all(got[n][0]["lang_pred"] == langs[n] and got[n][0]["score"] > 0 for n in held)
+    # more languages than a byte could number with others' letters; one text fills a language with copies of itself
+    texts, langs = [], {}
+    for n in range(420):
+        lang = n % 70
+        stems = ["".join(random.Random(f"{lang} {k}").choices("abcdefghijklmnop", k=5)) for k in range(30)]
+        texts.append((n, " ".join(rng.choice(stems) for _ in range(60))))
+        langs[n] = f"l{lang:02}"
+    texts += [(1000 + n, "same text " * 20) for n in range(100)]
+    langs |= {1000 + n: "l00" for n in range(100)}
+    got = by_id(langid.identify_held_out(table(spark, texts, langs)))
+    held = [n for n in range(420) if got[n][0]["held_out"]]
+    assert len({langs[n] for n in held}) > 45 and all(got[n][0]["lang_pred"] == langs[n] for n in held)
+
+
 def test_quality(spark, texts):
     rng = random.Random(8)
     docs, labels = [], []
