@@ -1,25 +1,29 @@
 """Licence scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
 
-Text is lower-cased and reduced to words of letters and digits. A document is compared as stretches: each line, each
-paragraph (lines between blank ones) and the whole text. For bigram sets A (stretch) and B (template)
+Text is lower-cased and reduced to words of letters and digits, whatever its lines. A document is compared as windows of
+neighbouring words, wherever they stand. For bigram sets A (window) and B (template)
 
     dice = 2 |A and B| / (|A| + |B|)
 
-so dice >= t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|: templates outside these bounds are pruned by size, and
-stretches that no template's bounds allow are not looked at. Of the rest only templates that share a bigram are scored,
-from an index of bigrams. A template of one word has that word as its only "bigram".
+so dice >= t needs |A| between t / (2 - t) |B| and (2 - t) / t |B|, and as many common bigrams as the lower bound. A template
+whose bigrams the document shares less of is pruned, from an index of bigrams. For the others the windows that begin and end
+at a shared bigram are scored, up to the upper bound of bigrams long; a stretch of that length with too few shared ones
+is passed over. A template of one word has that word as its only "bigram".
 
 Templates are a parameter: (licence, text) pairs; the default ones are the usual short notices and some full short
 texts. They are small and go to the tasks with the code.
 
-Edge cases: null and empty texts match nothing; of equal scores the template that comes first in the list wins, then
-the earlier stretch; repeated rows are scanned row by row; an empty table gives an empty result; other columns are
-ignored.
+Edge cases: null and empty texts match nothing; matches do not overlap: the higher score is kept, of equal scores the template
+that comes first in the list, then the earlier window; texts of any length are scanned whole, in time that grows with their
+words times the length of the templates they hold; repeated rows are scanned row by row; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,8 +101,7 @@ TEMPLATES = [
 ]
 
 _words = re.compile(r"[^\W_]+").findall
-_line = re.compile(r"[^\n]+").finditer
-_paragraph = re.compile(r"[^\n]+(?:\n[^\n]+)+").finditer
+_spans = re.compile(r"[^\W_]+").finditer
 
 
 def bigrams(text: str) -> set[tuple[str, ...]]:
@@ -119,6 +122,8 @@ class Index:
         for n, (_, b) in enumerate(self.templates):
             for pair in b:
                 self.of.setdefault(pair, []).append(n)
+        self.known = frozenset(self.of)
+        self.single = any(len(pair) == 1 for pair in self.known)
 
     def best(self, stretch: str) -> tuple[float, int] | None:
         """(dice, template) of the best template for a stretch, or None below the threshold."""
@@ -142,17 +147,56 @@ class Index:
                     found = (dice, n)
         return found
 
+    def _windows(self, n: int, pairs: list[tuple[str, ...]], hits: list[int]) -> list[tuple[float, int, int, int]]:
+        """(-dice, template, first, last) of the best window from each shared bigram, as places in `pairs`."""
+        template, (low, high) = self.templates[n][1], self.bounds[n]
+        out, done = [], -1
+        for k, first in enumerate(hits):
+            stop = bisect_left(hits, first + int(high), k)
+            if stop - k < low or first <= done:
+                continue
+            found, seen, common, at = None, set(), set(), first
+            for last in hits[k:stop]:
+                seen.update(pairs[at : last + 1])
+                at = last + 1
+                common.add(pairs[last])
+                dice = 2 * len(common) / (len(seen) + len(template))
+                if dice >= self.threshold and (found is None or dice > found[0]):
+                    found = (dice, last)
+            if found:
+                out.append((-found[0], n, first, found[1]))
+                if found[0] == 1:  # nothing that overlaps it can be better
+                    done = found[1]
+        return out
+
     def scan(self, text: str) -> list[tuple[int, int, float, int]]:
-        """(start, end, dice, template) of matching stretches, by start; a stretch within a better one is left out."""
-        stretches = [m.span() for m in _line(text)]
-        if len(stretches) > 1:
-            stretches += [m.span() for m in _paragraph(text)]
-            stretches.append((0, len(text)))
-        found = [(a, b, *hit) for a, b in dict.fromkeys(stretches) if (hit := self.best(text[a:b]))]
-        out: list[tuple[int, int, float, int]] = []
-        for hit in sorted(found, key=lambda h: (-h[2], h[3], h[0])):
-            if not any(a < hit[1] and hit[0] < b for a, b, _, _ in out):
-                out.append(hit)
+        """(start, end, dice, template) of the best windows that do not overlap, by start."""
+        low = text.lower()
+        alike = len(low) == len(text)
+        words = _words(low) if alike else [w.lower() for w in _words(text)]
+        found: list[tuple[float, int, int, int]] = []  # places of words
+        for width, pairs in ((2, list(zip(words, words[1:]))), (1, [(w,) for w in words] if self.single else [])):
+            shared = self.known.intersection(pairs)
+            counts = Counter(n for pair in shared for n in self.of[pair])
+            asked = {n for n, k in counts.items() if k >= self.bounds[n][0]}
+            if not asked:
+                continue
+            hits: dict[int, list[int]] = {}
+            for at, pair in enumerate(pairs):
+                if pair in shared:
+                    for n in asked.intersection(self.of[pair]):
+                        hits.setdefault(n, []).append(at)
+            found += [(d, n, first, last + width) for n, places in hits.items() for d, n, first, last in self._windows(n, pairs, places)]
+        if not found:
+            return []
+        spans = [m.span() for m in _spans(text)]
+        taken: list[tuple[int, int]] = []
+        out = []
+        for dice, n, first, end in sorted(found):
+            k = bisect_left(taken, (first, end))
+            if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= end):
+                insort(taken, (first, end))
+                out.append((spans[first][0], spans[end - 1][1], -dice, n))
         return sorted(out)
 
 

@@ -360,6 +360,34 @@ def test_licences(spark):
         assert (found[0] if found else 0) == (max(dice) if max(dice) >= 0.6 else 0)
 
 
+def test_licences_inside_longer_texts(spark):
+    rng = random.Random(15)
+    prose = lambda n: " ".join(rng.choice(WORDS) + rng.choice("abc") for _ in range(n))
+    grant = licences._GRANT.replace(": The above", ":\n\nThe above").replace(". THE SOFTWARE", ".\n\nTHE SOFTWARE")
+    texts = [(0, grant + "\n\n" + prose(600)), (1, prose(40) + " Released under the MIT License. " + prose(40)), (2, prose(2000)),
+             (3, "Released under the MIT License.\n" * 3000), (4, grant.replace("Software", "Program") + prose(20)), (5, "İstanbul " + prose(5) + " Licensed under CC BY-NC 4.0.")]
+    got = by_id(licences.scan(table(spark, texts)))
+    assert [got[n][0]["licence"] for n in range(6)] == ["MIT", "MIT", None, "MIT", "MIT", "CC-BY-NC-4.0"]
+    assert got[3][0]["n_matches"] == 3000
+    for n, start in ((0, "Permission is hereby"), (1, "Released under"), (5, "Licensed under")):
+        m = got[n][0]["matches"][0]
+        assert dict(texts)[n][m["start"] : m["end"]].startswith(start) and m["dice"] > 0.99
+    # the best window of all, against every window and template
+    templates = [("a", "one two three four five six"), ("b", "two three nine four"), ("c", "solo")]
+    index = licences.Index(templates, 0.6)
+    for _ in range(200):
+        words = [rng.choice("one two three four five six nine ten".split()) for _ in range(rng.randint(1, 16))] + ["solo"] * (rng.random() < 0.1)
+        text = ", ".join(words)
+        want = 0.0
+        for size, own in ((2, list(zip(words, words[1:]))), (1, [(w,) for w in words])):
+            for _, b in index.templates:
+                for i in range(len(own)):
+                    for j in range(i + 1, min(len(own), i + int(1.4 / 0.6 * len(b))) + 1):
+                        a = set(own[i:j])
+                        want = max(want, 2 * len(a & b) / (len(a) + len(b)) if len(next(iter(b))) == size else 0)
+        assert max((h[2] for h in index.scan(text)), default=0) == (want if want >= 0.6 else 0), text
+
+
 def test_pii(spark):
     text = 'Write to Ann.Lee@mail.example.org or ANN.LEE@MAIL.EXAMPLE.ORG, +1 (017) 555-7713 / +1 017 555 7713, 4845168114407329, 10.1.2.3, token = "04dbebab91ab8568" Mr. Adam Stone and Mrs Eva Weber, г-н Иван Попов'
     docs = [(0, text), (1, "no one"), (2, None), (3, "again 4845168114407329 and 4845 1681 1440 7329"), (4, "")] + [(10 + n, f"Mr. Otto Fam{c}") for n, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 2)]
