@@ -1,30 +1,36 @@
 """PII surrogates: detected entities get keyed replacements of the same type and form.
 
-Types: e-mail addresses, telephone numbers, card numbers (13 to 19 digits), IPv4 addresses, secrets (quoted values of
-token, key, secret or password), and personal names after a title. An entity's canonical form ignores case (e-mail,
-names) and separators (telephone, card numbers), so all spellings of one entity share a surrogate: coreference is kept
-within and across documents.
-
-Surrogates come from a secret key. Runs of digits or letters are moved by a keyed permutation of all runs of that form (a
-balanced Feistel network, walked until the result has the form), so two entities of one form cannot meet; names are
-drawn, by a keyed permutation as well, from a list of the same gender and script, with a number of draws that grows
-until they are distinct.
+Types: e-mail addresses, secrets (values of token, key, secret or password, quoted or with a digit), access keys by their
+prefix, IBANs (checked), IPv6 and IPv4 addresses, US social security numbers, telephone numbers (international, or ten
+digits in groups), card numbers (13 to 19 digits that pass the Luhn test) and other numbers of that length, and personal
+names: after a title, or a listed given name before a capitalised word. The given and the family name of a person are
+entities of their own, so "Mr. Weber" and "Dr. Adam Weber" agree. An entity's canonical form ignores case (e-mail) and
+separators (numbers), so all spellings of one entity share a surrogate, within and across documents.
+
+Surrogates come from a secret key, which has no default. Runs of digits or letters are moved by a keyed permutation of all runs
+of that form (a balanced Feistel network, walked until the result has the form), so two entities of one form cannot meet.
+What a form asks for is kept: check digits of cards and IBANs are made anew, countries and key prefixes stay, private
+addresses stay in their block and public ones public. Names are drawn from a list of the same script and gender first, then
+made of syllables, more of them with each few attempts; gender is what any title in the corpus tells of a given name.
 
 Collisions are checked over the whole corpus, in Spark: a surrogate must not be the surrogate of another entity, nor an
-entity that really occurs. Those that are get the next attempt, until none is left; attempts other than the first are
-joined back to the documents that need them. The text is otherwise unchanged.
+entity that really occurs. Those that are get the next attempt, until none is left; surrogates that a document alone does
+not tell are joined back to the documents that need them. The text is otherwise unchanged.
 
-Edge cases: null text stays null with no entities; where patterns overlap the type named first wins; repeated rows are
-replaced row by row, alike; an empty table gives an empty result; `replaced` carries other columns, but for
-those named as the ones it adds.
+Edge cases: null text stays null with no entities; where patterns overlap the type named first wins; texts of any length
+are read whole; repeated rows, and rows that share a doc_id or have none, are replaced row by row, alike; two spellings
+that tie on a surrogate are ordered by a hash; an empty table gives an empty result; `replaced` carries other columns, and
+puts its own in place of columns that are named n_entities or kinds.
 """
 
 from __future__ import annotations
 
-import hashlib
 import hmac
+import ipaddress
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,8 +38,6 @@ from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import cut, small_batches
 
-KEY = b"change this key"
-MAX_ATTEMPTS = 16
 BROADCAST_ENTITIES = 200_000
 
 #: Given and family names by script and gender, for names that follow a title.
@@ -52,16 +56,33 @@ FAMILY = {
 #: Titles and the gender they tell.
 TITLES = {"mr": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "г-н": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "г-жа": "f", "dr": "n", "prof": "n"}
 
+#: Syllables and endings of made names, blocks of addresses that are not public, and prefixes of access keys.
+SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstv" for v in "aeiou"], "cyrillic": [c + v for c in "бвгдклмнпрст" for v in "аеиоу"]}
+ENDINGS = {("latin", "f"): "na", ("latin", "m"): "n", ("latin", "n"): "s", ("latin", ""): "ler", ("cyrillic", "f"): "на", ("cyrillic", "m"): "н", ("cyrillic", "n"): "ш", ("cyrillic", ""): "ров"}
+BLOCKS = [ipaddress.ip_network(x) for x in "10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 100.64.0.0/10 224.0.0.0/3 0.0.0.0/8".split()]
+KEY_PREFIXES = "AKIA ASIA ghp_ gho_ sk- xoxb- xoxp-".split()
+
 _name = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+|[А-Я][а-яё]+"
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+)"
-    r"|(?P<secret>(?i:\b(?:token|api[_-]?key|secret|password)\s*[=:]\s*)[\"'](?P<value>[^\"'\n]{8,200})[\"'])"
-    r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d))"
-    r"|(?P<phone>\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{2,4}(?:[ -]?\d{2,4})?(?!\d))"
-    r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-]))"
-    rf"|(?P<person>(?i:\b(?P<title>{'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})\b\.?)[ ]+(?P<given>{_name})(?:[ ]+(?P<family>{_name}))?)"
-)
-_QUICK = re.compile(r"[@\d=:]|(?i:\b(?:" + "|".join(map(re.escape, TITLES)) + r")\b)").search
+_titles = "|".join(re.escape(f(t)) for t in sorted(TITLES, key=len, reverse=True) for f in (str.lower, str.capitalize, str.upper))
+_givens = "|".join(sorted({n for names in GIVEN.values() for n in names}, key=lambda n: (-len(n), n)))
+_number = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]")
+_person = rf"(?:(?P<title>{_titles})(?:\.[ ]*|[ ]+)(?P<first>{_name})(?:[ ]+(?P<second>{_name}))?|(?P<given>{_givens})[ ]+(?P<family>{_name}))(?!\w)"
+#: (type, what a text with it holds, pattern), in the order in which types win. What a text holds is told by patterns that begin
+#: with a literal or a few characters, which are fast; the others run on the texts that are left.
+PATTERNS = [
+    ("email", re.compile("@"), re.compile(r"(?<![\w.+-])[\w+-]+(?:\.[\w+-]+)*@[\w-]+(?:\.[\w-]+)+")),
+    ("secret", re.compile("[=:]"), re.compile(r"\b(?:[Tt]oken|TOKEN|(?:api|API|Api)[_-]?(?:key|KEY|Key)|[Ss]ecret|SECRET|[Pp]assword|PASSWORD)\s*[=:]\s*(?:[\"'](?P<value>[^\"'\n]{8,200})[\"']|(?P<bare>(?=\S*\d)[\w+/.=-]{8,200}))")),
+    ("key", re.compile("|".join(KEY_PREFIXES)), re.compile(rf"\b(?:{'|'.join(KEY_PREFIXES)})[0-9A-Za-z-]{{16,80}}(?![0-9A-Za-z])")),
+    ("iban", _number, re.compile(r"\b[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("ipv6", re.compile("::|:[0-9A-Fa-f]{1,4}:"), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:.]*\w)")),
+    ("ip", _number, re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)")),
+    ("ssn", _number, re.compile(r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])")),
+    ("phone", _number, re.compile(
+        r"\+\d{1,3}[ -]?\(?\d{2,4}\)?[ -]?\d{3}[ -]?\d{2,4}(?:[ -]?\d{2,4})?(?!\d)|(?<![\d.-])(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?![\d.-]*\d)")),
+    ("card", _number, re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")),
+    ("person", re.compile(rf"(?:{_titles}|{_givens})(?:\.? +|\.)[A-ZÀ-ÖØ-ÞА-Я]"), re.compile(_person)),
+]
+QUICK = list(dict.fromkeys(quick for _, quick, _ in PATTERNS))
 
 
 def _digest(key: bytes, *parts: object) -> int:
@@ -92,7 +113,7 @@ def _form(text: str, key: bytes, label: str) -> str:
     """A string of the same form: ASCII letters, their case, digits and signs stay what they are in kind; one permutation of
     all strings of that form. Other letters become ASCII letters of their case."""
     kinds, number, size = [], 0, 1
-    hexed = all(c in "0123456789abcdef" for c in text) and any(c.isdigit() for c in text)
+    hexed = all(c in "0123456789abcdef" for c in text) and any(map(str.isdigit, text)) and any(map(str.isalpha, text))
     for c in text:
         if hexed:
             signs = "0123456789abcdef"
@@ -120,178 +141,257 @@ def _form(text: str, key: bytes, label: str) -> str:
     return "".join(reversed(out))
 
 
+class Entity(NamedTuple):
+    """What is replaced: its type, canonical form, gender (given names only), and place in the text."""
+
+    kind: str
+    canon: str
+    hint: str | None
+    start: int
+    end: int
+
+
+def luhn(digits: str) -> int:
+    """The check digit that belongs after these digits."""
+    doubled = [int(d) * (2 - k % 2) for k, d in enumerate(reversed(digits))]
+    return -sum(n - 9 * (n > 9) for n in doubled) % 10
+
+
+def _mod97(account: str) -> int:
+    return int("".join(str(int(c, 36)) for c in account)) % 97
+
+
+def _block(number: int) -> ipaddress.IPv4Network | None:
+    address = ipaddress.ip_address(number)
+    return next((b for b in BLOCKS if address in b), None)
+
+
 def _script(word: str) -> str:
     return "cyrillic" if "\u0400" <= word[0] <= "\u04ff" else "latin"
 
 
-def gender_of(given: str, title: str) -> str:
-    told = TITLES.get(title.lower(), "n")
-    if told != "n":
-        return told
-    known = [g for (s, g), names in GIVEN.items() if given in names]
-    return known[0] if known else "n"
+def _known_gender(given: str) -> str | None:
+    return next((g for (_, g), names in GIVEN.items() if given in names), None)
 
 
-def canonical(kind: str, m: re.Match) -> str:
-    if kind == "email":
-        return m.group().lower()
-    if kind in ("phone", "card"):
-        return re.sub(r"\D", "", m.group())
-    if kind == "secret":
-        return m.group("value")
-    if kind == "person":
-        return "\t".join((gender_of(m.group("given"), m.group("title")), m.group("given"), m.group("family") or ""))
-    return m.group()
+def _ssn_allowed(digits: str) -> bool:
+    return digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"
 
 
-def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
+def surrogate(kind: str, canon: str, hint: str | None, attempt: int, key: bytes) -> str:
     """The replacement of an entity in its canonical form."""
     label = f"{kind}/{attempt}/"
-    if kind == "email":
-        user, _, host = canon.partition("@")
-        name, dot, top = host.rpartition(".")
-        return f"{_form(user, key, label)}@{_form(name, key, label + 'h')}{dot}{top}" if dot else f"{_form(user, key, label)}@{_form(host, key, label)}"
-    if kind == "ip":
-        number = 0
-        for part in canon.split("."):
-            number = number * 256 + int(part)
-        number = permute(number, 1 << 32, key, label)
-        return ".".join(str(number >> s & 255) for s in (24, 16, 8, 0))
-    if kind == "phone":
-        keep = 1 if len(canon) <= 11 else 2  # the country stays
-        return canon[:keep] + _digits(canon[keep:], key, label)
-    if kind == "card":
-        return _digits(canon, key, label)
-    if kind == "secret":
-        return _form(canon, key, label)
-    gender, given, family = canon.split("\t")
-    out = [gender]
-    for word, names in ((given, GIVEN[_script(given), gender]), (family, FAMILY[_script(family)] if family else [])):
-        if not names:
-            out.append("")
-            continue
-        draws = 1 + attempt // 2
-        number = _digest(key, label, given, family, len(out))
-        parts = []
-        for _ in range(draws):
-            number, at = divmod(number, len(names))
-            parts.append(names[at])
-        out.append("-".join(parts))
-    return "\t".join(out)
-
-
-def spelled(kind: str, m: re.Match, replacement: str) -> str:
+    match kind:
+        case "email":
+            user, _, host = canon.partition("@")
+            name, dot, top = host.rpartition(".")
+            return f"{_form(user, key, label)}@{_form(name, key, label + 'h')}{dot}{top}" if dot else f"{_form(user, key, label)}@{_form(host, key, label)}"
+        case "secret":
+            return _form(canon, key, label)
+        case "key":
+            prefix = next(p for p in KEY_PREFIXES if canon.startswith(p))
+            return prefix + _form(canon[len(prefix) :], key, label + prefix)
+        case "iban":
+            account = _form(canon[4:], key, label + canon[:2])
+            return f"{canon[:2]}{98 - _mod97(account + canon[:2] + '00'):02}{account}"
+        case "ipv6":
+            number = int(ipaddress.ip_address(canon))
+            return str(ipaddress.ip_address(number >> 112 << 112 | permute(number & (1 << 112) - 1, 1 << 112, key, label + str(number >> 112))))
+        case "ip":
+            number = int(ipaddress.ip_address(".".join(str(int(x)) for x in canon.split("."))))
+            block = _block(number)
+            if block:
+                first = int(block.network_address)
+                return str(ipaddress.ip_address(first + permute(number - first, block.num_addresses, key, label + str(block))))
+            number = permute(number, 1 << 32, key, label)
+            while _block(number):
+                number = permute(number, 1 << 32, key, label)
+            return str(ipaddress.ip_address(number))
+        case "ssn":
+            found = _digits(canon, key, label)
+            while not _ssn_allowed(found):
+                found = _digits(found, key, label)
+            return found
+        case "phone":
+            keep = 0 if canon[0] != "+" else 2 if len(canon) <= 12 else 3  # the country stays
+            return canon[:keep] + _digits(canon[keep:], key, label)
+        case "card":
+            body = canon[0] + _digits(canon[1:-1], key, label)
+            return body + str(luhn(body))
+        case "number":
+            return _digits(canon, key, label)
+        case _:
+            script, number = _script(canon), _digest(key, label, canon)
+            gender = (hint or "n") if kind == "given" else ""
+            if not attempt:
+                names = GIVEN[script, gender] if gender else FAMILY[script]
+                return names[number % len(names)]
+            parts, syllables = [], SYLLABLES[script]
+            for _ in range(2 + (attempt - 1) // 3):
+                number, at = divmod(number, len(syllables))
+                parts.append(syllables[at])
+            return "".join(parts).capitalize() + ENDINGS[script, gender]
+
+
+def spelled(kind: str, text: str, replacement: str) -> str:
     """The surrogate in the spelling of the occurrence: its separators, its case."""
-    text = m.group()
-    if kind in ("phone", "card"):
-        digits = iter(replacement)
-        return "".join(next(digits) if c.isdigit() else c for c in text)
+    if kind in ("phone", "card", "number", "ssn", "iban"):
+        signs = iter(c for c in replacement if c.isalnum())
+        return "".join(next(signs) if c.isalnum() else c for c in text)
     if kind == "email":
         return replacement.upper() if text.isupper() else replacement
-    if kind == "secret":
-        return text.replace(m.group("value"), replacement)
-    if kind == "person":
-        _, given, family = replacement.split("\t")
-        start = m.start()
-        return text[: m.start("given") - start] + given + (text[m.end("given") - start : m.start("family") - start] + family if m.group("family") else "")
     return replacement
 
 
-def entities_of(text: str | None) -> Iterator[tuple[str, re.Match]]:
-    if text and _QUICK(text):
-        for m in PATTERN.finditer(text):
-            yield next(k for k in ("email", "secret", "ip", "phone", "card", "person") if m.group(k)), m
+def _entities(kind: str, m: re.Match) -> tuple[str, list[Entity]] | None:
+    """(type to report, what to replace) of a match; None if it fails its check."""
+    text = m.group()
+    if kind == "person":
+        title = (m.group("title") or "").lower()
+        if title and not m.group("second") and not _known_gender(m.group("first")):  # a title and one name: the family's
+            return kind, [Entity("family", m.group("first"), None, *m.span("first"))]
+        given, family = ("first", "second") if title else ("given", "family")
+        told = TITLES.get(title, "n")
+        hint = told if told != "n" else _known_gender(m.group(given))
+        found = [Entity("given", m.group(given), hint, *m.span(given))]
+        return kind, found + ([Entity("family", m.group(family), None, *m.span(family))] if m.group(family) else [])
+    if kind == "secret":
+        part = "value" if m.group("value") else "bare"
+        return kind, [Entity(kind, m.group(part), None, *m.span(part))]
+    canon = text
+    if kind == "email":
+        canon = text.lower()
+    elif kind == "phone":
+        canon = "+" * (text[0] == "+") + re.sub(r"\D", "", text)
+    elif kind in ("card", "ssn"):
+        canon = re.sub(r"\D", "", text)
+        if kind == "card" and luhn(canon[:-1]) != int(canon[-1]):
+            kind = "number"
+    elif kind == "iban":
+        canon = text.replace(" ", "")
+        if not 15 <= len(canon) <= 34 or _mod97(canon[4:] + canon[:4]) != 1:
+            return None
+    elif kind == "ipv6":
+        try:
+            canon = str(ipaddress.IPv6Address(text))
+        except ValueError:
+            return None
+        if text.count(":") < 3 and "::" not in text or len(text) < 4:
+            return None
+    return kind, [Entity(kind, canon, None, *m.span())]
+
+
+def entities_of(text: str | None) -> list[tuple[str, list[Entity]]]:
+    """(type, what to replace) for each entity of a text, in order; they do not overlap."""
+    taken: list[tuple[int, int, str, list[Entity]]] = []
+    holds = {quick: bool(quick.search(text)) for quick in QUICK} if text else {}
+    for kind, quick, pattern in PATTERNS:
+        if holds.get(quick):
+            at = 0
+            while m := pattern.search(text, at):
+                at = m.end()
+                if kind == "person" and m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
+                    at = m.start() + 1
+                    continue
+                k = bisect_left(taken, (m.end(),))
+                if (k == 0 or taken[k - 1][1] <= m.start()) and (found := _entities(kind, m)):
+                    insort(taken, (m.start(), m.end(), *found))
+    return [t[2:] for t in taken]
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """doc_id, kind, canon: one row for each entity of each document, equal ones once."""
+    """doc_id, kind, canon, hint: one row for each thing to replace of each document, equal ones once."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, kind, canon = [], [], []
+            row, found = [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
-                for k, c in dict.fromkeys((k, canonical(k, m)) for k, m in entities_of(text)):
+                for e in dict.fromkeys(e[:3] for _, parts in entities_of(text) for e in parts):
                     row.append(n)
-                    kind.append(k)
-                    canon.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(kind, pa.string()), pa.array(canon, pa.string())], ["doc_id", "kind", "canon"])
+                    found.append(e)
+            columns = [pa.array([e[k] for e in found], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *columns], ["doc_id", "kind", "canon", "hint"])
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, kind string, canon string")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, kind string, canon string, hint string")
 
 
 def _attempted(entities: DataFrame, key: bytes) -> DataFrame:
-    """Add the surrogate to rows with kind, canon, attempt."""
+    """Add the surrogate to rows with kind, canon, hint, mixed, attempt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [surrogate(*x, key) for x in zip(*(c.to_pylist() for c in batch.columns[:3]))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string())], ["kind", "canon", "attempt", "surrogate"])
+            kind, canon, hint, _, attempt = (c.to_pylist() for c in batch.columns)
+            out = [surrogate(*x, key) for x in zip(kind, canon, hint, attempt)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], ["kind", "canon", "hint", "mixed", "attempt", "surrogate"])
 
-    return entities.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, surrogate string")
+    return entities.select("kind", "canon", "hint", "mixed", "attempt").mapInArrow(run, "kind string, canon string, hint string, mixed boolean, attempt int, surrogate string")
 
 
-def settle(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, canon, attempt, surrogate for distinct entities: surrogates are distinct and no real entities."""
+def settle(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, canon, hint, mixed, attempt, surrogate for each entity found (kind, canon, hint): surrogates are distinct and no
+    real entities. mixed: its occurrences tell different genders, or some none. Each attempt draws anew, from more names after a
+    few, so the loop ends."""
+    hints = F.count_distinct(F.coalesce("hint", F.lit(""))) > 1
+    entities = cut(found.groupBy("kind", "canon").agg(F.max("hint").alias("hint"), hints.alias("mixed")))
     real = entities.select("kind", "canon")
     settled = cut(_attempted(entities.withColumn("attempt", F.lit(0)), key))
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         order = F.struct("attempt", F.xxhash64("canon"), "canon")  # the earliest attempt keeps a shared surrogate
         keeper = settled.groupBy("kind", "surrogate").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
         shared = keeper.filter("n > 1").select("kind", "surrogate", F.col("k.canon").alias("keeper"))
         taken = real.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
         checked = settled.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
         again = F.coalesce(F.col("taken"), F.lit(False)) | (F.col("keeper").isNotNull() & (F.col("keeper") != F.col("canon")))
-        marked = cut(checked.withColumn("again", again).select("kind", "canon", "attempt", "surrogate", "again"))
+        marked = cut(checked.withColumn("again", again).select(*settled.columns, "again"))
         if not marked.filter("again").limit(1).count():
             return settled
         moved = _attempted(marked.filter("again").withColumn("attempt", F.col("attempt") + 1), key)
         settled = cut(marked.filter("not again").drop("again").unionByName(moved))
-    raise ValueError(f"surrogates still collide after {MAX_ATTEMPTS} attempts: the lists of names are too short for this corpus")
 
 
-def replaced(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with text replaced, plus n_entities and kinds (an entity kind for each occurrence, in order)."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_entities", "kinds", "_moved")
-    found = cut(find_entities(docs))
-    settled = settle(found.select("kind", "canon").distinct(), key)
-    later = settled.filter("attempt > 0").select("kind", "canon", "attempt")
-    few = F.broadcast(later) if later.count() <= BROADCAST_ENTITIES else later
-    moved = cut(found.join(few, ["kind", "canon"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("_moved")))
+    docs = docs.drop("n_entities", "kinds")
     names = docs.columns
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    n_moved = moved.count()
-    if n_moved:
-        rows = rows.join(F.broadcast(moved) if n_moved <= BROADCAST_ENTITIES else moved, "doc_id", "left")
-    else:
-        rows = rows.withColumn("_moved", F.expr("cast(null as array<struct<kind:string,canon:string,attempt:int>>)"))
-    rows = rows.select(*names, "_moved")
+    found = cut(find_entities(docs.select("doc_id", "text")))
+    settled = settle(found.select("kind", "canon", "hint"), key)
+    # what a document alone does not tell: later attempts, and genders that other documents tell
+    later = cut(settled.filter("attempt > 0 or mixed").select("kind", "canon", "surrogate"))
+    few = F.broadcast(later) if later.count() <= BROADCAST_ENTITIES else later
+    told = F.collect_set(F.struct("kind", "canon", "surrogate"))
+    moved = cut(found.join(few, ["kind", "canon"]).groupBy(F.col("doc_id").alias("id")).agg(told.alias("told")))
+    rows = docs.withColumn("text", F.col("text").cast("string")).select(F.struct("*").alias("row"))
+    side = F.broadcast(moved) if moved.count() <= BROADCAST_ENTITIES else moved
+    rows = rows.join(side, F.col("row.doc_id").eqNullSafe(F.col("id")), "left").select("row", "told")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, str, int], str] = {}
+        memo: dict[tuple[str, str, str | None], str] = {}
         for batch in batches:
             out, kinds = [], []
-            for text, moves in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                attempts = {(m["kind"], m["canon"]): m["attempt"] for m in moves or []}
+            columns = batch.column(0).flatten()
+            for text, told in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
+                known = {(m["kind"], m["canon"]): m["surrogate"] for m in told or []}
                 parts, done, seen = [], 0, []
-                for kind, m in entities_of(text):
-                    canon = canonical(kind, m)
-                    what = (kind, canon, attempts.get((kind, canon), 0))
-                    if what not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[what] = surrogate(*what, key)
-                    parts += [text[done : m.start()], spelled(kind, m, memo[what])]
-                    done = m.end()
+                for kind, entities in entities_of(text):
+                    for e in entities:
+                        new = known.get(e[:2])
+                        if new is None:
+                            if len(memo) > 100_000:
+                                memo.clear()
+                            new = memo.get(e[:3]) or memo.setdefault(e[:3], surrogate(*e[:3], 0, key))
+                        parts += [text[done : e.start], spelled(e.kind, text[e.start : e.end], new)]
+                        done = e.end
                     seen.append(kind)
                 out.append(text if not seen else "".join([*parts, text[done:]]))
                 kinds.append(seen)
-            columns = [*batch.columns[: len(names)]]
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array([len(k) for k in kinds], pa.int32()), pa.array(kinds, pa.list_(pa.string()))], [*names, "n_entities", "kinds"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["row"].dataType.fields)
     return rows.mapInArrow(run, fields + ", n_entities int, kinds array<string>")

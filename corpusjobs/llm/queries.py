@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is the session's `corpusjobs.pii.key`; without one, a new key for each run."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replaced(docs)
+    return pii.replaced(docs, spark.conf.get("corpusjobs.pii.key", secrets.token_hex(32)).encode())
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
