@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import string
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,14 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named (tests)."""
+    """Use the cluster's shared checkpoint folder. Where none is named, a local session (tests) sets its own; on a cluster that is an
+    error, as executors do not share a machine's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "corpusjobs-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corpusjobs-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,10 +43,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows are whole texts, so few of them make an Arrow batch."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time: they are whole texts. Spark bounds a batch by its bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +59,18 @@ def power_of_two(least: int, low: int, high: int) -> int:
     return max(low, min(high, 1 << max(0, int(least) - 1).bit_length()))
 
 
-def drop_rows(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 2_000_000) -> DataFrame:
-    """docs without the rows whose doc_id is in `ids` (distinct). The ids are broadcast while there are few (16 MB at most);
-    with more, both sides are shuffled by doc_id."""
-    ids = cut(ids.select(F.col("doc_id").alias("_drop")))
-    side = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    return docs.join(side, docs["doc_id"] == side["_drop"], "left_anti")
+def drop_rows(docs: DataFrame, rows: DataFrame, keys: list[str], broadcast_rows: int = 2_000_000) -> DataFrame:
+    """docs without the rows that agree with one of `rows` (distinct) in doc_id and, where asked for, in the hash of their text;
+    null agrees with null. The rows are broadcast while there are few (48 MB at most); with more, both sides are shuffled."""
+    rows = cut(rows.select(*(F.col(k).alias(f"_drop_{n}") for n, k in enumerate(keys))))
+    side = F.broadcast(rows) if rows.count() <= broadcast_rows else rows
+    own = {"doc_id": docs["doc_id"], "text_hash": text_hash()}
+    return docs.join(side, reduce(lambda a, b: a & b, (own[k].eqNullSafe(side[f"_drop_{n}"]) for n, k in enumerate(keys))), "left_anti")
+
+
+def text_hash() -> Column:
+    """What tells rows apart that share a doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 class Memo(dict):

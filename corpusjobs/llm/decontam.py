@@ -16,8 +16,10 @@ Only built-in functions run. The windows are broadcast while there are at most `
 the places are shuffled by shingle instead.
 
 Edge cases: null and empty texts have no words, a row each, not contaminated; null or empty items have no windows;
-equal items each count; repeated document rows are reported row by row; an empty benchmark contaminates nothing;
-other columns are ignored (`clean_documents` carries them).
+equal items each count; repeated document rows are reported row by row; texts of any length are read whole; of equally rare
+shingles of a window the one with the smaller hash, then place, is its prefix; an empty benchmark contaminates nothing;
+other columns are ignored (`clean_documents` carries them; it decides by row, also where a doc_id is null or occurs with
+several texts).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import ascii_lower, cut, drop_rows, power_of_two, text_or_empty
+from corpusjobs.llm.common import ascii_lower, cut, drop_rows, power_of_two, text_hash, text_or_empty
 
 WINDOW = 10
 #: Everything between words, once A-Z are lower case.
@@ -76,7 +78,7 @@ def _in_bitmap(h: Column, bitmap: Column, bits: int) -> Column:
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, n_hit, items (sorted item ids), and _row, the row's own number."""
+    """One row for each row of docs: doc_id, text_hash, n_words, n_hit, items (sorted item ids), and _row, the row's own number."""
     pieces = item_windows(benchmark, window)
     windows = cut(pieces.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
     shingles = windows.select(F.posexplode(_pair_hashes(F.col("words"))).alias("off", "h"), "words", "items")
@@ -85,7 +87,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     one_word = windows.filter(F.size("words") == 1).limit(1).count() > 0
     bits = power_of_two(BITS_PER_SHINGLE * n_known, 1 << 10, MAX_BITS)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", words_of(text_or_empty()).alias("words"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", text_hash().alias("text_hash"), words_of(text_or_empty()).alias("words"))
     # one-word windows need single words looked up too: their hashes follow those of the pairs
     hashed = numbered.withColumn("hs", _pair_hashes(F.col("words")))
     if one_word:
@@ -109,16 +111,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
 
     at = F.concat(places("hs"), places("hs1")) if one_word else places("hs")
     near = (
-        hashed.select("_row", "doc_id", "words", F.size("words").cast("long").alias("n_words"), at.alias("at"))
+        hashed.select("_row", "doc_id", "text_hash", "words", F.size("words").cast("long").alias("n_words"), at.alias("at"))
         .select(
-            "_row", "doc_id", "n_words",
+            "_row", "doc_id", "text_hash", "n_words",
             F.transform("at", lambda p: F.struct(
                 p["h"].alias("h"), p["at"].alias("at"), F.greatest(p["at"] - (window - 2), F.lit(0)).alias("first"),
                 F.slice(F.col("words"), F.greatest(p["at"] - (window - 2), F.lit(0)) + 1, F.lit(2 * window)).alias("around"),
             )).alias("near"),
         )
-        .select("_row", "doc_id", "n_words", F.explode_outer("near").alias("p"))
-        .select("_row", "doc_id", "n_words", "p.at", "p.first", "p.around", F.coalesce("p.h", F.xxhash64("_row")).alias("h"))
+        .select("_row", "doc_id", "text_hash", "n_words", F.explode_outer("near").alias("p"))
+        .select("_row", "doc_id", "text_hash", "n_words", "p.at", "p.first", "p.around", F.coalesce("p.h", F.xxhash64("_row")).alias("h"))
     )
     start = F.col("at") - F.col("off")
     whole = (
@@ -128,7 +130,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     side = prefixes.withColumnRenamed("h", "ph")
     joined = near.join(F.broadcast(side) if n_windows <= broadcast_windows else side, (F.col("h") == F.col("ph")) & whole, "left")
     spans = F.collect_set(F.when(F.col("ph").isNotNull(), F.struct(start.alias("s"), (start + F.size("need")).alias("e"))))
-    per_row = joined.groupBy("_row", "doc_id", "n_words").agg(spans.alias("spans"), F.collect_set("items").alias("lists"))
+    per_row = joined.groupBy("_row", "doc_id", "text_hash", "n_words").agg(spans.alias("spans"), F.collect_set("items").alias("lists"))
     covered = F.aggregate(
         F.sort_array("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -136,7 +138,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
             (acc["n"] + F.greatest(x["e"] - F.greatest(x["s"], acc["end"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["end"], x["e"]).alias("end")
         ),
     )["n"]
-    return per_row.select("_row", "doc_id", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("lists"))).alias("items"))
+    return per_row.select("_row", "doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.sort_array(F.array_distinct(F.flatten("lists"))).alias("items"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -149,5 +151,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark window, with all their columns."""
-    dirty = mark(docs.select("doc_id", "text"), benchmark).filter("n_hit > 0").select("doc_id").distinct()
-    return drop_rows(docs, dirty)
+    dirty = mark(docs.select("doc_id", "text"), benchmark).filter("n_hit > 0").select("doc_id", "text_hash").distinct()
+    return drop_rows(docs, dirty, ["doc_id", "text_hash"])

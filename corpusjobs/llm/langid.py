@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import small_batches
+from corpusjobs.llm.common import slices
 
 SAMPLE_ROWS, ROW_CHARS, SAMPLE_CHARS, LEAST_CHARS = 64, 20_000, 24_000, 256
 #: Numbers in the folded table, about (256 MB in a Python worker); symbols that one lane parses in a row.
@@ -211,11 +211,10 @@ class Model:
 def identify(docs: DataFrame, learn_from: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score for each row of docs; learns from the columns text and lang of learn_from."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(Model(sample(learn_from)))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, score = model.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 

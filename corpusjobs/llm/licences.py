@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import small_batches
+from corpusjobs.llm.common import slices
 
 THRESHOLD = 0.8
 
@@ -202,12 +202,11 @@ class Index:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, licence (of the best match, null without one), dice, n_matches, matches (licence, dice, start, end in characters)."""
-    small_batches(docs.sparkSession)
     pairs = TEMPLATES if templates is None else templates
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(pairs, threshold)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1).to_pylist():
                 hits = index.scan(text or "")

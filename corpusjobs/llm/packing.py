@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import Memo, cut, small_batches
+from corpusjobs.llm.common import Memo, cut, slices
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker keeps.
@@ -103,12 +103,11 @@ _WORDS: dict[str, WordIds] = {}
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the documents' tokens, cut where they exceed the capacity."""
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _WORDS.get(vocabulary) or _WORDS.setdefault(vocabulary, WordIds(vocabulary))
-        for batch in batches:
+        for batch in slices(batches):
             row, number, start, length, crc, ids = [], [], [], [], [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
                 data = words.encode(text or "") + end

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import cut, small_batches
+from corpusjobs.llm.common import cut, slices
 
 BROADCAST_ENTITIES = 200_000
 
@@ -301,10 +301,9 @@ def entities_of(text: str | None) -> list[tuple[str, list[Entity]]]:
 
 def find_entities(docs: DataFrame) -> DataFrame:
     """doc_id, kind, canon, hint: one row for each thing to replace of each document, equal ones once."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, found = [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
                 for e in dict.fromkeys(e[:3] for _, parts in entities_of(text) for e in parts):
@@ -355,7 +354,6 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with text replaced, plus n_entities and kinds (an entity kind for each occurrence, in order)."""
     if not key:
         raise ValueError("surrogates need a secret key")
-    small_batches(docs.sparkSession)
     docs = docs.drop("n_entities", "kinds")
     names = docs.columns
     found = cut(find_entities(docs.select("doc_id", "text")))
@@ -372,7 +370,7 @@ def replaced(docs: DataFrame, key: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[tuple[str, str, str | None], str] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out, kinds = [], []
             columns = batch.column(0).flatten()
             for text, told in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):

@@ -15,8 +15,9 @@ text; every document is scored, whole. Fitting is numpy on the driver, its size
 
 Edge cases: null and empty texts have no words (their score comes from the thresholds alone); labels without a rating
 are skipped and the lowest grade counts where a document has several; without labels, or with one grade only, every
-document gets that grade (2 without labels); repeated rows are scored row by row; other columns are ignored
-(`selected` carries them).
+document gets that grade (2 without labels); a tail probability that equals the limit is kept; texts of any length are read
+whole; repeated rows, and rows that share a doc_id or have none, are scored row by row; an empty table gives an empty
+result; other columns are ignored (`selected` carries them).
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import cut, drop_rows, small_batches
+from corpusjobs.llm.common import cut, slices
 
 MAX_TRAIN, DIMENSIONS = 8192, 1 << 18
 #: A place counts that so many sampled documents of a grade hold, and this share of the grade's documents.
@@ -142,11 +143,10 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    small_batches(docs.sparkSession)
     picked = cut(ratings(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "grade", "at"])
 
@@ -162,7 +162,7 @@ def grade(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     model = spark.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             p = model.value.tails([features(t) for t in batch.column(1).to_pylist()])
             good = p[:, GOOD - 1]
             yield pa.RecordBatch.from_arrays(
@@ -175,5 +175,16 @@ def grade(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
 
 
 def selected(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The rows of docs that are likely good, with all their columns."""
-    return drop_rows(docs, grade(docs, labels, tail).filter("not keep").select("doc_id").distinct())
+    """The rows of docs that are likely good, with all their columns; decided row by row, in one pass."""
+    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            p = model.value.tails([features(t) for t in batch.column(0).to_pylist()])
+            kept = batch.column(1).filter(pa.array(p[:, GOOD - 1] >= tail, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.flatten(), names)
+
+    names = docs.columns
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return rows.mapInArrow(run, fields)

@@ -14,8 +14,9 @@ A shard does not return pairs but its points' links to the smallest document of
 each point, and connected components join these over shards. A group of near copies costs one row for each member.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked as any other; shorter texts than three
-words have one shingle, the whole sequence; repeated rows are reported row by row; an empty table gives an empty result;
-other columns are ignored (`one_of_each` carries them).
+words have one shingle, the whole sequence; texts of any length count with all their shingles; a bit set in just half of the
+hashes is 0; repeated rows are reported row by row; a row without a doc_id belongs to its group and reports its smallest doc_id;
+an empty table gives an empty result; other columns are ignored (`one_of_each` carries them).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import cut, drop_rows, small_batches
+from corpusjobs.llm.common import cut, drop_rows, slices
 from corpusjobs.llm.components import components
 
 SHINGLE, RADIUS = 3, 2
@@ -70,10 +71,9 @@ def fingerprints_of(texts: list[str | None]) -> np.ndarray:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp: the fingerprint as a signed long with the same bits."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = fingerprints_of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -210,4 +210,4 @@ def find_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs that come first, by doc_id, in their group; all columns kept."""
     later = find_groups(docs, radius).filter("doc_id <> component_id").select("doc_id").distinct()
-    return drop_rows(docs, later)
+    return drop_rows(docs, later, ["doc_id"])

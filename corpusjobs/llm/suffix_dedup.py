@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import cut, power_of_two, small_batches, text_or_empty
+from corpusjobs.llm.common import cut, power_of_two, slices, text_or_empty
 
 MATCH, GRAM = 50, 25
 LEFT = MATCH - GRAM
@@ -324,7 +324,7 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
     part_bits = parts.bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(c[1], c[6]) for c in _candidates(batch, None, 0)]
             if not found:
                 continue
@@ -374,7 +374,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "common": [packer.compress(common)], "rest": [packer.compress(rest)], "first": [first.tobytes()], "last": [last.tobytes()]})
 
         packer, held, n = zstandard.ZstdCompressor(level=3), [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for data, row, _, at, low, high, gram in _candidates(batch, bitmap.value, n_bits):
                 doc = batch.column(0).to_numpy()[row]
                 held.append((suffixes(data, at, low, high), doc, (gram >> part_bits).astype(np.int64)))
@@ -394,7 +394,7 @@ def covered(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"k1": k1, "k2": k2, "j_low": low, "j_high": high, "owner": owner})
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for data, row, place, at, low, high, _ in _candidates(batch, bitmap.value, n_bits):
                 (k1, k2), take = names(suffixes(data, at, low, high)), pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), batch.column(0).take(take), batch.column(1).take(take), pa.array(place)], ["k1", "k2", "doc_id", "tag", "at"])
@@ -441,13 +441,12 @@ def union_of(spans: list[int]) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each row of docs."""
-    small_batches(docs.sparkSession)
     later, plain, touched = _with_spans(docs)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, removed, count, sha = [], [], [], []
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 runs = union_of(spans)
@@ -471,12 +470,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def shortened(docs: DataFrame) -> DataFrame:
     """doc_id, kept (bytes): what is left of each text. Removal can split a character, so the result is binary."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     later, plain, touched = _with_spans(docs)
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kept = []
             for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
                 edges = [0, *(x for r in union_of(spans) for x in r), len(text)]

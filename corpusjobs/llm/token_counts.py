@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusjobs.llm.common import Memo, small_batches
+from corpusjobs.llm.common import Memo, slices
 
 LIMIT = 512
 MEMO, PREFIXES = 700_000, 1_000_000
@@ -255,11 +255,10 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_chars: the longest prefix, in characters, of at most `limit` tokens."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens, chars = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -279,11 +278,10 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
 
 def store_prefixes(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ends array<int>, counts array<int>: what answers truncation and budget questions later."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = counter(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             stored = [of.prefixes(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([s[k] for s in stored], pa.list_(pa.int32())) for k in (0, 1))], ["doc_id", "ends", "counts"]

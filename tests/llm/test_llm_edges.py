@@ -58,4 +58,25 @@ def test_many_leaks_take_the_shuffled_way(spark):
 
     docs = documents(spark, [(n, str(n)) for n in range(20)])
     ids = docs.filter("doc_id % 2 = 0").select("doc_id")
-    assert [r["doc_id"] for r in drop_rows(docs, ids, broadcast_ids=0).orderBy("doc_id").collect()] == list(range(1, 20, 2))
+    assert [r["doc_id"] for r in drop_rows(docs, ids, ["doc_id"], broadcast_rows=0).orderBy("doc_id").collect()] == list(range(1, 20, 2))
+
+
+def test_verdicts_belong_to_rows(spark):
+    """Rows without a doc_id, and rows that share one, are kept or dropped by their own text."""
+    leak = "one two three four five six seven eight nine ten"
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    docs = documents(spark, [(None, "some clean words"), (None, f"x {leak} y"), (3, f"{leak} z"), (3, "clean words of the same document"), (4, None)])
+    kept = [(r["doc_id"], r["text"]) for r in decontam.clean_documents(docs, bench).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "some clean words"), (3, "clean words of the same document"), (4, None)], key=str)
+    labelled = [(n, "vile words here" if n % 2 else "good words here") for n in range(40)]
+    labels = spark.createDataFrame([(n, 1, n % 2) for n in range(40)], "doc_id long, quality int, toxic int")
+    rows = documents(spark, [*labelled, (None, "vile words here"), (None, "good words here"), (0, "vile words here")])
+    kept = [(r["doc_id"], r["text"]) for r in quality.selected(rows, labels).collect()]
+    assert (None, "good words here") in kept and (0, "good words here") in kept and not any("vile" in t for _, t in kept)
+
+
+def test_long_texts(spark, sides):
+    long = "good words of a long text " * 60_000
+    docs = documents(spark, [(0, long), (1, long + " ends otherwise"), (2, "short one")])
+    rows = {name: run().collect() for name, run in operators(docs, *sides).items() if name in ("licences", "tokens", "pii", "quality", "exact", "leaks", "simhash", "selected", "kept", "clean")}
+    assert all(sorted(r["doc_id"] for r in found) == [0, 1, 2] for found in rows.values())
