@@ -89,7 +89,7 @@ def with_maybe_repeated(rows: DataFrame, filter_rows: DataFrame, bits: int) -> D
     return rows.join(side, bucket == F.col("_b"), "left").withColumn("maybe", maybe).drop("_b", "_m")
 
 
-def _with_groups(rows: DataFrame, groups: DataFrame, n: str) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, n: str) -> DataFrame:
     """rows joined with their group by sha. The few groups of over HOT_ROWS rows are broadcast (there are at most one for each
     HOT_ROWS rows, and the number is checked), so their rows stay where they are; the rest is shuffled."""
     hot = groups.filter(F.col(n) > HOT_ROWS)
@@ -115,7 +115,7 @@ def find_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     maybe = seen.filter("maybe").select("doc_id", F.unhex("text_sha256").alias("sha"))
     groups = cut(maybe.groupBy("sha").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
-    again = _with_groups(maybe, groups, "group_size").select(
+    again = with_groups(maybe, groups, "group_size").select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")
     )
     return once.unionByName(again)
@@ -133,6 +133,6 @@ def kept_documents(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     groups = cut(with_maybe_repeated(digests, slots, bits).filter("maybe").groupBy("sha").agg(F.min("id").alias("keep"), F.count(F.lit(1)).alias("n")))
     seen = with_maybe_repeated(keyed, slots, bits)
     once, maybe = seen.filter(~F.col("maybe")).select("row.*"), seen.filter("maybe")
-    firsts = _with_groups(maybe, groups, "n").filter(F.col("id").eqNullSafe(F.col("keep")))
+    firsts = with_groups(maybe, groups, "n").filter(F.col("id").eqNullSafe(F.col("keep")))
     alone = firsts.filter("n = 1").select("row.*")
     return once.unionByName(alone).unionByName(firsts.filter("n > 1").dropDuplicates(["id", "sha"]).select("row.*"))

@@ -19,8 +19,8 @@ exactly one anchor.
 5. Owners join the suffixes' occurrences (skew is left to the join: a hot passage is one row on the owners' side), and
    each document's covered stretches are united and cut out.
 
-Edge cases: null is empty; texts under `MATCH` bytes lose nothing; rows that repeat both doc_id and text count as one
-document; equal strings in one document do not remove each other; an empty table gives an empty result; other
+Edge cases: null is empty; texts under `MATCH` bytes lose nothing; texts of any length are looked at by pieces of `SLICE` bytes
+that overlap, so no string is missed; rows that repeat both doc_id and text count as one document; equal strings in one document do not remove each other; an empty table gives an empty result; other
 columns are ignored (`shortened` returns the texts).
 """
 
@@ -37,16 +37,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusjobs.llm.common import cut, power_of_two, slices, text_or_empty
+from corpusjobs.llm.exact_dedup import with_groups
 
 MATCH, GRAM = 50, 25
 LEFT = MATCH - GRAM
 #: Layout of a suffix: right of the anchor, its length, left of the anchor backwards, its length plus one.
 WIDTH = MATCH + 1 + LEFT + 1
-MAX_BITS, BYTES_PER_PART = 1 << 29, 4 << 20
+MAX_BITS, BYTES_PER_PART, MAX_PARTS = 1 << 29, 4 << 20, 1 << 16
+#: Grams that a task gathers before it deals them out to the parts.
+GRAMS = 1 << 21
 #: Bytes of text that are looked at together.
 SLICE = 1 << 20
-#: Suffixes that a task gathers before it sorts them into runs; parts of the merge for each part of the grams.
-RUN, RUN_PARTS = 150_000, 4
+#: Suffixes that a task gathers before it sorts them into runs, and as a multiple of the runs' parts (MOST_RUN at most); parts of
+#: the merge for each part of the grams.
+RUN, RUN_PER_PART, MOST_RUN, RUN_PARTS = 150_000, 16, 1_000_000, 4
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(7)
@@ -323,7 +327,15 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
     """The bitmap of grams that are anchors in two documents at least, by the first n_bits bits of their hash."""
     part_bits = parts.bit_length() - 1
 
+    def dealt(held: list[np.ndarray]) -> pa.RecordBatch:
+        gram = np.sort(np.concatenate(held))
+        edges = np.searchsorted(gram, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
+        pieces = np.split((gram >> np.uint64(32 - part_bits)).astype(np.uint32), edges)
+        some = [k for k, p in enumerate(pieces) if len(p)]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[k].tobytes() for k in some], pa.binary())], ["part", "grams"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches):
             found = [(c[1], c[6]) for c in _candidates(batch, None, 0)]
             if not found:
@@ -332,10 +344,13 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
             gram = gram[np.append(True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1]))]  # once a document
-            edges = np.searchsorted(gram, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
-            short = (gram >> np.uint64(32 - part_bits)).astype(np.uint32)
-            pieces = np.split(short, edges)
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "grams"])
+            held.append(gram)
+            n += len(gram)
+            if n >= GRAMS:
+                yield dealt(held)
+                held, n = [], 0
+        if held:
+            yield dealt(held)
 
     size = (1 << n_bits) // parts
 
@@ -359,10 +374,11 @@ def covered(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_bits = power_of_two(total // 4, 1 << 16, MAX_BITS).bit_length() - 1
-    parts = power_of_two(total // BYTES_PER_PART, 4, 4096)
+    parts = power_of_two(total // BYTES_PER_PART, 4, MAX_PARTS)
     bitmap = spark.sparkContext.broadcast(repeated_grams(docs, n_bits, parts))
     # runs are merged in smaller parts: their suffixes are spread out in memory
     part_bits = np.uint64(64 - (RUN_PARTS * parts).bit_length() + 1)
+    run_size = max(RUN, min(MOST_RUN, RUN_PER_PART * RUN_PARTS * parts))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
@@ -379,7 +395,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 doc = batch.column(0).to_numpy()[row]
                 held.append((suffixes(data, at, low, high), doc, (gram >> part_bits).astype(np.int64)))
                 n += len(at)
-            if n >= RUN:
+            if n >= run_size:
                 yield from flush(held)
                 held, n = [], 0
         if held:
@@ -413,8 +429,11 @@ def _with_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     tagged = rows.withColumn("tag", F.xxhash64("text"))
     digests = cut(tagged.select("doc_id", "tag", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("n")))
-    groups = digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    later = cut(digests.join(groups, "sha").filter("doc_id > first").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct())
+    groups = cut(
+        digests.groupBy("sha").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("copies"))
+        .filter("first < last").drop("last")
+    )
+    later = cut(with_groups(digests, groups, "copies").filter("doc_id > first").select(F.col("doc_id").alias("_d"), F.col("tag").alias("_t")).distinct())
 
     def split(frame: DataFrame, ids: DataFrame, how: str) -> DataFrame:
         side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
