@@ -14,23 +14,36 @@ CAMEL = r"[A-Z]+(?=[A-Z][a-z]|[0-9]|\b)|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 CHARS_PER_TOKEN = 3
 
 
-STRUCTURED = "[a-z][A-Z]|[A-Z][A-Z][a-z]|_|[A-Za-z][0-9]|[0-9][A-Za-z]"
+#: An identifier with several snake or camel parts as the first group, or any other.
+STRUCTURED = r"((?=[A-Za-z0-9]*(?:_|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z][0-9]))[A-Za-z_][A-Za-z0-9_]*)|[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z only. lower() is right, and fast, where every character is ASCII."""
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case identifiers, then the parts of those with several snake or camel parts; duplicates stay."""
-    idents = F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
-    whole = F.filter(F.transform(idents, lambda x: F.lower(x)), lambda x: ~x.isin(STOP_WORDS))
+    """Lower-case identifiers, then the parts of those with several snake or camel parts; duplicates stay. The whole text is looked
+    through twice, once for all identifiers and once for the few with parts, so little is left to do for each."""
+    whole = F.filter(F.regexp_extract_all(ascii_lower(text), F.lit(IDENTIFIER), F.lit(0)), lambda x: ~x.isin(STOP_WORDS))
 
     def parts(x: Column) -> Column:
         found = F.regexp_extract_all(F.translate(x, "_", " "), F.lit(CAMEL), F.lit(0))
         kept = F.filter(F.transform(found, lambda p: F.lower(p)), lambda p: (F.char_length(p) > 1) & ~p.isin(STOP_WORDS))
         return F.when(F.size(found) > 1, kept).otherwise(F.array().cast("array<string>"))
 
-    structured = F.filter(idents, lambda x: x.rlike(STRUCTURED) & ~F.lower(x).isin(STOP_WORDS))
+    structured = F.filter(F.regexp_extract_all(text, F.lit(STRUCTURED), F.lit(1)), lambda x: (x != "") & ~F.lower(x).isin(STOP_WORDS))
     return F.concat(whole, F.flatten(F.transform(structured, parts)))
 
 
+def once(**columns: Column) -> Column:
+    """Columns by name that are worked out once for each row, however often later expressions look at them: the optimiser would
+    write them out at each place."""
+    return F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+
+
 def estimated_tokens(text: Column) -> Column:
     return (F.floor(F.char_length(text) / CHARS_PER_TOKEN) + 1).cast("int")
 

@@ -18,10 +18,22 @@ K1, B, TAIL = 1.5, 0.75, 0.25
 BROADCAST_TERMS = 1_000_000
 
 
+def _terms(chunks: DataFrame) -> DataFrame:
+    """project_id, chunk_id, length in tokens, terms: array of (term, tf), a row for each chunk.
+
+    A chunk is one row, so counting its terms needs no shuffle: tokens are sorted, and each run of equal ones is a term."""
+    keys = ["project_id", "chunk_id"]
+    tokens = chunks.select(*keys, T.once(tokens=F.sort_array(T.tokens(F.col("search_text")))))
+    begins = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | (F.get("tokens", i) != F.get("tokens", i - 1)))
+    marked = tokens.select(*keys, "tokens", T.once(begins=F.when(F.size("tokens") > 0, begins).otherwise(F.array().cast("array<int>"))))
+    end = lambda k: F.coalesce(F.get("begins", k + 1), F.size("tokens"))
+    runs = F.transform("begins", lambda at, k: F.struct(F.get("tokens", at).alias("term"), (end(k) - at).cast("long").alias("tf")))
+    return marked.select(*keys, F.size("tokens").cast("long").alias("length"), runs.alias("terms"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
-    """project_id, chunk_id, term, tf."""
-    terms = chunks.select("project_id", "chunk_id", F.explode(T.tokens(F.col("search_text"))).alias("term"))
-    return terms.groupBy("project_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """project_id, chunk_id, term, tf; needs no shuffle."""
+    return _terms(chunks).select("project_id", "chunk_id", F.inline("terms"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -107,16 +119,18 @@ def in_files(chunks: DataFrame, questions: DataFrame, named: DataFrame, per_file
 def named_files(questions: DataFrame, files: DataFrame) -> DataFrame:
     """project_id, question_id, path: files that a question names, by full path or by base name.
 
-    A base name joins the places in the question whose first three characters it shares (all, if it is shorter), so
-    questions are never paired with all files; the exact rules are tested on what is left.
+    A base name can begin where no word goes on (anywhere, if the file lies in no folder). Of the lengths that base names of
+    the project have, the text from there joins the names as a whole, so questions meet only files that they spell out, and
+    candidates grow with the questions. The exact rules are tested on what is left.
     """
-    low = F.lower("question")
-    names = files.select("project_id", "path", F.lower(F.element_at(F.split("path", "/"), -1)).alias("base")).distinct()
-    places = F.transform(F.sequence(F.lit(1), F.char_length("q")), lambda i: F.substring(F.col("q"), i, F.lit(3)))
-    keys = F.flatten(F.transform(places, lambda p: F.array(F.substring(p, 1, 1), F.substring(p, 1, 2), p)))
-    asked = questions.select("project_id", "question_id", low.alias("q")).filter("q <> ''")
-    keyed = asked.select("project_id", "question_id", "q", F.explode(F.array_distinct(keys)).alias("k"))
-    found = keyed.join(names.withColumn("k", F.substring("base", 1, 3)), ["project_id", "k"]).filter(F.contains(F.col("q"), F.col("base")))
+    base = F.lower(F.element_at(F.split("path", "/"), -1))
+    names = files.select("project_id", "path", base.alias("base")).distinct().filter("base <> ''").withColumn("top", ~F.contains("path", F.lit("/")))
+    sizes = names.select("project_id", "top", F.char_length("base").alias("size")).distinct()
+    asked = questions.select("project_id", "question_id", F.lower("question").alias("q")).filter("q <> ''").select("*", F.sequence(F.lit(1), F.char_length("q")).alias("every"))
+    begins = F.filter("every", lambda i: (i == 1) | ~F.substring(F.col("q"), i - 1, F.lit(1)).rlike(r"[\w.]"))
+    spots = asked.withColumn("some", begins).join(sizes, "project_id").select("project_id", "question_id", "q", "top", "size", F.explode(F.when(F.col("top"), F.col("every")).otherwise(F.col("some"))).alias("at"))
+    spelt = spots.filter(F.col("at") + F.col("size") - 1 <= F.char_length("q")).select("project_id", "question_id", "q", "top", F.substring(F.col("q"), F.col("at"), F.col("size")).alias("base"))
+    found = spelt.distinct().join(names, ["project_id", "top", "base"])
     quoted = F.concat(F.lit(r"(?<![\w.])\Q"), F.col("base"), F.lit(r"\E(?!\w)"))
     mentioned = F.contains(F.col("q"), F.lower("path")) | F.regexp_like(F.col("q"), quoted)
     return found.filter(mentioned).select("project_id", "question_id", "path").distinct()

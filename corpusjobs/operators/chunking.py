@@ -14,14 +14,11 @@ from corpusjobs.functions import segments as S
 from corpusjobs.functions import text as T
 
 MAX_CHARS, OVERLAP = 1500, 5
-#: Whole files travel in Arrow batches, so few of them make one.
-FILES_PER_BATCH = 200
 
 
 def chunk(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
     """project_id, path, chunk_index, start_line, end_line, content, symbol, file_type, chunk_id of files (project_id, path,
     content). Cutting a file is sequential; ids and types are added by built-in functions."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILES_PER_BATCH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,6 @@ SCHEMA = "project_id string, path string, row string, line int, end_line int, na
 def parse(files: DataFrame) -> DataFrame:
     """Tagged rows (symbol, call, import) of files (project_id, path, content); split them with the functions below. Write
     or cache the result where more than one of those is used."""
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusjobs.functions.text import STOP_WORDS
 from corpusjobs.operators import codegraph, relations
 from corpusjobs.plans import views as V
 
@@ -22,45 +23,58 @@ def query(sql: str | None = None):
     return keep
 
 
-PYTHON = "from .doc_{p} import f_{1}\n\ndef f_{2}(x):\n    return f_{3}(x)\n\nclass C_{4}:\n    def m_{5}(self):\n        return f_{6}(self)\n"
-SCRIPT = 'import {{ f_{1} }} from "./doc_{p}";\n\nfunction f_{2}(x) {{\n  return f_{3}(x);\n}}\nclass C_{4} {{\n  m_{5}(x) {{\n    return f_{6}(x);\n  }}\n}}\n'
+#: Source made of six words: eight lines of Python, ten of a script.
+PYTHON = "from .doc_{p} import f_{1}\nimport x_{1}\ndef f_{2}(x):\n    return f_{3}(x)\n\nclass C_{4}:\n    def m_{5}(self):\n        return f_{6}(self)\n"
+SCRIPT = 'import {{ f_{1} }} from "./doc_{p}";\nimport "x_{1}";\nfunction f_{2}(x) {{\n  return f_{3}(x);\n}}\nclass C_{4} {{\n  m_{5}(x) {{\n    return f_{6}(x);\n  }}\n}}\n'
 
 
-def _words(spark, d):
-    """project_id, doc_id, prev, w (six words), path: even documents are Python, odd ones scripts."""
-    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), 1, 6)
-    rows = V.table(spark, d, "documents").select(F.col("source").alias("project_id"), "doc_id", words.alias("w")).filter(F.size("w") == 6)
-    even = F.col("doc_id") % 2 == 0
+def _documents(spark, d):
+    """project_id, doc_id, prev, path, groups: all words of a text by sixes, the last ones filled up; even documents are Python."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))
+    rows = V.table(spark, d, "documents").select(F.col("source").alias("project_id"), "doc_id", words.alias("ws"))
     before = F.lag("doc_id").over(W.partitionBy("project_id", F.col("doc_id") % 2).orderBy("doc_id"))
-    return rows.select("*", F.coalesce(before, F.col("doc_id")).alias("prev"), F.concat(F.lit("lib/doc_"), F.col("doc_id").cast("string"), F.when(even, ".py").otherwise(".js")).alias("path"))
+    path = F.concat(F.lit("lib/doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".js"))
+    full = F.concat("ws", F.array_repeat(F.lit("pad"), F.pmod(-F.size("ws"), F.lit(6))))
+    rows = rows.select("project_id", "doc_id", F.coalesce(before, F.col("doc_id")).alias("prev"), path.alias("path"), full.alias("ws"))
+    sixes = F.transform(F.sequence(F.lit(0), (F.size("ws") / 6).cast("int") - 1), lambda g: F.slice("ws", g * 6 + 1, F.lit(6)))
+    return rows.withColumn("groups", F.when(F.size("ws") > 0, sixes).otherwise(F.array().cast("array<array<string>>"))).drop("ws")
+
+
+def _words(spark, d):
+    """project_id, doc_id, path, g, w: a row for each six words."""
+    return _documents(spark, d).select("project_id", "doc_id", "path", F.posexplode("groups").alias("g", "w"))
 
 
 def code(spark: SparkSession, d: str) -> DataFrame:
-    """project_id, path, content of synthetic code."""
+    """project_id, path, content of synthetic code, a block for each six words of the text."""
 
-    def filled(template: str):
+    def filled(template: str, w):
         import re
 
         parts = re.split(r"\{(\w)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
-        columns = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) if n % 2 == 0 else F.col("prev").cast("string") if p == "p" else F.get("w", F.lit(int(p) - 1)) for n, p in enumerate(parts)]
+        columns = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) if n % 2 == 0 else F.col("prev").cast("string") if p == "p" else F.get(w, F.lit(int(p) - 1)) for n, p in enumerate(parts)]
         return F.concat(*columns)
 
-    rows = _words(spark, d)
-    return rows.select("project_id", "path", F.when(F.col("doc_id") % 2 == 0, filled(PYTHON)).otherwise(filled(SCRIPT)).alias("content"))
+    def joined(template: str):
+        return F.array_join(F.transform("groups", lambda w: filled(template, w)), "")
+
+    return _documents(spark, d).select("project_id", "path", F.when(F.col("doc_id") % 2 == 0, joined(PYTHON)).otherwise(joined(SCRIPT)).alias("content"))
 
 
-CODE = """words AS (SELECT source AS project_id, doc_id, list_slice(regexp_extract_all(lower(text), '[a-z]{4,}'), 1, 6) AS w FROM documents),
-code AS (SELECT *, coalesce(lag(doc_id) OVER (PARTITION BY project_id, doc_id % 2 ORDER BY doc_id), doc_id) AS prev, doc_id % 2 = 0 AS py,
-  'lib/doc_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.js' END AS path FROM words WHERE len(w) = 6),
+CODE = """docs AS (SELECT source AS project_id, doc_id, doc_id % 2 = 0 AS py, 'lib/doc_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.js' END AS path,
+  regexp_extract_all(lower(coalesce(text, '')), '[a-z]{4,}') AS ws, coalesce(lag(doc_id) OVER (PARTITION BY source, doc_id % 2 ORDER BY doc_id), doc_id) AS prev FROM documents),
+code AS (SELECT project_id, doc_id, py, path, prev, g, CAST(g * CASE WHEN py THEN 8 ELSE 10 END AS INT) AS off, list_transform(range(1, 7), lambda i: coalesce(ws[g * 6 + i], 'pad')) AS w
+  FROM (SELECT *, unnest(range(0, (len(ws) + 5) // 6)) AS g FROM docs)),
 symbols AS (
-  SELECT project_id, path, 'f_' || w[2] AS name, 'f_' || w[2] AS qualname, 'function' AS kind, 3 AS start_line, CASE WHEN py THEN 4 ELSE 5 END AS end_line FROM code
-  UNION ALL SELECT project_id, path, 'C_' || w[4], 'C_' || w[4], 'class', 6, CASE WHEN py THEN 8 ELSE 10 END FROM code
-  UNION ALL SELECT project_id, path, 'm_' || w[5], 'C_' || w[4] || '.m_' || w[5], 'method', 7, CASE WHEN py THEN 8 ELSE 9 END FROM code),
+  SELECT project_id, path, 'f_' || w[2] AS name, 'f_' || w[2] AS qualname, 'function' AS kind, off + 3 AS start_line, off + CASE WHEN py THEN 4 ELSE 5 END AS end_line FROM code
+  UNION ALL SELECT project_id, path, 'C_' || w[4], 'C_' || w[4], 'class', off + 6, off + CASE WHEN py THEN 8 ELSE 10 END FROM code
+  UNION ALL SELECT project_id, path, 'm_' || w[5], 'C_' || w[4] || '.m_' || w[5], 'method', off + 7, off + CASE WHEN py THEN 8 ELSE 9 END FROM code),
 calls AS (
-  SELECT project_id, path, 4 AS line, 'f_' || w[3] AS name, 'f_' || w[2] AS caller, 'f_' || w[3] AS expr FROM code
-  UNION ALL SELECT project_id, path, 8, 'f_' || w[6], 'C_' || w[4] || '.m_' || w[5], 'f_' || w[6] FROM code),
-imports AS (SELECT project_id, path, 1 AS line, CASE WHEN py THEN 'lib.doc_' || prev ELSE 'path:lib/doc_' || prev END AS module, 'f_' || w[1] AS name FROM code),
-resolved AS (SELECT i.*, 'lib/doc_' || prev || CASE WHEN py THEN '.py' ELSE '.js' END AS target FROM imports i JOIN code USING (project_id, path))"""
+  SELECT project_id, path, off + 4 AS line, 'f_' || w[3] AS name, 'f_' || w[2] AS caller, 'f_' || w[3] AS expr FROM code
+  UNION ALL SELECT project_id, path, off + 8, 'f_' || w[6], 'C_' || w[4] || '.m_' || w[5], 'f_' || w[6] FROM code),
+imports AS (SELECT project_id, path, off + 1 AS line, CASE WHEN py THEN 'lib.doc_' || prev ELSE 'path:lib/doc_' || prev END AS module, 'f_' || w[1] AS name FROM code
+  UNION ALL SELECT project_id, path, off + 2, 'x_' || w[1], '' FROM code),
+resolved AS (SELECT i.*, CASE WHEN name <> '' THEN 'lib/doc_' || prev || CASE WHEN py THEN '.py' ELSE '.js' END END AS target FROM imports i JOIN docs USING (project_id, path))"""
 
 
 def _parsed(spark, d):
@@ -96,11 +110,12 @@ def import_keys(spark: SparkSession, d: str) -> DataFrame:
     return codegraph.import_keys(V.files(spark, d))
 
 
-@query(f"""WITH {CODE}, places AS (SELECT project_id, path, n AS line FROM code, range(1, 12) t(n)),
+@query(f"""WITH {CODE}, places AS (SELECT project_id, path, unnest(range(1, (len(ws) + 5) // 6 * CASE WHEN py THEN 8 ELSE 10 END + 2)) AS line FROM docs),
 i AS (SELECT p.project_id, p.path, line, arg_max(qualname, start_line) AS q FROM places p JOIN symbols s ON s.project_id = p.project_id AND s.path = p.path AND line BETWEEN start_line AND end_line GROUP BY ALL)
 SELECT project_id, path, CAST(line AS INT) AS line, coalesce(q, '<module>') AS qualname FROM places LEFT JOIN i USING (project_id, path, line)""")
 def enclosing_definitions(spark: SparkSession, d: str) -> DataFrame:
-    places = code(spark, d).select("project_id", "path", F.explode(F.sequence(F.lit(1), F.lit(11))).alias("line"))
+    lines = F.size("groups") * F.when(F.col("doc_id") % 2 == 0, 8).otherwise(10) + 1
+    places = _documents(spark, d).select("project_id", "path", F.explode(F.sequence(F.lit(1), lines)).alias("line"))
     return codegraph.enclosing(codegraph.symbols(_parsed(spark, d)), places)
 
 
@@ -150,8 +165,8 @@ def importers_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CODE}, b AS (SELECT project_id, target AS path, string_agg(DISTINCT path, ',' ORDER BY path) AS imported_by FROM resolved WHERE target <> path GROUP BY ALL),
-o AS (SELECT project_id, path, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target <> path), '') AS imports FROM resolved GROUP BY ALL)
-SELECT project_id, path, imports, '' AS external, coalesce(imported_by, '') AS imported_by FROM o LEFT JOIN b USING (project_id, path)""")
+o AS (SELECT project_id, path, coalesce(string_agg(DISTINCT target, ',' ORDER BY target) FILTER (target <> path), '') AS imports, string_agg(DISTINCT module, ',' ORDER BY module) FILTER (target IS NULL) AS external FROM resolved GROUP BY ALL)
+SELECT project_id, path, coalesce(imports, '') AS imports, coalesce(external, '') AS external, coalesce(imported_by, '') AS imported_by FROM docs LEFT JOIN o USING (project_id, path) LEFT JOIN b USING (project_id, path)""")
 def file_relations(spark: SparkSession, d: str) -> DataFrame:
     files = code(spark, d)
     out = relations.file_relations(codegraph.resolved_imports(codegraph.imports(_parsed(spark, d)), files), files)
@@ -162,33 +177,57 @@ def code_questions(spark: SparkSession, d: str) -> DataFrame:
     """Questions about defined names, in several forms."""
     rows = _words(spark, d)
     f, m = F.concat(F.lit("f_"), F.get("w", F.lit(1))), F.concat(F.lit("C_"), F.get("w", F.lit(3)), F.lit(".m_"), F.get("w", F.lit(4)))
-    k = F.col("doc_id") % 4
-    text = F.when(k == 0, F.concat(F.lit("who calls "), f)).when(k == 1, F.concat(F.lit("explain `"), m, F.lit("(x)` and unknown_name"))).when(k == 2, F.concat(F.lit("what is "), m, F.lit(" next to "), f)).otherwise(F.concat(F.lit("tell me about "), F.get("w", F.lit(0)), F.lit(" please")))
-    return rows.select("project_id", F.col("doc_id").cast("string").alias("question_id"), text.alias("question"))
+    k = (F.col("doc_id") + F.col("g")) % 5
+    text = (
+        F.when(k == 0, F.concat(F.lit("who calls "), f)).when(k == 1, F.concat(F.lit("explain `"), m, F.lit("(x)` and unknown_name"))).when(k == 2, F.concat(F.lit("what is "), m, F.lit(" next to "), f))
+        .when(k == 3, F.concat(F.lit("tell me about "), F.get("w", F.lit(0)), F.lit(" please"))).otherwise(F.concat(F.lit("Where is "), f, F.lit(" used?")))
+    )
+    return rows.select("project_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("g").cast("string")).alias("question_id"), text.alias("question"))
 
 
-ASKED = f"""{CODE}, asked AS (SELECT project_id, CAST(doc_id AS VARCHAR) AS question_id, doc_id % 4 AS k, 'f_' || w[2] AS f, 'C_' || w[4] || '.m_' || w[5] AS m, 'm_' || w[5] AS s, w[1] AS plain FROM code)"""
+ASKED = f"""{CODE}, asked AS (SELECT project_id, doc_id || '-' || g AS question_id, (doc_id + g) % 5 AS k, 'f_' || w[2] AS f, 'C_' || w[4] || '.m_' || w[5] AS m FROM code)"""
 
 
-@query(f"""WITH {ASKED} SELECT project_id, question_id, k IN (0) AS usage FROM asked""")
+@query(f"""WITH {ASKED} SELECT project_id, question_id, k IN (0, 4) AS usage FROM asked""")
 def usage_intent(spark: SparkSession, d: str) -> DataFrame:
     return code_questions(spark, d).select("project_id", "question_id", relations.has_usage_intent(F.col("question")).alias("usage"))
 
 
-@query(f"""WITH {ASKED}, c AS (
-  SELECT project_id, question_id, 1 AS pos, f AS symbol FROM asked WHERE k = 0
-  UNION ALL SELECT project_id, question_id, 1, m FROM asked WHERE k IN (1, 2) UNION ALL SELECT project_id, question_id, 2, f FROM asked WHERE k = 2)
-SELECT project_id, question_id, CAST(pos AS INT) AS pos, symbol FROM c""")
+CHOSEN = f"""{ASKED}, chosen AS (
+  SELECT project_id, question_id, k, 1 AS pos, f AS symbol FROM asked WHERE k IN (0, 4)
+  UNION ALL SELECT project_id, question_id, k, 1, m FROM asked WHERE k IN (1, 2) UNION ALL SELECT project_id, question_id, k, 2, f FROM asked WHERE k = 2)"""
+
+
+@query(f"""WITH {CHOSEN} SELECT project_id, question_id, CAST(pos AS INT) AS pos, symbol FROM chosen""")
 def question_symbols(spark: SparkSession, d: str) -> DataFrame:
     return relations.chosen_symbols(code_questions(spark, d), codegraph.symbols(_parsed(spark, d)))
 
 
-@query()
+@query(f"""WITH e AS (SELECT question_id, unnest(x) AS raw, unnest(range(len(x))) AS n FROM (SELECT CAST(item_id AS VARCHAR) AS question_id, regexp_extract_all(text, '{relations.CANDIDATE}') AS x FROM benchmark)),
+i AS (SELECT *, starts_with(raw, '`') AS quoted, ends_with(raw, '(') AS called, CASE WHEN starts_with(raw, '`') THEN regexp_replace(regexp_replace(regexp_replace(raw, '^`|`$', '', 'g'), '^\\s+|\\s+$', '', 'g'), '\\(.*$', '')
+  ELSE regexp_replace(raw, '\\s*\\($', '') END AS ident FROM e),
+c AS (SELECT *, quoted OR called OR regexp_matches(ident, '_|\\.|[a-z][A-Z]') AS code FROM i),
+k AS (SELECT * FROM c WHERE code OR length(ident) >= 4 AND lower(ident) NOT IN ({", ".join(f"'{w}'" for w in STOP_WORDS)})),
+f AS (SELECT question_id, n, code, 0 AS k, ident AS symbol FROM k UNION ALL SELECT question_id, n, code, 1, string_split(ident, '.')[-1] FROM k WHERE contains(ident, '.')),
+m AS (SELECT question_id, symbol, min({{'plain': NOT code, 'n': n, 'k': k}}) AS place FROM f WHERE length(symbol) >= 3 GROUP BY ALL)
+SELECT 'p' AS project_id, question_id, CAST(row_number() OVER (PARTITION BY question_id ORDER BY place) AS INT) AS pos, symbol, NOT place.plain AS code_like FROM m""")
 def question_candidates(spark: SparkSession, d: str) -> DataFrame:
     return relations.candidates(V.table(spark, d, "benchmark").select(F.lit("p").alias("project_id"), F.col("item_id").cast("string").alias("question_id"), F.col("text").alias("question")))
 
 
-@query()
+@query(f"""WITH {CHOSEN}, names AS (SELECT DISTINCT project_id, symbol FROM chosen),
+defs AS (SELECT * FROM (SELECT n.project_id, symbol, path, start_line AS line, row_number() OVER (PARTITION BY n.project_id, symbol ORDER BY path, start_line, qualname, kind) AS pos
+  FROM names n JOIN symbols s ON n.project_id = s.project_id AND symbol IN (name, qualname)) WHERE pos <= 200),
+rc AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY path, line, caller, expr) AS pos FROM calls),
+ri AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY path, line, module) AS pos FROM imports WHERE name <> ''),
+places AS (
+  SELECT project_id, symbol, 0 AS part, pos, path, line FROM defs
+  UNION ALL SELECT n.project_id, symbol, 1, pos, rc.path, rc.line FROM names n JOIN rc ON n.project_id = rc.project_id AND rc.name = string_split(symbol, '.')[-1] AND pos <= 200
+    WHERE NOT EXISTS (SELECT 1 FROM defs WHERE defs.project_id = n.project_id AND defs.symbol = n.symbol AND defs.path = rc.path AND defs.line = rc.line)
+  UNION ALL SELECT n.project_id, symbol, 2, pos, ri.path, ri.line FROM names n JOIN ri ON n.project_id = ri.project_id AND ri.name = string_split(symbol, '.')[-1] AND pos <= 200),
+once AS (SELECT c.project_id, question_id, path, line, min({{'g': CASE WHEN k IN (0, 4) AND part = 0 THEN 9 ELSE part END, 'no': c.pos, 'pos': p.pos}}) AS r
+  FROM chosen c JOIN places p ON p.project_id = c.project_id AND p.symbol = c.symbol GROUP BY ALL)
+SELECT project_id, question_id, CAST(row_number() OVER (PARTITION BY project_id, question_id ORDER BY r) AS INT) AS pos, path, CAST(line AS INT) AS line FROM once""")
 def question_locations(spark: SparkSession, d: str) -> DataFrame:
     parsed, files, asked = _parsed(spark, d), code(spark, d), code_questions(spark, d)
     symbols, imports = codegraph.symbols(parsed), codegraph.imports(parsed)
@@ -196,7 +235,7 @@ def question_locations(spark: SparkSession, d: str) -> DataFrame:
     return relations.locations(asked, picked, relations.chosen_files(asked, files), symbols, codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files))
 
 
-@query(f"""WITH {CODE}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS n, count(*) OVER (PARTITION BY project_id) AS total FROM code)
+@query(f"""WITH {CODE}, r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY path) AS n, count(*) OVER (PARTITION BY project_id) AS total FROM docs)
 SELECT project_id, string_agg('- ' || path, chr(10) ORDER BY n) FILTER (n <= 25) || CASE WHEN any_value(total) > 25 THEN chr(10) || '... and ' || (any_value(total) - 25) || ' more' ELSE '' END AS listing FROM r GROUP BY ALL""")
 def relation_listing(spark: SparkSession, d: str) -> DataFrame:
     return relations.listing(code(spark, d), ["project_id"], "path", F.concat(F.lit("- "), F.col("path")))

@@ -81,7 +81,6 @@ def archive_entries(archives: DataFrame, max_file_bytes: int = R.MAX_FILE_BYTES,
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in held], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return archives.select("project_id", "path", "content").mapInArrow(run, "project_id string, archive string, path string, file_size long, content binary, error string")
 
 
@@ -112,3 +111,11 @@ def decoded(files: DataFrame, max_bytes: int = R.MAX_FILE_BYTES) -> DataFrame:
     both = clean.unionByName(other)
     final = F.coalesce("_r", R.minified_reason(F.col("text")))
     return both.select(*named, F.when(final.isNull(), F.col("text")).alias("text"), final.alias("reason"))
+
+
+def spread(table: DataFrame, bytes_per_task: int = 8 << 20) -> DataFrame:
+    """A table of few bytes for each core, dealt out to all cores: one small file can be a single task otherwise. Larger tables stay as
+    their files split them, so what is shuffled is bounded by the number of cores."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(cores) if size <= bytes_per_task * cores else table

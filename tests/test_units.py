@@ -211,6 +211,38 @@ def test_vectors(spark):
     assert {(r["question_id"], r["chunk_id"]) for r in top} == {(x, x) for x in "123"}
 
 
+def test_nearest_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    made = [(f"p{k % 2}", f"c{k:03}", [float(x) for x in rng.integers(-2, 3, 6)]) for k in range(300)]
+    rows = spark.createDataFrame(made, "project_id string, chunk_id string, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(p, "q" + c, v) for p, c, v in made[:40]], "project_id string, question_id string, embedding array<double>")
+    unit = lambda v: np.array(v) / (np.linalg.norm(v) or 1)
+    want = {}
+    for p, c, v in made[:40]:
+        near = sorted((round(1 - float(unit(v) @ unit(w)), 9) + 0.0, d) for o, d, w in made if o == p)
+        want["q" + c] = [d for _, d in near[:4]]
+    for most in (vectors.BROADCAST_NUMBERS, 0):  # questions to every task, and blocks that join
+        monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", most)
+        monkeypatch.setattr(vectors, "BLOCK_QUESTIONS", 7)
+        monkeypatch.setattr(vectors, "BLOCK_VECTORS", 50)
+        got = {}
+        for r in vectors.nearest(rows, asked, 4).orderBy("question_id", "rank").collect():
+            got.setdefault(r["question_id"], []).append(r["chunk_id"])
+        assert got == want
+
+
+def test_named_files_with_equal_prefixes(spark):
+    """2,000 files test_*: 50 questions meet the files that they name, not all."""
+    files = spark.createDataFrame([("p", f"src/test_{n}.py") for n in range(2000)], "project_id string, path string")
+    asked = spark.createDataFrame([("p", str(n), f"what does test_{n}.py do, and test_x.py?") for n in range(50)], "project_id string, question_id string, question string")
+    got = bm25.named_files(asked, files)
+    assert {(r["question_id"], r["path"]) for r in got.collect()} == {(str(n), f"src/test_{n}.py") for n in range(50)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
 def test_history_and_context(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", "hi"), (1, 1, "system", "s"), (1, 2, "user", "a" * 30), (1, 3, "ai", " "), (1, 4, "ai", "b" * 30), (1, 5, "user", "c" * 300), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     clean = context.sanitized(turns)
