@@ -323,6 +323,17 @@ def _candidates(batch: pa.RecordBatch, bits: np.ndarray | None, n_bits: int) ->
             yield data, rows[owner], at - starts[owner] + offsets[owner], at, low, high, gram
 
 
+def ascending(values: np.ndarray) -> bytes:
+    """Ascending 32-bit numbers as compressed steps, the bytes of one weight together: the high ones are mostly zero."""
+    steps = np.diff(values, prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def from_ascending(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
     """The bitmap of grams that are anchors in two documents at least, by the first n_bits bits of their hash."""
     part_bits = parts.bit_length() - 1
@@ -332,7 +343,7 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
         edges = np.searchsorted(gram, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
         pieces = np.split((gram >> np.uint64(32 - part_bits)).astype(np.uint32), edges)
         some = [k for k, p in enumerate(pieces) if len(p)]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[k].tobytes() for k in some], pa.binary())], ["part", "grams"])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([ascending(pieces[k]) for k in some], pa.binary())], ["part", "grams"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -355,7 +366,7 @@ def repeated_grams(docs: DataFrame, n_bits: int, parts: int) -> np.ndarray:
     size = (1 << n_bits) // parts
 
     def twice(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(np.frombuffer(b"".join(pdf["grams"]), np.uint32))
+        values = np.sort(np.concatenate([from_ascending(x) for x in pdf["grams"]]))
         again = values[1:][values[1:] == values[:-1]]
         bits = np.zeros(size, np.uint8)
         bits[again >> np.uint32(32 - (n_bits - part_bits))] = 1
@@ -387,7 +398,7 @@ def covered(docs: DataFrame) -> DataFrame:
                 mine = part == p
                 run, first, last = sorted_run(rows[mine], doc[mine])
                 common, rest = front_code(run)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "common": [packer.compress(common)], "rest": [packer.compress(rest)], "first": [first.tobytes()], "last": [last.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "common": [packer.compress(common)], "rest": [packer.compress(rest)], "first": [packer.compress(first.tobytes())], "last": [packer.compress((last - first).tobytes())]})
 
         packer, held, n = zstandard.ZstdCompressor(level=3), [], 0
         for batch in slices(batches):
@@ -403,7 +414,10 @@ def covered(docs: DataFrame) -> DataFrame:
 
     def owned(pdf: pd.DataFrame) -> pd.DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
-        streams = [Run(unpack(c), unpack(r), np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)) for c, r, a, b in zip(pdf["common"], pdf["rest"], pdf["first"], pdf["last"])]
+        streams = []
+        for c, r, a, b in zip(pdf["common"], pdf["rest"], pdf["first"], pdf["last"]):
+            first = np.frombuffer(unpack(a), np.int64)
+            streams.append(Run(unpack(c), unpack(r), first, first + np.frombuffer(unpack(b), np.int64)))
         rows, common, first, last = merge(streams)
         row, low, high, owner = owners(rows, common, first, last)
         k1, k2 = names(rows[row])
