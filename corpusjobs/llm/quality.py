@@ -40,7 +40,8 @@ STEM, LEVELS = 4, (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 GRADES, GOOD, TAIL = 3, 2, 0.5
 #: Steps of the fit, their size, the pull of each weight to zero and what each step takes off its size.
 ROUNDS, STEP, SHRINK, LASSO = 150, 0.1, 1e-4, 0.03
-MEMO = 500_000
+#: Words that a task keeps.
+MEMO = 250_000
 #: Signs that end a word in ordinary prose.
 STOPS = ".,;:!?"
 
@@ -62,16 +63,14 @@ def place(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % DIMENSIONS
 
 
-_WORDS = Words()
-
-
-def features(text: str | None) -> list[int]:
-    """Sorted distinct places that are on for a text."""
+def features(text: str | None, known: Words | None = None) -> list[int]:
+    """Sorted distinct places that are on for a text; what is found about words is kept in `known`."""
+    known = Words() if known is None else known
     words = (text or "").split()
     if not words:
         return []
     counts = Counter(words)
-    info = [_WORDS[w] for w in counts]
+    info = [known[w] for w in counts]
     n = len(words)
     repeats = sum(map(str.__eq__, words, words[1:]))
     shares = {
@@ -146,8 +145,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     picked = cut(ratings(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches):
-            rows = [features(t) for t in batch.column(2).to_pylist()]
+            rows = [features(t, known) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "grade", "at"])
 
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
@@ -162,8 +162,9 @@ def grade(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFrame:
     model = spark.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches):
-            p = model.value.tails([features(t) for t in batch.column(1).to_pylist()])
+            p = model.value.tails([features(t, known) for t in batch.column(1).to_pylist()])
             good = p[:, GOOD - 1]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p.sum(axis=1)), pa.array(good), pa.array(good >= tail, pa.bool_())], ["doc_id", "expected_grade", "p_good", "keep"]
@@ -179,12 +180,11 @@ def selected(docs: DataFrame, labels: DataFrame, tail: float = TAIL) -> DataFram
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in slices(batches):
-            p = model.value.tails([features(t) for t in batch.column(0).to_pylist()])
-            kept = batch.column(1).filter(pa.array(p[:, GOOD - 1] >= tail, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.flatten(), names)
+            p = model.value.tails([features(t, known) for t in batch.column(at).cast(pa.string()).to_pylist()])
+            yield batch.filter(pa.array(p[:, GOOD - 1] >= tail, pa.bool_()))
 
-    names = docs.columns
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct("*").alias("row"))
+    at = docs.columns.index("text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return rows.mapInArrow(run, fields)
+    return docs.mapInArrow(run, fields)
