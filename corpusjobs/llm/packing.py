@@ -39,7 +39,7 @@ from corpusjobs.llm.common import Memo, cut, slices
 
 CAPACITY, END_ID = 4096, 1
 #: Words whose ids a worker keeps.
-MEMO = 600_000
+MEMO = 250_000
 #: Pieces of one length are ranked in buckets: so many for each shuffle partition over all lengths, of so many rows at least.
 BUCKETS, BUCKET_ROWS = 8, 50
 
