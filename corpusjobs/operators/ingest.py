@@ -29,10 +29,12 @@ def summary(results: DataFrame, projects: DataFrame | None = None) -> DataFrame:
 
     Status 200: all indexed (also for no results), 207: some, 400: none. Projects without results are those of `projects`.
     """
-    done = results.groupBy("project_id").agg(
-        F.count_if("success").alias("indexed"), F.count_if("skipped").alias("skipped"), F.count(F.lit(1)).alias("n"),
-        F.array_join(F.slice(F.sort_array(F.collect_set("message")), 1, 5), "; ").alias("reasons"),
-    )
+    counts = results.groupBy("project_id").agg(F.count_if("success").alias("indexed"), F.count_if("skipped").alias("skipped"), F.count(F.lit(1)).alias("n"))
+    # messages can be as many as files, so only the first few of a project are ever together
+    messages = results.filter("message is not null").select("project_id", "message").distinct()
+    first = messages.withColumn("_n", F.row_number().over(W.partitionBy("project_id").orderBy("message"))).filter("_n <= 5")
+    reasons = first.groupBy("project_id").agg(F.array_join(F.sort_array(F.collect_list("message")), "; ").alias("reasons"))
+    done = counts.join(reasons, "project_id", "left")
     if projects is not None:
         done = projects.select("project_id").distinct().join(done, "project_id", "left").fillna(0, ["indexed", "skipped", "n"])
     none = F.col("indexed") == 0

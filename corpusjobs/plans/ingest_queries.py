@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusjobs.functions import rules as R
 from corpusjobs.operators import ingest
 from corpusjobs.plans import views as V
+from corpusjobs.sources import readers
 from corpusjobs.sources import ignore
 
 QUERIES, ORACLE = {}, {}
@@ -116,6 +117,25 @@ def _verdicts(spark, d):
     return rows.select("project_id", "doc_id", F.coalesce(*by, R.minified_reason(text)).alias("upload"), F.coalesce(*by).alias("archive"))
 
 
+@query(r"""WITH p AS (SELECT doc_id, doc_id % 5 AS k, regexp_replace(coalesce(text, ''), '[^\x01-\x7F]', '?', 'g') AS plain FROM documents),
+b AS (SELECT *, strlen(plain) + CASE k WHEN 0 THEN 3 WHEN 3 THEN length(plain) - length(replace(plain, chr(10), '')) ELSE 1 END AS n,
+  replace(replace(CASE k WHEN 3 THEN replace(plain, chr(10), chr(13) || chr(10)) ELSE plain END || CASE k WHEN 1 THEN 'é' ELSE '' END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM p),
+r AS (SELECT *, CASE WHEN n > 20000 THEN 'File too large (' || format('{:,}', n) || ' bytes, limit 20,000)' WHEN k = 2 THEN 'File looks binary' WHEN k = 4 THEN 'File is not valid UTF-8 or cp1252 text'
+  WHEN length(t) > 2000 AND length(t) / len(string_split(t, chr(10))) > 300 THEN 'File looks minified or generated' END AS reason FROM b)
+SELECT doc_id, md5(CASE WHEN reason IS NULL THEN t END) AS text_md5, reason FROM r""")
+def decoded_files(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as bytes: with a mark, in cp1252, with a zero byte, with other line ends, and in neither encoding."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x01-\x7F]", "?")
+    k = F.col("doc_id") % 5
+    raw = lambda text: text.cast("binary")
+    content = (
+        F.when(k == 0, F.concat(F.lit(b"\xef\xbb\xbf"), raw(plain))).when(k == 1, F.concat(raw(plain), F.lit(b"\xe9"))).when(k == 2, F.concat(F.lit(b"\x00"), raw(plain)))
+        .when(k == 3, raw(F.replace(plain, F.lit("\n"), F.lit("\r\n")))).otherwise(F.concat(raw(plain), F.lit(b"\x81")))
+    )
+    files = V.table(spark, d, "documents").select("doc_id", content.alias("content"))
+    return readers.decoded(files, 20_000).select("doc_id", F.md5("text").alias("text_md5"), "reason")
+
+
 @query(f"WITH {ODD}, {PARTS}, {REPORT} SELECT * FROM verdicts")
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
     return _verdicts(spark, d)
