@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusjobs.functions import text as T
 from corpusjobs.functions.text import STOP_WORDS
 from corpusjobs.operators import codegraph, relations
 from corpusjobs.plans import views as V
+from corpusjobs.sources.checkpoints import settled
+from corpusjobs.sources.readers import spread
 
 QUERIES, ORACLE = {}, {}
 
@@ -29,15 +32,20 @@ SCRIPT = 'import {{ f_{1} }} from "./doc_{p}";\nimport "x_{1}";\nfunction f_{2}(
 
 
 def _documents(spark, d):
-    """project_id, doc_id, prev, path, groups: all words of a text by sixes, the last ones filled up; even documents are Python."""
+    """project_id, doc_id, prev, path, groups: all words of a text by sixes, the last ones filled up; even documents are Python.
+
+    The words are found once for each row (`T.once`), whatever columns a query takes: the cut into sixes looks at them again and
+    again. It takes single places: a slice within the lambda would copy the whole array each time."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))
-    rows = V.table(spark, d, "documents").select(F.col("source").alias("project_id"), "doc_id", words.alias("ws"))
-    before = F.lag("doc_id").over(W.partitionBy("project_id", F.col("doc_id") % 2).orderBy("doc_id"))
+    before = F.lag("doc_id").over(W.partitionBy("source", F.col("doc_id") % 2).orderBy("doc_id"))
     path = F.concat(F.lit("lib/doc_"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".js"))
-    full = F.concat("ws", F.array_repeat(F.lit("pad"), F.pmod(-F.size("ws"), F.lit(6))))
-    rows = rows.select("project_id", "doc_id", F.coalesce(before, F.col("doc_id")).alias("prev"), path.alias("path"), full.alias("ws"))
-    sixes = F.transform(F.sequence(F.lit(0), (F.size("ws") / 6).cast("int") - 1), lambda g: F.slice("ws", g * 6 + 1, F.lit(6)))
-    return rows.withColumn("groups", F.when(F.size("ws") > 0, sixes).otherwise(F.array().cast("array<array<string>>"))).drop("ws")
+    # dealt out after the window: parsing is the work, and the window's few partitions would hold it
+    rows = spread(spark.read.parquet(f"{d}/documents.parquet").select("source", "doc_id", "text", F.coalesce(before, F.col("doc_id")).alias("prev")))
+    rows = rows.select(F.col("source").alias("project_id"), "doc_id", "prev", path.alias("path"), T.once(found=words))
+    full = F.concat("found", F.array_repeat(F.lit("pad"), F.pmod(-F.size("found"), F.lit(6))))
+    rows = rows.select("project_id", "doc_id", "prev", "path", T.once(ws=full))
+    sixes = F.transform(F.sequence(F.lit(0), (F.size("ws") / 6).cast("int") - 1), lambda g: F.array(*(F.get("ws", g * 6 + i) for i in range(6))))
+    return rows.select("project_id", "doc_id", "prev", "path", T.once(groups=F.when(F.size("ws") > 0, sixes).otherwise(F.array().cast("array<array<string>>"))))
 
 
 def _words(spark, d):
@@ -81,6 +89,11 @@ def _parsed(spark, d):
     return codegraph.parse(code(spark, d))
 
 
+def _parsed_once(spark, d):
+    """For queries that look at it several times: parsing is most of their work."""
+    return settled(_parsed(spark, d))
+
+
 @query(f"WITH {CODE} SELECT * FROM symbols")
 def code_symbols(spark: SparkSession, d: str) -> DataFrame:
     return codegraph.symbols(_parsed(spark, d))
@@ -127,7 +140,8 @@ def _names(spark, d):
 
 
 NAMES = f"""{CODE}, names AS (SELECT DISTINCT project_id, unnest(['f_' || w[2], 'C_' || w[4] || '.m_' || w[5], 'nothing']) AS symbol FROM code),
-defs AS (SELECT n.project_id, symbol, path, start_line, qualname, row_number() OVER (PARTITION BY n.project_id, symbol ORDER BY path, start_line, qualname) AS pos FROM names n JOIN symbols s ON n.project_id = s.project_id AND (symbol = name OR symbol = qualname))"""
+keyed AS (SELECT *, name AS key FROM symbols UNION ALL SELECT *, qualname FROM symbols WHERE qualname <> name),
+defs AS (SELECT n.project_id, symbol, path, start_line, qualname, row_number() OVER (PARTITION BY n.project_id, symbol ORDER BY path, start_line, qualname) AS pos FROM names n JOIN keyed s ON n.project_id = s.project_id AND symbol = key)"""
 
 
 @query(f"WITH {NAMES} SELECT project_id, symbol, CAST(pos AS INT) AS pos, path, CAST(start_line AS INT) AS start_line, qualname FROM defs WHERE pos <= 200")
@@ -136,16 +150,16 @@ def definitions_by_name(spark: SparkSession, d: str) -> DataFrame:
     return found.select("project_id", "symbol", "pos", "path", "start_line", "qualname")
 
 
-@query(f"WITH {NAMES} SELECT DISTINCT n.project_id, symbol FROM names n JOIN symbols s ON n.project_id = s.project_id AND symbol IN (name, qualname)")
+@query(f"WITH {NAMES} SELECT DISTINCT n.project_id, symbol FROM names n JOIN keyed s ON n.project_id = s.project_id AND symbol = key")
 def known_symbol_names(spark: SparkSession, d: str) -> DataFrame:
     return relations.known_names(_names(spark, d), codegraph.symbols(_parsed(spark, d)))
 
 
 @query(f"""WITH {NAMES}, c AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY path, line, caller, expr) AS pos FROM calls)
-SELECT n.project_id, symbol, c.path, CAST(line AS INT) AS line, caller FROM names n JOIN c ON n.project_id = c.project_id AND c.name = string_split(symbol, '.')[-1] AND pos <= 200
-WHERE NOT EXISTS (SELECT 1 FROM defs WHERE defs.project_id = n.project_id AND defs.symbol = n.symbol AND defs.path = c.path AND defs.start_line = c.line)""")
+SELECT n.project_id, n.symbol, c.path, CAST(line AS INT) AS line, caller FROM names n JOIN c ON n.project_id = c.project_id AND c.name = string_split(n.symbol, '.')[-1] AND c.pos <= 200
+LEFT JOIN defs ON defs.project_id = n.project_id AND defs.symbol = n.symbol AND defs.path = c.path AND defs.start_line = c.line WHERE defs.path IS NULL""")
 def callers_by_name(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
+    parsed = _parsed_once(spark, d)
     return relations.symbol_callers(_names(spark, d), codegraph.symbols(parsed), codegraph.calls(parsed)).select("project_id", "symbol", "path", "line", "caller")
 
 
@@ -154,7 +168,7 @@ j AS (SELECT d.project_id, symbol, d.pos AS dpos, c.path, c.line, c.name, cpos,
   FROM defs d JOIN c ON c.project_id = d.project_id AND c.caller = d.qualname AND cpos <= 200 WHERE d.pos <= 200)
 SELECT project_id, symbol, CAST(row_number() OVER (PARTITION BY project_id, symbol ORDER BY internal DESC, line, dpos, cpos) AS INT) AS pos, path, CAST(line AS INT) AS line, name, internal FROM j""")
 def callees_by_name(spark: SparkSession, d: str) -> DataFrame:
-    parsed = _parsed(spark, d)
+    parsed = _parsed_once(spark, d)
     return relations.callees_of(_names(spark, d), codegraph.symbols(parsed), codegraph.calls(parsed)).select("project_id", "symbol", "pos", "path", "line", "name", "internal")
 
 
@@ -217,19 +231,19 @@ def question_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {CHOSEN}, names AS (SELECT DISTINCT project_id, symbol FROM chosen),
 defs AS (SELECT * FROM (SELECT n.project_id, symbol, path, start_line AS line, row_number() OVER (PARTITION BY n.project_id, symbol ORDER BY path, start_line, qualname, kind) AS pos
-  FROM names n JOIN symbols s ON n.project_id = s.project_id AND symbol IN (name, qualname)) WHERE pos <= 200),
+  FROM names n JOIN (SELECT *, name AS key FROM symbols UNION ALL SELECT *, qualname FROM symbols WHERE qualname <> name) s ON n.project_id = s.project_id AND symbol = key) WHERE pos <= 200),
 rc AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY path, line, caller, expr) AS pos FROM calls),
 ri AS (SELECT *, row_number() OVER (PARTITION BY project_id, name ORDER BY path, line, module) AS pos FROM imports WHERE name <> ''),
 places AS (
   SELECT project_id, symbol, 0 AS part, pos, path, line FROM defs
-  UNION ALL SELECT n.project_id, symbol, 1, pos, rc.path, rc.line FROM names n JOIN rc ON n.project_id = rc.project_id AND rc.name = string_split(symbol, '.')[-1] AND pos <= 200
-    WHERE NOT EXISTS (SELECT 1 FROM defs WHERE defs.project_id = n.project_id AND defs.symbol = n.symbol AND defs.path = rc.path AND defs.line = rc.line)
+  UNION ALL SELECT n.project_id, n.symbol, 1, rc.pos, rc.path, rc.line FROM names n JOIN rc ON n.project_id = rc.project_id AND rc.name = string_split(n.symbol, '.')[-1] AND rc.pos <= 200
+    LEFT JOIN defs ON defs.project_id = n.project_id AND defs.symbol = n.symbol AND defs.path = rc.path AND defs.line = rc.line WHERE defs.path IS NULL
   UNION ALL SELECT n.project_id, symbol, 2, pos, ri.path, ri.line FROM names n JOIN ri ON n.project_id = ri.project_id AND ri.name = string_split(symbol, '.')[-1] AND pos <= 200),
 once AS (SELECT c.project_id, question_id, path, line, min({{'g': CASE WHEN k IN (0, 4) AND part = 0 THEN 9 ELSE part END, 'no': c.pos, 'pos': p.pos}}) AS r
   FROM chosen c JOIN places p ON p.project_id = c.project_id AND p.symbol = c.symbol GROUP BY ALL)
 SELECT project_id, question_id, CAST(row_number() OVER (PARTITION BY project_id, question_id ORDER BY r) AS INT) AS pos, path, CAST(line AS INT) AS line FROM once""")
 def question_locations(spark: SparkSession, d: str) -> DataFrame:
-    parsed, files, asked = _parsed(spark, d), code(spark, d), code_questions(spark, d)
+    parsed, files, asked = _parsed_once(spark, d), code(spark, d), code_questions(spark, d)
     symbols, imports = codegraph.symbols(parsed), codegraph.imports(parsed)
     picked = relations.chosen_symbols(asked, symbols)
     return relations.locations(asked, picked, relations.chosen_files(asked, files), symbols, codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files))
