@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from corpusjobs.functions import rules as R
 from corpusjobs.functions import text as T
 from corpusjobs.operators.context import kept_in_order
+from corpusjobs.operators.ranking import numbered
 
 MAX_SUMMARIES = 8
 #: Names of documentation, manifests and entry points, and suffixes of code.
@@ -33,11 +34,15 @@ def group(path: Column) -> Column:
     return F.when(name.isin(README_NAMES), 0).when(name.isin(MANIFESTS), 1).when(stem.isin(ENTRY_STEMS) & is_code(path), 2).when(is_code(path), 3).otherwise(4)
 
 
+def _priority() -> list[Column]:
+    return [group(F.col("path")), F.size(F.split("path", "/")), F.desc("lines"), F.col("path")]
+
+
 def prioritized(files: DataFrame) -> DataFrame:
-    """files (project_id, path, lines) with position: by group, depth, length and name."""
-    depth = F.size(F.split("path", "/"))
-    order = W.partitionBy("project_id").orderBy(group(F.col("path")), depth, F.desc("lines"), "path")
-    return files.withColumn("position", F.row_number().over(order))
+    """project_id, path, lines, position of files: by group, depth, length and name. Contents stay where they are, and a project of any
+    size is numbered by many tasks."""
+    rows = files.select("project_id", "path", "lines")
+    return numbered(rows, _priority(), ["project_id"]).withColumn("position", F.col("position").cast("int"))
 
 
 def file_block(path: Column, content: Column) -> Column:
@@ -53,20 +58,24 @@ def modes(files: DataFrame, budget: int) -> DataFrame:
 
 def key_files(files: DataFrame, budget: int) -> DataFrame:
     """project_id, path, position, cost of key files taken verbatim: in order, skipping those over a quarter of the budget."""
-    ordered = prioritized(files).filter(is_key(F.col("path")))
     cost = T.estimated_tokens(file_block(F.col("path"), F.col("content")))
-    rows = ordered.select("project_id", F.struct("position", "path", cost.alias("cost")).alias("f")).groupBy("project_id").agg(F.sort_array(F.collect_list("f")).alias("fs"))
+    costs = files.filter(is_key(F.col("path"))).select("project_id", "path", cost.alias("cost"))
+    ordered = prioritized(files).filter(is_key(F.col("path"))).join(costs, ["project_id", "path"])
+    rows = ordered.select("project_id", F.struct("position", "path", "cost").alias("f")).groupBy("project_id").agg(F.sort_array(F.collect_list("f")).alias("fs"))
     kept = kept_in_order(F.transform("fs", lambda f: f["cost"]), F.lit(budget // 4))
     taken = rows.withColumn("kept", kept).select("project_id", F.explode(F.filter(F.col("fs"), lambda f, i: F.get(F.col("kept"), i))).alias("f"))
     return taken.select("project_id", "f.path", "f.position", "f.cost")
 
 
 def to_summarize(files: DataFrame, taken: DataFrame, per_file_tokens: int, limit: int = MAX_SUMMARIES) -> DataFrame:
-    """project_id, path, order, text: the first code files that were not taken, each block cut to the tokens a summary may read."""
-    rest = prioritized(files).join(taken.select("project_id", "path"), ["project_id", "path"], "left_anti").filter(is_code(F.col("path")))
-    number = F.row_number().over(W.partitionBy("project_id").orderBy("position"))
-    picked = rest.withColumn("order", number).filter(F.col("order") <= limit)
-    return picked.select("project_id", "path", "order", T.truncated(file_block(F.col("path"), F.col("content")), per_file_tokens).alias("text"))
+    """project_id, path, order, text: the first code files that were not taken, each block cut to the tokens a summary may read. Each
+    task keeps the first files of a project before they meet, and only their contents are read into blocks."""
+    names = files.filter(is_code(F.col("path"))).select("project_id", "path", "lines")
+    rest = names.join(taken.select("project_id", "path"), ["project_id", "path"], "left_anti")
+    number = F.row_number().over(W.partitionBy("project_id").orderBy(*_priority()))
+    picked = rest.withColumn("order", number).filter(F.col("order") <= limit).select("project_id", "path", "order")
+    block = T.truncated(file_block(F.col("path"), F.col("content")), per_file_tokens)
+    return files.join(picked, ["project_id", "path"]).select("project_id", "path", "order", block.alias("text"))
 
 
 def summaries_that_fit(summaries: DataFrame, taken: DataFrame, budget: int) -> DataFrame:

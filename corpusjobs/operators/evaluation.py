@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusjobs.operators.ranking import numbered
+
 #: What counts as a cited file path, and as a refusal.
 CITED = r"(?<![\w/.-])((?:[\w.-]+/)*[\w.-]+\.(?:py|jsx?|tsx?|java|go|rs|rb|php|cs|cpp|c|h|kt|swift|md|json|ya?ml|toml|sql|css|html))\b"
 REFUSAL = r"(?i)\b(does not|doesn't|do not|don't|no|not)\b[^.]{0,80}\b(contain|include|implement|have|find|found|support|exist|appear|mention)"
@@ -84,5 +85,5 @@ def drafted_questions(log: DataFrame) -> DataFrame:
     of each question, spaces at the ends and case aside; the first two distinct files."""
     key = F.lower(F.regexp_replace("question", r"^\s+|\s+$", ""))
     first = log.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct("position", "question", "sources"), F.col("position")).alias("r")).select("r.*")
-    number = F.row_number().over(W.orderBy("position"))  # over distinct questions only
-    return first.select(F.concat(F.lit("real-"), number.cast("string")).alias("question_id"), "question", F.slice(F.array_distinct("sources"), 1, 2).alias("expected_files"))
+    placed = numbered(first, [F.col("position")], name="_number")
+    return placed.select(F.concat(F.lit("real-"), F.col("_number").cast("string")).alias("question_id"), "question", F.slice(F.array_distinct("sources"), 1, 2).alias("expected_files"))
