@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 import string
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -12,25 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusjobs.sources.checkpoints import settled, shared_checkpoints  # noqa: F401
+
 #: Bytes of the separators that count as white space in the text contracts: space and \x09 to \x0D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder. Where none is named, a local session (tests) sets its own; on a cluster that is an
-    error, as executors do not share a machine's folders."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "corpusjobs-checkpoints"))
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and cut the lineage; survives lost executors."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -43,11 +31,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time: they are whole texts. Spark bounds a batch by its bytes."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Few rows and bytes at a time, as rows are whole texts: at most `rows`, and `size` bytes unless one row has more."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        rest = [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)][::-1]
+        while rest:
+            part = rest.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > size:
+                rest += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

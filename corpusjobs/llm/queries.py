@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusjobs.llm import decontam, exact_dedup, langid, licences, packing, pii, quality, simhash, suffix_dedup, token_counts
+from corpusjobs.llm import decontam, exact_dedup, fingerprints, importance, langid, licences, packing, pii, quality, simhash, suffix_dedup, token_counts, whitening
 from corpusjobs.llm.common import read_table
 
 
@@ -66,6 +66,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.find_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(read_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.scored(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 OP7_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -116,6 +129,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_document_fingerprints": op11_document_fingerprints,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_importance_resampling": op13_importance_resampling,
         "pipeline": pipeline,
     }
 
