@@ -7,12 +7,12 @@ at most `BROADCAST_TERMS` of them.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import text as T
+from corpusjobs.sources.checkpoints import settled
 
 K1, B, TAIL = 1.5, 0.75, 0.25
 BROADCAST_TERMS = 1_000_000
@@ -58,35 +58,45 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return questions.select("project_id", "question_id", F.explode(F.array_distinct(T.tokens(F.col("question")))).alias("term"))
 
 
+def asked_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """project_id, chunk_id, length, term, tf: a row for each term of `terms` (project_id, term; distinct) in a chunk, and one without a
+    term for every chunk.
+
+    A chunk's terms are counted in its row, and all that are not asked for are dropped there while the asked ones fit a broadcast, so
+    chunks are not shuffled.
+    """
+    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+    each = _terms(chunks).select("project_id", "chunk_id", "length", F.inline(F.concat(own, "terms")))
+    known = small(terms.select("project_id", "term", F.lit(True).alias("asked")))
+    return each.join(known, ["project_id", "term"], "left").filter("term is null or asked").select("project_id", "chunk_id", "length", "term", "tf")
+
+
 def scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     """project_id, question_id, chunk_id, score > 0.
 
-    Chunks are tokenised once. Within a task, a chunk's tokens collapse to a row for each asked term and one for all the
-    others, so the full postings are never shuffled; lengths and statistics follow from these rows, which are kept on
-    the executors' disks (spark.catalog.clearCache() frees them; lost ones are worked out again).
+    Chunks are tokenised once; their asked terms, lengths and the statistics that follow are a small table, settled in the shared
+    folder.
     """
     asked = question_terms(questions)
     terms = asked.select("project_id", "term").distinct()
-    small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
-    tokens = chunks.select("project_id", "chunk_id", F.explode_outer(T.tokens(F.col("search_text"))).alias("token"))
-    known = small(terms.select("project_id", F.col("term").alias("token"), "term"))
-    counts = tokens.join(known, ["project_id", "token"], "left").groupBy("project_id", "chunk_id", "term").agg(F.count("token").alias("tf"))
-    counts = counts.withColumn("length", F.sum("tf").over(W.partitionBy("project_id", "chunk_id"))).persist(StorageLevel.DISK_ONLY)
-    lengths = counts.groupBy("project_id", "chunk_id").agg(F.first("length").alias("length"))
-    projects = lengths.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_len"))
-    hit = counts.filter("term is not null")
+    rows = settled(asked_postings(chunks, terms))
+    hit = rows.filter("term is not null")
+    projects = rows.filter("term is null").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_len"))
     df = hit.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(projects, "project_id").select(
         "project_id", "term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
+    return _scored(hit, asked, weights)
+
+
+def _scored(hit: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFrame:
+    """Scores of asked postings (with length) for questions, by weights (project_id, term, avg_len, idf)."""
     norm = K1 * (1 - B + B * F.col("length") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    weighted = asked.join(weights, ["project_id", "term"])
-    return (
-        hit.join(small(weighted), ["project_id", "term"])
-        .groupBy("project_id", "question_id", "chunk_id")
-        .agg(F.sum(part).alias("score"))
-    )
+    weighted = settled(asked.join(weights, ["project_id", "term"]))
+    side = F.broadcast(weighted) if weighted.count() <= BROADCAST_TERMS else weighted
+    return hit.join(side, ["project_id", "term"]).groupBy("project_id", "question_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scored: DataFrame, chunks: DataFrame, n: int | None) -> DataFrame:
@@ -108,11 +118,12 @@ def without_tail(hits: DataFrame, share: float = TAIL) -> DataFrame:
     return hits.withColumn("best", best).filter(F.col("score") >= share * F.col("best")).drop("best")
 
 
-def in_files(chunks: DataFrame, questions: DataFrame, named: DataFrame, per_file: int = 3) -> DataFrame:
-    """The best chunks among named files (project_id, question_id, path), zero scores allowed: per_file for each file."""
+def in_files(chunks: DataFrame, questions: DataFrame, named: DataFrame, per_file: int = 3, scored: DataFrame | None = None) -> DataFrame:
+    """The best chunks among named files (project_id, question_id, path), zero scores allowed: per_file for each file. `scored` are the
+    scores of the questions, where they are known."""
     count = named.groupBy("project_id", "question_id").agg(F.count(F.lit(1)).alias("n_named"))
     candidates = named.join(chunks.select("project_id", "path", "chunk_id"), ["project_id", "path"]).drop("path")
-    scored = candidates.join(scores(chunks, questions), ["project_id", "question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scored = candidates.join(scores(chunks, questions) if scored is None else scored, ["project_id", "question_id", "chunk_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return ranked(scored, chunks, None).join(count, ["project_id", "question_id"]).filter(F.col("rank") <= per_file * F.col("n_named")).drop("n_named")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from corpusjobs.functions import codeparse, rules as R
 from corpusjobs.functions.segments import BRACE_EXTENSIONS
 
+#: Lines of a block in the join of lines and definitions.
+BLOCK = 64
 SCHEMA = "project_id string, path string, row string, line int, end_line int, name string, of string, detail string"
 
 
@@ -46,11 +48,38 @@ def imports(parsed: DataFrame) -> DataFrame:
     return parsed.filter("row = 'import'").select("project_id", "path", "line", F.col("of").alias("module"), "name")
 
 
+def definition_blocks(symbols: DataFrame, size: int = BLOCK) -> DataFrame:
+    """project_id, path, block, edges, around: for each block of `size` lines of a file that a definition touches, the definitions that
+    start or end there, and of those that cover the whole block the innermost one. `around` is null without one, `edges` may be empty.
+
+    A definition is in two blocks by its ends, and counts once in each block between them, so the table grows with the lines of files
+    and not with lines times definitions.
+    """
+    keys, inner = ["project_id", "path", "block"], F.struct("start_line", "qualname")
+    first, last = F.floor(F.col("start_line") / size).cast("int"), F.floor(F.col("end_line") / size).cast("int")
+    spans = symbols.filter("end_line >= start_line").select("project_id", "path", "start_line", "end_line", "qualname", first.alias("first"), last.alias("last"))
+    ends = spans.select("project_id", "path", F.explode(F.array_distinct(F.array("first", "last"))).alias("block"), F.struct("start_line", "qualname", "end_line").alias("edge"))
+    edges = ends.groupBy(keys).agg(F.collect_list("edge").alias("edges"))
+    between = spans.filter("last - first > 1").select("project_id", "path", F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("block"), inner.alias("inner"))
+    around = between.groupBy(keys).agg(F.max("inner").alias("around"))
+    none = F.array().cast("array<struct<start_line:int,qualname:string,end_line:int>>")
+    return edges.join(around, keys, "full").select(*keys, F.coalesce("edges", none).alias("edges"), "around")
+
+
 def enclosing(symbols: DataFrame, places: DataFrame) -> DataFrame:
-    """places (project_id, path, line) with qualname: the definition around a line that starts last, else <module>."""
-    inside = places.join(symbols, ["project_id", "path"]).filter("line between start_line and end_line")
-    inner = inside.groupBy("project_id", "path", "line").agg(F.max_by("qualname", F.struct("start_line", "qualname")).alias("qualname"))
-    return places.join(inner, ["project_id", "path", "line"], "left").withColumn("qualname", F.coalesce("qualname", F.lit("<module>")))
+    """places (project_id, path, line) with qualname: the definition around a line that starts last (of those on one line the last by
+    name), else <module>.
+
+    An interval join by blocks of lines: each place meets the one row of its block, whose few definitions it is tested against, so
+    no pair of a line and a definition of the file becomes a row, and a file of any length is dealt out by its blocks.
+    """
+    blocks = definition_blocks(symbols)
+    at = places.withColumn("block", F.floor(F.col("line") / BLOCK).cast("int"))
+    met = at.join(blocks, ["project_id", "path", "block"], "left")
+    inside = F.filter("edges", lambda e: (e["start_line"] <= F.col("line")) & (F.col("line") <= e["end_line"]))
+    last = F.array_max(F.transform(inside, lambda e: F.struct(e["start_line"].alias("start_line"), e["qualname"].alias("qualname"))))
+    found = F.greatest(last, F.col("around"))
+    return met.select(*(F.col(c) for c in places.columns if c != "qualname"), F.coalesce(found["qualname"], F.lit("<module>")).alias("qualname"))
 
 
 def import_keys(files: DataFrame) -> DataFrame:
@@ -77,8 +106,12 @@ def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     lookup = import_keys(named).groupBy("project_id", "key").agg(F.max_by("path", F.struct(-F.char_length("path"), "path")).alias("found"))
     base = named.groupBy("project_id", F.element_at(F.split("path", "/"), -1).alias("base")).agg(F.min("path").alias("by_base"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     full = F.when(F.col("name") != "", F.when(F.col("module") != "", F.concat_ws(".", "module", "name")).otherwise(F.col("name")))
-    out = imports.withColumn("_full", full).withColumn("_base", F.when(F.startswith(F.col("module"), F.lit("file:")), F.element_at(F.split("module", "[/:]"), -1)))
+    # what is imported is looked up once, however many files import it
+    keys = ["project_id", "module", "name"]
+    each = imports.select(keys).distinct()
+    out = each.withColumn("_full", full).withColumn("_base", F.when(F.startswith(F.col("module"), F.lit("file:")), F.element_at(F.split("module", "[/:]"), -1)))
     sub = lookup.select("project_id", F.col("key").alias("_full"), F.col("found").alias("_sub"))
     whole = lookup.select("project_id", F.col("key").alias("module"), F.col("found").alias("_whole"))
     out = out.join(sub, ["project_id", "_full"], "left").join(whole, ["project_id", "module"], "left").join(base.withColumnRenamed("base", "_base"), ["project_id", "_base"], "left")
-    return out.select(*imports.columns, F.coalesce("_sub", "_whole", "by_base").alias("target"))
+    targets = out.select(*keys, F.coalesce("_sub", "_whole", "by_base").alias("target")).filter("target is not null")
+    return imports.join(targets, keys, "left").select(*imports.columns, "target")

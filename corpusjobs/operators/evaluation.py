@@ -6,12 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusjobs.operators.ranking import numbered
+from corpusjobs.sources.checkpoints import settled
 
 #: What counts as a cited file path, and as a refusal.
 CITED = r"(?<![\w/.-])((?:[\w.-]+/)*[\w.-]+\.(?:py|jsx?|tsx?|java|go|rs|rb|php|cs|cpp|c|h|kt|swift|md|json|ya?ml|toml|sql|css|html))\b"
 REFUSAL = r"(?i)\b(does not|doesn't|do not|don't|no|not)\b[^.]{0,80}\b(contain|include|implement|have|find|found|support|exist|appear|mention)"
 
 
+#: Words of questions that go to every task, at most.
+BROADCAST_WORDS = 1_000_000
+
+
+def containing_files(questions: DataFrame, files: DataFrame) -> DataFrame:
+    """project_id, question_id, path: the files (project_id, path, content) of a project whose content holds the whole text of a question.
+
+    A containment join. Every word of the text but its first and last, cut at white space, is a word of such a file, so a question
+    meets only the files that hold the rarest of these words, and `contains` decides. Files give rows for asked words only. Texts
+    without an inner word are looked up as they are, among the parts of their length of the project's files. A text that is null matches
+    no file, an empty one all.
+    """
+    asked = questions.select("project_id", "question_id", F.col("question").cast("string").alias("question")).filter("question is not null")
+    split = F.split("question", r"\s+")
+    inner = F.when(F.size(split) > 2, F.array_distinct(F.filter(F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0))), lambda w: w != ""))).otherwise(F.array().cast("array<string>"))
+    asked = settled(asked.select("*", inner.alias("words")))
+    held = files.select("project_id", "path", F.coalesce("content", F.lit("")).alias("content"))
+    long_ones, short_ones = asked.filter("size(words) > 0"), asked.filter("size(words) = 0")
+    wanted = long_ones.select("project_id", F.explode("words").alias("word")).distinct()
+    small = F.broadcast if wanted.count() <= BROADCAST_WORDS else (lambda x: x)
+    found = held.select("project_id", "path", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("word")).join(small(wanted), ["project_id", "word"])
+    found = settled(found)
+    rarity = found.groupBy("project_id", "word").agg(F.count(F.lit(1)).alias("files"))
+    each = long_ones.select("project_id", "question_id", F.explode("words").alias("word")).join(rarity, ["project_id", "word"], "left")
+    # a word that no file holds is the rarest, and meets none
+    rarest = each.groupBy("project_id", "question_id").agg(F.min_by("word", F.struct(F.coalesce("files", F.lit(0)), "word")).alias("word"))
+    candidates = rarest.join(found, ["project_id", "word"]).select("project_id", "question_id", "path")
+    verified = candidates.join(long_ones.select("project_id", "question_id", "question"), ["project_id", "question_id"]).join(held, ["project_id", "path"])
+    out = verified.filter(F.contains("content", F.col("question"))).select("project_id", "question_id", "path")
+    if short_ones.limit(1).count():
+        sizes = short_ones.select("project_id", F.char_length("question").alias("n")).distinct()
+        spots = held.join(sizes, "project_id").filter(F.char_length("content") >= F.col("n"))
+        parts = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("content") - F.col("n") + 1), lambda i: F.substring(F.col("content"), i, F.col("n")))))
+        out = out.unionByName(spots.select("project_id", "path", parts.alias("question")).join(short_ones, ["project_id", "question"]).select("project_id", "question_id", "path"))
+    return out.distinct()
+
+
 def first_hits(ranked: DataFrame, expected: DataFrame) -> DataFrame:
     """mode, project_id, question_id, rank: the first rank at which an expected path (project_id, question_id, path) comes."""
     return ranked.join(expected.distinct(), ["project_id", "question_id", "path"]).groupBy("mode", "project_id", "question_id").agg(F.min("rank").alias("rank"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import text as T
 from corpusjobs.functions.text import STOP_WORDS
-from corpusjobs.operators import codegraph, relations
+from corpusjobs.operators import codegraph, relations, retrieval, vectors
 from corpusjobs.plans import views as V
 from corpusjobs.sources.checkpoints import settled
 from corpusjobs.sources.readers import spread
@@ -53,18 +55,18 @@ def _words(spark, d):
     return _documents(spark, d).select("project_id", "doc_id", "path", F.posexplode("groups").alias("g", "w"))
 
 
-def code(spark: SparkSession, d: str) -> DataFrame:
-    """project_id, path, content of synthetic code, a block for each six words of the text."""
+def _filled(template: str, w):
+    """The source that a template makes of six words."""
+    parts = re.split(r"\{(\w)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
+    columns = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) if n % 2 == 0 else F.col("prev").cast("string") if p == "p" else F.get(w, F.lit(int(p) - 1)) for n, p in enumerate(parts)]
+    return F.concat(*columns)
 
-    def filled(template: str, w):
-        import re
 
-        parts = re.split(r"\{(\w)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
-        columns = [F.lit(p.replace("\x01", "{").replace("\x02", "}")) if n % 2 == 0 else F.col("prev").cast("string") if p == "p" else F.get(w, F.lit(int(p) - 1)) for n, p in enumerate(parts)]
-        return F.concat(*columns)
+def code(spark: SparkSession, d: str) -> DataFrame:
+    """project_id, path, content of synthetic code, a block for each six words of the text."""
 
     def joined(template: str):
-        return F.array_join(F.transform("groups", lambda w: filled(template, w)), "")
+        return F.array_join(F.transform("groups", lambda w: _filled(template, w)), "")
 
     return _documents(spark, d).select("project_id", "path", F.when(F.col("doc_id") % 2 == 0, joined(PYTHON)).otherwise(joined(SCRIPT)).alias("content"))
 
@@ -253,3 +255,84 @@ def question_locations(spark: SparkSession, d: str) -> DataFrame:
 SELECT project_id, string_agg('- ' || path, chr(10) ORDER BY n) FILTER (n <= 25) || CASE WHEN any_value(total) > 25 THEN chr(10) || '... and ' || (any_value(total) - 25) || ' more' ELSE '' END AS listing FROM r GROUP BY ALL""")
 def relation_listing(spark: SparkSession, d: str) -> DataFrame:
     return relations.listing(code(spark, d), ["project_id"], "path", F.concat(F.lit("- "), F.col("path")))
+
+
+def code_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The synthetic code in chunks, one for each six words, as `retrieval` takes them."""
+    rows = _documents(spark, d).select("project_id", "doc_id", "prev", "path", F.posexplode("groups").alias("g", "w"))
+    py = F.col("doc_id") % 2 == 0
+    size = F.when(py, 8).otherwise(10)
+    start = (F.col("g") * size + 1).cast("int")
+    content = F.regexp_replace(F.when(py, _filled(PYTHON, F.col("w"))).otherwise(_filled(SCRIPT, F.col("w"))), "\n$", "")
+    named = rows.select("project_id", "path", F.col("g").alias("chunk_index"), start.alias("start_line"), (start + size - 1).alias("end_line"), T.once(content=content))
+    none = F.lit(None).cast("string")
+    return named.select("*", T.chunk_id(F.col("path"), F.col("chunk_index"), F.col("content")).alias("chunk_id"), T.search_text(F.col("path"), none, F.col("start_line"), F.col("end_line"), F.col("content")).alias("search_text"))
+
+
+def hybrid_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A question for each benchmark item whose number is a document's: about a function of that document's code, the file by name, and the passage."""
+    own = _documents(spark, d).filter(F.size("groups") > 0).select("project_id", "doc_id", "path", F.get(F.get("groups", F.lit(0)), F.lit(1)).alias("w"))
+    text = F.concat(F.lit("who calls f_"), F.col("w"), F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit(" of "), "path")).otherwise(""), F.lit("? "), F.col("text"))
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    return items.join(own, "doc_id").select("project_id", F.col("doc_id").cast("string").alias("question_id"), text.alias("question"))
+
+
+def _sql_concat(template: str) -> str:
+    parts = re.split(r"\{(\w)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
+    quote = lambda p: "'" + p.replace("\x01", "{").replace("\x02", "}").replace("'", "''") + "'"
+    return " || ".join(quote(p) if n % 2 == 0 else "prev" if p == "p" else f"w[{p}]" for n, p in enumerate(parts) if p or n % 2)
+
+
+BLOCKS = f"""{CODE}, texts AS (SELECT *, CASE WHEN py THEN 8 ELSE 10 END AS size, regexp_replace(CASE WHEN py THEN {_sql_concat(PYTHON)} ELSE {_sql_concat(SCRIPT)} END, chr(10) || '$', '') AS content FROM code),
+chunks AS (SELECT project_id, path, CAST(g AS INT) AS chunk_index, CAST(off + 1 AS INT) AS start_line, CAST(off + size AS INT) AS end_line, content, substr(sha1(path), 1, 16) || ':' || g || ':' || substr(sha1(content), 1, 12) AS chunk_id,
+  'File: ' || path || chr(10) || 'Lines: ' || (off + 1) || '-' || (off + size) || chr(10) || chr(10) || content AS search_text FROM texts),
+questions AS (SELECT c.project_id, CAST(item_id AS VARCHAR) AS question_id, w[2] AS fw, path AS about, 'who calls f_' || w[2] || CASE WHEN doc_id % 4 <> 0 THEN ' of ' || path ELSE '' END || '? ' || text AS question
+  FROM benchmark b JOIN code c ON c.doc_id = b.item_id AND c.g = 0)"""
+
+#: Places of a question: callers of its function but for its definitions' lines, importers of it, files that import a named file, definitions.
+PLACES = """fs AS (SELECT DISTINCT project_id, 'f_' || fw AS symbol FROM questions),
+pdef AS (SELECT * FROM (SELECT fs.project_id, symbol, path, start_line AS line, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, start_line, qualname, kind) AS pos
+  FROM fs JOIN symbols s ON s.project_id = fs.project_id AND s.name = symbol) WHERE pos <= 200),
+pcall AS (SELECT * FROM (SELECT fs.project_id, symbol, path, line, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, line, caller, expr) AS pos
+  FROM fs JOIN calls c ON c.project_id = fs.project_id AND c.name = symbol) WHERE pos <= 200),
+pimp AS (SELECT * FROM (SELECT fs.project_id, symbol, path, line, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, line, module) AS pos
+  FROM fs JOIN imports i ON i.project_id = fs.project_id AND i.name = symbol) WHERE pos <= 200),
+pfile AS (SELECT project_id, target, path, row_number() OVER (PARTITION BY project_id, target ORDER BY path) AS pos FROM (SELECT DISTINCT project_id, target, path FROM resolved WHERE target <> path)),
+allp AS (
+  SELECT q.project_id, question_id, 1 AS part, pos, p.path, p.line FROM questions q JOIN (SELECT p.* FROM pcall p LEFT JOIN pdef x ON x.project_id = p.project_id AND x.symbol = p.symbol AND x.path = p.path AND x.line = p.line WHERE x.path IS NULL) p
+    ON p.project_id = q.project_id AND p.symbol = 'f_' || fw
+  UNION ALL SELECT q.project_id, question_id, 2, pos, p.path, p.line FROM questions q JOIN pimp p ON p.project_id = q.project_id AND p.symbol = 'f_' || fw
+  UNION ALL SELECT q.project_id, question_id, 3, pos, p.path, 1 FROM questions q JOIN pfile p ON p.project_id = q.project_id AND p.target = about AND contains(question, ' of ' || about)
+  UNION ALL SELECT q.project_id, question_id, 9, pos, p.path, p.line FROM questions q JOIN pdef p ON p.project_id = q.project_id AND p.symbol = 'f_' || fw),
+placed AS (SELECT project_id, question_id, path, line, row_number() OVER (PARTITION BY project_id, question_id ORDER BY r) AS pos
+  FROM (SELECT project_id, question_id, path, line, min({'part': part, 'pos': pos}) AS r FROM allp GROUP BY ALL)),
+graphed AS (SELECT project_id, question_id, chunk_id, row_number() OVER (PARTITION BY project_id, question_id ORDER BY pos) AS rank
+  FROM (SELECT l.project_id, question_id, chunk_id, min(pos) AS pos FROM placed l JOIN chunks c ON c.project_id = l.project_id AND c.path = l.path AND line BETWEEN start_line AND end_line GROUP BY ALL))"""
+
+HASHED = """{name}_b AS (SELECT {keys}, CAST(('0x' || substr(md5(token), 31, 2)) AS INT) % 64 AS bucket, count(*) AS n FROM {tokens} GROUP BY ALL),
+{name} AS (SELECT {keys}, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY {keys})) AS w FROM {name}_b)"""
+
+FOUR = f"""{V.bm25_sql(BLOCKS)}, {PLACES},
+{HASHED.format(name="cv", keys="project_id, chunk_id", tokens="ct")}, {HASHED.format(name="qv", keys="project_id, question_id", tokens="qt")},
+near AS (SELECT q.project_id, q.question_id, d.chunk_id, sum(q.w * d.w) AS cosine FROM qv q JOIN cv d ON d.project_id = q.project_id AND d.bucket = q.bucket GROUP BY ALL),
+by_vector AS (SELECT *, 1 - cosine AS distance, row_number() OVER (PARTITION BY project_id, question_id ORDER BY round(1 - cosine, 9), chunk_id) AS rank FROM near),
+by_word AS (SELECT *, row_number() OVER (PARTITION BY project_id, question_id ORDER BY round(score, 6) DESC, path, start_line, chunk_id) AS rank FROM scores),
+by_name AS (SELECT q.project_id, q.question_id, c.chunk_id, row_number() OVER (PARTITION BY q.project_id, q.question_id ORDER BY round(coalesce(s.score, 0), 6) DESC, c.path, c.start_line, c.chunk_id) AS rank
+  FROM questions q JOIN chunks c ON c.project_id = q.project_id AND c.path = about AND contains(question, ' of ' || about) LEFT JOIN scores s ON s.project_id = q.project_id AND s.question_id = q.question_id AND s.chunk_id = c.chunk_id),
+lists AS (
+  SELECT project_id, question_id, 1 AS no, 'vector' AS source, rank, chunk_id, distance FROM by_vector WHERE rank <= 20 AND distance <= 0.75
+  UNION ALL SELECT project_id, question_id, 2, 'keyword', rank, chunk_id, NULL FROM (SELECT *, max(score) OVER (PARTITION BY project_id, question_id) AS best FROM by_word WHERE rank <= 20) WHERE score >= 0.25 * best
+  UNION ALL SELECT project_id, question_id, 3, 'filename', rank, chunk_id, NULL FROM by_name WHERE rank <= 3
+  UNION ALL SELECT project_id, question_id, 4, 'graph', rank, chunk_id, NULL FROM graphed WHERE rank <= 20)"""
+
+
+@query(f"""WITH {FOUR}, f AS (SELECT project_id, question_id, chunk_id, sum(1.0e0 / (60 + rank)) AS score, max(round(1 - distance, 4)) AS similarity, array_to_string(list(source ORDER BY no), ',') AS matched_by, min(no * 1000 + rank) AS seen FROM lists GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id, question_id ORDER BY round(score, 12) DESC, seen) AS INT) AS rank FROM f)
+SELECT project_id, question_id, rank, chunk_id, round(score, 5) AS score, similarity, matched_by FROM r WHERE rank <= 5""")
+def four_list_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Vector, keyword, file-name and graph lists in one fusion."""
+    parsed, files, asked = _parsed_once(spark, d), code(spark, d), settled(hybrid_questions(spark, d))
+    imports, chunks = codegraph.imports(parsed), settled(code_chunks(spark, d))
+    places = retrieval.graph_places(asked, files, codegraph.symbols(parsed), codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files))
+    of_chunks, of_questions = vectors.hashed(chunks, ["project_id", "chunk_id"], "search_text"), vectors.hashed(asked, ["project_id", "question_id"], "question")
+    return retrieval.hybrid(chunks, asked, of_chunks, of_questions, places).withColumn("matched_by", F.array_join("matched_by", ","))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusjobs.functions import text as T
 from corpusjobs.operators import bm25, fusion, vectors
 from corpusjobs.plans import views as V
+from corpusjobs.sources.checkpoints import settled
 
 QUERIES, ORACLE = {}, {}
 
@@ -156,10 +157,10 @@ def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
 def _hybrid_lists(spark, d):
     """Vector and keyword lists for the benchmark questions, by hashed vectors and BM25."""
     chunks, asked = _chunks(spark, d), V.questions(spark, d)
-    by_vector = vectors.nearest(
+    by_vector = settled(vectors.nearest(
         vectors.hashed(chunks, ["project_id", "chunk_id"], "search_text"), vectors.hashed(asked, ["project_id", "question_id"], "question"), 20
-    )
-    by_word = bm25.top(chunks, asked, 20)
+    ))
+    by_word = settled(bm25.top(chunks, asked, 20))
     cols = ["project_id", "question_id", "source", "rank", "chunk_id", "distance"]
     return chunks, asked, by_vector.withColumn("source", F.lit("vector")).select(cols), by_word, cols
 
@@ -222,8 +223,9 @@ def first_hit_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def _expected(spark: SparkSession, d: str) -> DataFrame:
     """question_id, project_id, path of files that hold the passage."""
-    asked, files = V.questions(spark, d), V.files(spark, d)
-    return asked.join(files, (asked["project_id"] == files["project_id"]) & F.contains(files["content"], asked["question"])).select("question_id", asked["project_id"], "path")
+    from corpusjobs.operators import evaluation
+
+    return evaluation.containing_files(V.questions(spark, d), V.files(spark, d))
 
 
 def _with_paths(spark: SparkSession, d: str) -> DataFrame:

@@ -81,9 +81,9 @@ def tokens_sql(rows: str, keys: str, text: str, name: str) -> str:
 )"""
 
 
-def bm25_sql() -> str:
-    """DuckDB views up to `scores` (project_id, question_id, chunk_id, path, start_line, score)."""
-    return f"""{FILES}, {QUESTIONS}, {CHUNKS},
+def bm25_sql(base: str = "") -> str:
+    """DuckDB views up to `scores` (project_id, question_id, chunk_id, path, start_line, score); `base` are views questions and chunks."""
+    return f"""{base or f"{FILES}, {QUESTIONS}, {CHUNKS}"},
 {tokens_sql("chunks", "project_id, chunk_id", "search_text", "ct")},
 {tokens_sql("questions", "project_id, question_id", "question", "qt")},
 tf AS (SELECT project_id, chunk_id, token AS term, count(*) AS tf FROM ct GROUP BY ALL),

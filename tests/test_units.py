@@ -264,3 +264,38 @@ def test_drafted_questions(spark):
 def test_deep_source():
     assert S.chunks_of("(" * 5000, ".py", 1500, 5)[0][:2] == (1, 1) and list(codeparse.rows_of("(" * 5000, "a.py")) == []
     assert [r[3] for r in codeparse.rows_of("x" + ".a" * 3000 + "()", "a.py")] == ["a"]
+
+
+def test_enclosing_meets_blocks_and_not_pairs(spark):
+    rng = random.Random(2)
+    spans = [(rng.randrange(1, 3000), rng.randrange(0, 900)) for _ in range(400)] + [(1, 2999), (64, 0), (63, 1), (128, 63), (10, -1)]
+    rows = [("p", "a.py", f"d{n}", f"d{n}", "function", a, a + b) for n, (a, b) in enumerate(spans)]
+    symbols = spark.createDataFrame(rows, "project_id string, path string, name string, qualname string, kind string, start_line int, end_line int")
+    lines = [("p", "a.py", k) for k in range(1, 3400)] + [("p", "a.py", 5), ("p", "b.py", 5), ("q", "a.py", 5)]
+    places = spark.createDataFrame(lines, "project_id string, path string, line int")
+    found = codegraph.enclosing(symbols, places)
+    want = sorted((*p, max(((a, q) for _, _, _, q, _, a, b in rows if p[:2] == ("p", "a.py") and a <= p[2] <= b), default=(0, "<module>"))[1]) for p in lines)
+    assert sorted(map(tuple, found.collect())) == want
+    # one row for each block at most, so a place meets one row and pairs of lines and definitions never arise
+    blocks = codegraph.definition_blocks(symbols)
+    assert blocks.count() <= 3900 // codegraph.BLOCK + 1 and blocks.agg({"block": "count"}).first()[0] == blocks.select("project_id", "path", "block").distinct().count()
+
+
+def test_containing_files(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "éa", "x"]) for _ in range(40)) + rng.choice(["", "\n", " end"]) for _ in range(30)]
+    files = [(f"p{n % 3}", f"f{n}", t) for n, t in enumerate(texts)] + [("p0", "none", None), ("p1", "empty", "")]
+    asked = []
+    for n in range(60):
+        t = rng.choice(texts)
+        a = rng.randrange(len(t))
+        asked.append((f"p{n % 3}", f"q{n}", t[a : a + rng.choice([1, 2, 5, 12, 30, 80])]))
+    asked += [("p0", "blank", " "), ("p0", "empty", ""), ("p0", "null", None), ("p1", "unknown", "no such words in any file"), ("p9", "elsewhere", "alpha beta gamma")]
+    q = spark.createDataFrame(asked, "project_id string, question_id string, question string")
+    f = spark.createDataFrame(files, "project_id string, path string, content string")
+    want = sorted((p, i, path) for p, i, text in asked if text is not None for fp, path, content in files if fp == p and text in (content or ""))
+    assert sorted(map(tuple, evaluation.containing_files(q, f).collect())) == want and len(want) > 60
+    # inner words meet files through a word, never every question with every file of a project
+    plan = evaluation.containing_files(q.filter("length(question) > 25"), f)._jdf.queryExecution().optimizedPlan().toString()
+    tested = next(line for line in plan.split("\n") if "Contains(content" in line)
+    assert "Cross" not in plan and "path#" in tested.replace("Contains", "")  # the texts of pairs that a rare word made, by file
