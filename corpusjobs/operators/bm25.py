@@ -18,7 +18,7 @@ K1, B, TAIL = 1.5, 0.75, 0.25
 BROADCAST_TERMS = 1_000_000
 
 
-def _terms(chunks: DataFrame) -> DataFrame:
+def chunk_terms(chunks: DataFrame) -> DataFrame:
     """project_id, chunk_id, length in tokens, terms: array of (term, tf), a row for each chunk.
 
     A chunk is one row, so counting its terms needs no shuffle: tokens are sorted, and each run of equal ones is a term."""
@@ -33,7 +33,7 @@ def _terms(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """project_id, chunk_id, term, tf; needs no shuffle."""
-    return _terms(chunks).select("project_id", "chunk_id", F.inline("terms"))
+    return chunk_terms(chunks).select("project_id", "chunk_id", F.inline("terms"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -49,8 +49,13 @@ def project_stats(chunks: DataFrame) -> DataFrame:
 def term_stats(posts: DataFrame, projects: DataFrame) -> DataFrame:
     """project_id, term, df, idf."""
     df = posts.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    return inverse_frequencies(df, projects).select("project_id", "term", "df", "idf")
+
+
+def inverse_frequencies(df: DataFrame, projects: DataFrame) -> DataFrame:
+    """project_id, term, df, avg_len, idf from the chunks with a term (df) and in a project (n)."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return df.join(projects.select("project_id", "n"), "project_id").select("project_id", "term", "df", idf.alias("idf"))
+    return df.join(projects.select("project_id", "n", "avg_len"), "project_id").select("project_id", "term", "df", "avg_len", idf.alias("idf"))
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -67,7 +72,7 @@ def asked_postings(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """
     small = F.broadcast if terms.count() <= BROADCAST_TERMS else (lambda x: x)
     own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
-    each = _terms(chunks).select("project_id", "chunk_id", "length", F.inline(F.concat(own, "terms")))
+    each = chunk_terms(chunks).select("project_id", "chunk_id", "length", F.inline(F.concat(own, "terms")))
     known = small(terms.select("project_id", "term", F.lit(True).alias("asked")))
     return each.join(known, ["project_id", "term"], "left").filter("term is null or asked").select("project_id", "chunk_id", "length", "term", "tf")
 
@@ -84,13 +89,10 @@ def scores(chunks: DataFrame, questions: DataFrame) -> DataFrame:
     hit = rows.filter("term is not null")
     projects = rows.filter("term is null").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_len"))
     df = hit.groupBy("project_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    weights = df.join(projects, "project_id").select(
-        "project_id", "term", "avg_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    return _scored(hit, asked, weights)
+    return scored(hit, asked, inverse_frequencies(df, projects))
 
 
-def _scored(hit: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFrame:
+def scored(hit: DataFrame, asked: DataFrame, weights: DataFrame) -> DataFrame:
     """Scores of asked postings (with length) for questions, by weights (project_id, term, avg_len, idf)."""
     norm = K1 * (1 - B + B * F.col("length") / F.when(F.col("avg_len") > 0, F.col("avg_len")).otherwise(1.0))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)

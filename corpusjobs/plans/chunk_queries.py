@@ -121,3 +121,15 @@ def chunked_files(spark: SparkSession, d: str) -> DataFrame:
     """Files with any chunk, by project, at production sizes."""
     chunks = chunking.chunk(V.files(spark, d))
     return chunks.select("project_id", "path").distinct().groupBy("project_id").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query(f"WITH {V.FILES}, {V.CHUNKS} SELECT c.project_id, c.path, chunk_index, start_line, end_line, chunk_id FROM chunks c JOIN files f ON f.project_id = c.project_id AND f.path = c.path WHERE doc_id IN (SELECT item_id FROM benchmark)")
+def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of all files written to a table, and those of the files with a benchmark item's number read back."""
+    from corpusjobs.sources import sinks
+    from corpusjobs.sources.checkpoints import own_folder
+
+    files, root = V.files(spark, d), own_folder(spark, "chunks")
+    sinks.write_files(spark, V.whole_chunks(files).drop("search_text"), root)
+    wanted = files.join(V.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
+    return sinks.stored_files(spark, root, wanted).select("project_id", "path", "chunk_index", "start_line", "end_line", "chunk_id")

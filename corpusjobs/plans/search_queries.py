@@ -255,3 +255,39 @@ def chunks_at_locations(spark: SparkSession, d: str) -> DataFrame:
     files = V.files(spark, d)
     places = files.select("project_id", F.concat(F.lit("q"), (F.col("doc_id") % 10).cast("string")).alias("question_id"), "path", (F.col("doc_id") % 5 + 1).cast("int").alias("line"), F.col("doc_id").alias("pos"))
     return fusion.chunks_at(V.whole_chunks(files), places)
+
+
+CHANGED = f"""{V.FILES.replace("files AS", "files_0 AS", 1)}, files AS (SELECT project_id, path, coalesce(b.text, content) AS content, doc_id FROM files_0 LEFT JOIN benchmark b ON b.item_id = doc_id), {V.QUESTIONS}, {V.CHUNKS}"""
+
+
+def _changed_corpus(spark: SparkSession, d: str) -> str:
+    """Where the postings and statistics lie of all files, of which those with a benchmark item's number were then replaced by its passage."""
+    from corpusjobs.operators import corpus_stats
+    from corpusjobs.sources.checkpoints import own_folder
+
+    root, files = own_folder(spark, "corpus"), V.files(spark, d)
+    corpus_stats.update(spark, V.whole_chunks(files), files, root, "first")
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("content"))
+    new = files.drop("content").join(items, "doc_id").select("project_id", "path", "content", "doc_id")
+    for _ in range(2):  # a batch that comes again changes nothing
+        corpus_stats.update(spark, V.whole_chunks(new), new, root, "second")
+    return root
+
+
+@query(f"WITH {V.bm25_sql(CHANGED)} SELECT project_id, question_id, chunk_id, round(score, 6) AS score FROM scores")
+def changed_corpus_scores(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over stored postings, with statistics that followed the changes of files."""
+    from corpusjobs.operators import corpus_stats
+
+    return corpus_stats.scores(spark, _changed_corpus(spark, d), V.questions(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {V.bm25_sql(CHANGED)} SELECT i.project_id, i.term, i.df, n, round(avg_len, 6) AS avg_len FROM idf i JOIN stats s ON s.project_id = i.project_id")
+def changed_corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks with each term, chunks and mean length of projects, after files were replaced, and after the batches were put together."""
+    from corpusjobs.operators import corpus_stats
+
+    root = _changed_corpus(spark, d)
+    corpus_stats.compact(spark, root, "both")
+    df, sizes = corpus_stats.statistics(spark, root)
+    return df.join(sizes, "project_id").select("project_id", "term", "df", "n", F.round("avg_len", 6).alias("avg_len"))

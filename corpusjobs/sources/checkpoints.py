@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,9 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder; their lineage is cut."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables below the shared checkpoint folder."""
+    shared_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
