@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from corpusjobs.llm.common import Memo, cut, slices
 
 CAPACITY, END_ID = 4096, 1
-#: Words whose ids a worker keeps.
-MEMO = 250_000
+#: Words, and pieces of words, whose ids a worker keeps: twice as many at most, of about 200 bytes each.
+MEMO = 60_000
 #: Pieces of one length are ranked in buckets: so many for each shuffle partition over all lengths, of so many rows at least.
 BUCKETS, BUCKET_ROWS = 8, 50
 

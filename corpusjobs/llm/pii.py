@@ -82,6 +82,8 @@ PATTERNS = [
     ("card", _number, re.compile(r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])")),
     ("person", re.compile(rf"(?:{_titles}|{_givens})(?:\.? +|\.)[A-ZÀ-ÖØ-ÞА-Я]"), re.compile(_person)),
 ]
+#: Attempts after which a form counts as full, and after which a surrogate may be longer than its entity.
+FULL_AFTER, WIDER_AFTER = 8, 64
 QUICK = list(dict.fromkeys(quick for _, quick, _ in PATTERNS))
 
 
@@ -179,7 +181,9 @@ def _ssn_allowed(digits: str) -> bool:
 
 
 def surrogate(kind: str, canon: str, hint: str | None, attempt: int, key: bytes) -> str:
-    """The replacement of an entity in its canonical form."""
+    """The replacement of an entity in its canonical form; after `WIDER_AFTER` attempts longer than that."""
+    if attempt >= WIDER_AFTER and kind not in ("given", "family"):
+        return f"{surrogate(kind, canon, hint, 0, key)}-{_digest(key, kind, attempt, canon) % 10**12:012}"
     label = f"{kind}/{attempt}/"
     match kind:
         case "email":
@@ -328,26 +332,46 @@ def _attempted(entities: DataFrame, key: bytes) -> DataFrame:
     return entities.select("kind", "canon", "hint", "mixed", "attempt").mapInArrow(run, "kind string, canon string, hint string, mixed boolean, attempt int, surrogate string")
 
 
+def _form_of(canon: F.Column) -> F.Column:
+    """Letters and digits of an entity by kind: what its surrogates keep."""
+    out = canon
+    for kind, sign in ((r"\p{Lu}", "A"), (r"[\p{L}&&[^A]]", "a"), (r"\p{Nd}", "0")):
+        out = F.regexp_replace(out, kind, sign)
+    return out
+
+
 def settle(found: DataFrame, key: bytes) -> DataFrame:
     """kind, canon, hint, mixed, attempt, surrogate for each entity found (kind, canon, hint): surrogates are distinct and no
-    real entities. mixed: its occurrences tell different genders, or some none. Each attempt draws anew, from more names after a
-    few, so the loop ends."""
+    real entities. mixed: its occurrences tell different genders, or some none.
+
+    Each attempt draws anew (names from more names after a few). A form, such as a@b.com or the addresses of a network, whose entities
+    still meet real ones after `FULL_AFTER` attempts has too few others: there the first attempt holds, which permutes the form, so
+    surrogates are distinct though some are other real entities. Whatever is still shared after `WIDER_AFTER` attempts is made longer. So
+    the loop ends.
+    """
     hints = F.count_distinct(F.coalesce("hint", F.lit(""))) > 1
     entities = cut(found.groupBy("kind", "canon").agg(F.max("hint").alias("hint"), hints.alias("mixed")))
-    real = entities.select("kind", "canon")
+    real, full = entities.select("kind", "canon"), None
     settled = cut(_attempted(entities.withColumn("attempt", F.lit(0)), key))
     while True:
         order = F.struct("attempt", F.xxhash64("canon"), "canon")  # the earliest attempt keeps a shared surrogate
         keeper = settled.groupBy("kind", "surrogate").agg(F.min(order).alias("k"), F.count(F.lit(1)).alias("n"))
         shared = keeper.filter("n > 1").select("kind", "surrogate", F.col("k.canon").alias("keeper"))
         taken = real.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("taken"))
-        checked = settled.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left")
-        again = F.coalesce(F.col("taken"), F.lit(False)) | (F.col("keeper").isNotNull() & (F.col("keeper") != F.col("canon")))
-        marked = cut(checked.withColumn("again", again).select(*settled.columns, "again"))
+        checked = settled.join(shared, ["kind", "surrogate"], "left").join(taken, ["kind", "surrogate"], "left").withColumn("form", _form_of(F.col("canon")))
+        checked = checked.join(full.withColumn("full", F.lit(True)), ["kind", "form"], "left") if full is not None else checked.withColumn("full", F.lit(None).cast("boolean"))
+        is_full = F.coalesce(F.col("full"), F.lit(False))
+        again = (F.coalesce(F.col("taken"), F.lit(False)) & ~is_full) | (F.col("keeper").isNotNull() & (F.col("keeper") != F.col("canon")))
+        marked = cut(checked.withColumn("again", again).select(*settled.columns, "form", is_full.alias("full"), "again"))
         if not marked.filter("again").limit(1).count():
             return settled
-        moved = _attempted(marked.filter("again").withColumn("attempt", F.col("attempt") + 1), key)
-        settled = cut(marked.filter("not again").drop("again").unionByName(moved))
+        crowded = marked.filter(F.col("again") & ~F.col("full") & (F.col("attempt") >= FULL_AFTER) & ~F.col("kind").isin("given", "family")).select("kind", "form").distinct()
+        crowded = cut(crowded)
+        full = crowded if full is None else cut(full.unionByName(crowded).distinct())
+        # the entities of a form that has just turned out full begin anew
+        anew = marked.join(crowded.withColumn("anew", F.lit(True)), ["kind", "form"], "left").withColumn("anew", F.coalesce("anew", F.lit(False)))
+        moved = anew.filter("anew or again").withColumn("attempt", F.when(F.col("anew"), 0).otherwise(F.col("attempt") + 1))
+        settled = cut(anew.filter("not anew and not again").select(settled.columns).unionByName(_attempted(moved, key)))
 
 
 def replaced(docs: DataFrame, key: bytes) -> DataFrame:

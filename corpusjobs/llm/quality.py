@@ -40,8 +40,8 @@ STEM, LEVELS = 4, (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 GRADES, GOOD, TAIL = 3, 2, 0.5
 #: Steps of the fit, their size, the pull of each weight to zero and what each step takes off its size.
 ROUNDS, STEP, SHRINK, LASSO = 150, 0.1, 1e-4, 0.03
-#: Words that a task keeps.
-MEMO = 250_000
+#: Words that a task keeps (about 300 bytes each).
+MEMO = 60_000
 #: Signs that end a word in ordinary prose.
 STOPS = ".,;:!?"
 

@@ -41,6 +41,7 @@ SHARED = 64
 #: Fixed value: the published pattern by which this family of vocabularies splits a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _find = regex.compile(PIECES).findall
+_space = regex.compile(r"\p{White_Space}+").match
 
 
 def _letters() -> dict[str, int]:
@@ -197,17 +198,33 @@ class Counter:
             at += len(run) + (k > 0)
         for piece in _find(" " * (k > 0) + run):
             if spent + self.total(piece) > budget:
-                return n, at + self._within(piece, budget - spent)
+                return n, self._with_space(text, at + self._within(piece, budget - spent), budget)
             spent += self.total(piece)
             at += len(piece)
 
+    def _with_space(self, text: str, chars: int, budget: int) -> int:
+        """The longest prefix within the budget, where `chars` is that of those which do not end in white space: what follows it may be
+        white space, which is one piece at the end of a text and can still fit. A longer prefix holds one that does not fit."""
+        if _space(text, chars) is None:
+            return chars
+        begin = chars  # where the run of white space begins
+        while begin and _space(text[begin - 1]):
+            begin -= 1
+        run, rest = _space(text, begin).group(), budget - self.count(text[:begin])
+        table, at, best = self.table(run), 0, chars - begin
+        for n, c in enumerate(run, 1):
+            at += len(c.encode())
+            if table[at] <= rest and n > best:
+                best = n
+        return begin + best
+
     def _within(self, piece: str, budget: int) -> int:
         """Characters of the longest prefix of a piece within the budget, from the piece's own prefix counts. A prefix does not end
         in white space; one that the pattern would cut into other pieces counts as those."""
         table, at, best = self.table(piece), 0, 0
         for n, c in enumerate(piece[:-1], 1):
             at += len(c.encode())
-            if table[at] <= budget and not c.isspace():
+            if table[at] <= budget and not _space(c):
                 best = n
         while best and len(inner := _find(piece[:best])) > 1 and sum(map(self.total, inner)) > budget:
             best -= 1
@@ -239,8 +256,10 @@ class Counter:
             k -= 1
             start = ends[k - 1] if k else 0
         if self.special is not None and self.special.fullmatch(text[start:end]):
-            return start
-        return start + self._within(text[start:end], budget - (counts[k - 1] if k else 0))
+            # a part of it is ordinary text, which the white space before it may join
+            parts = (q for q in range(end - 1, start, -1) if self.prefix_count(text, q, (ends, counts)) <= budget)
+            return next(parts, None) or self._with_space(text, start, budget)
+        return self._with_space(text, start + self._within(text[start:end], budget - (counts[k - 1] if k else 0)), budget)
 
 
 _COUNTERS: dict[str, Counter] = {}
