@@ -336,3 +336,48 @@ def four_list_fusion(spark: SparkSession, d: str) -> DataFrame:
     places = retrieval.graph_places(asked, files, codegraph.symbols(parsed), codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files))
     of_chunks, of_questions = vectors.hashed(chunks, ["project_id", "chunk_id"], "search_text"), vectors.hashed(asked, ["project_id", "question_id"], "question")
     return retrieval.hybrid(chunks, asked, of_chunks, of_questions, places).withColumn("matched_by", F.array_join("matched_by", ","))
+
+
+#: Sections of each function that is asked about and of each named file, as text.
+SECTIONS = """fs AS (SELECT DISTINCT project_id, 'f_' || fw AS symbol FROM questions),
+sd AS (SELECT * FROM (SELECT fs.project_id, symbol, path, start_line, end_line, kind, qualname, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, start_line, qualname, kind) AS pos
+  FROM fs JOIN symbols s ON s.project_id = fs.project_id AND s.name = symbol) WHERE pos <= 200),
+sc AS (SELECT c.* FROM (SELECT fs.project_id, symbol, path, line, caller, expr, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, line, caller, expr) AS pos
+  FROM fs JOIN calls c ON c.project_id = fs.project_id AND c.name = symbol) c LEFT JOIN sd ON sd.project_id = c.project_id AND sd.symbol = c.symbol AND sd.path = c.path AND sd.start_line = c.line WHERE c.pos <= 200 AND sd.path IS NULL),
+si AS (SELECT * FROM (SELECT fs.project_id, symbol, path, line, module, row_number() OVER (PARTITION BY fs.project_id, symbol ORDER BY path, line, module) AS pos
+  FROM fs JOIN imports i ON i.project_id = fs.project_id AND i.name = symbol) WHERE pos <= 200),
+known AS (SELECT project_id, name FROM symbols UNION SELECT project_id, qualname FROM symbols),
+se AS (SELECT sd.project_id, symbol, c.expr, row_number() OVER (PARTITION BY sd.project_id, symbol ORDER BY k.name IS NOT NULL DESC, c.line, sd.pos, c.cpos) AS pos
+  FROM sd JOIN (SELECT *, row_number() OVER (PARTITION BY project_id, caller ORDER BY line, path, name, expr) AS cpos FROM calls) c ON c.project_id = sd.project_id AND c.caller = sd.qualname AND cpos <= 200
+  LEFT JOIN known k ON k.project_id = c.project_id AND k.name = c.name),
+ld AS (SELECT project_id, symbol, string_agg(t, chr(10) ORDER BY n) FILTER (n <= 25) || CASE WHEN max(n) > 25 THEN chr(10) || '... and ' || (max(n) - 25) || ' more' ELSE '' END AS t, max(n) AS total
+  FROM (SELECT project_id, symbol, '- ' || path || ':' || start_line || '-' || end_line || ' (' || kind || ' ' || qualname || ')' AS t, row_number() OVER (PARTITION BY project_id, symbol ORDER BY pos) AS n FROM sd) GROUP BY ALL),
+lc AS (SELECT project_id, symbol, string_agg(t, chr(10) ORDER BY n) FILTER (n <= 25) || CASE WHEN max(n) > 25 THEN chr(10) || '... and ' || (max(n) - 25) || ' more' ELSE '' END AS t, max(n) AS total
+  FROM (SELECT project_id, symbol, '- ' || path || ':' || line || ' in ' || caller || ' — `' || expr || '`' AS t, row_number() OVER (PARTITION BY project_id, symbol ORDER BY pos) AS n FROM sc) GROUP BY ALL),
+li AS (SELECT project_id, symbol, string_agg(t, chr(10) ORDER BY n) FILTER (n <= 25) || CASE WHEN max(n) > 25 THEN chr(10) || '... and ' || (max(n) - 25) || ' more' ELSE '' END AS t
+  FROM (SELECT project_id, symbol, '- ' || path || ':' || line || ' (from ' || module || ')' AS t, row_number() OVER (PARTITION BY project_id, symbol ORDER BY pos) AS n FROM si) GROUP BY ALL),
+le AS (SELECT project_id, symbol, string_agg('`' || expr || '`', ', ' ORDER BY n) FILTER (n <= 25) || CASE WHEN max(n) > 25 THEN ' ... (+' || (max(n) - 25) || ')' ELSE '' END AS t
+  FROM (SELECT project_id, symbol, expr, row_number() OVER (PARTITION BY project_id, symbol ORDER BY pos) AS n FROM (SELECT project_id, symbol, expr, min(pos) AS pos FROM se GROUP BY ALL)) GROUP BY ALL),
+by_symbol AS (SELECT fs.project_id, fs.symbol, '### `' || fs.symbol || '`' || chr(10) || coalesce('Defined in:' || chr(10) || ld.t || chr(10), '')
+  || coalesce('Called from (' || lc.total || CASE WHEN lc.total >= 200 THEN '+' ELSE '' END || ' sites):' || chr(10) || lc.t, 'Called from: no call sites found in the uploaded files.') || chr(10)
+  || coalesce('Imported by:' || chr(10) || li.t || chr(10), '') || coalesce('It calls: ' || le.t || chr(10), '') AS section
+  FROM fs LEFT JOIN ld ON ld.project_id = fs.project_id AND ld.symbol = fs.symbol LEFT JOIN lc ON lc.project_id = fs.project_id AND lc.symbol = fs.symbol
+  LEFT JOIN li ON li.project_id = fs.project_id AND li.symbol = fs.symbol LEFT JOIN le ON le.project_id = fs.project_id AND le.symbol = fs.symbol),
+own AS (SELECT project_id, path, string_agg(DISTINCT target, ', ' ORDER BY target) FILTER (target <> path) AS t FROM resolved GROUP BY ALL),
+ext AS (SELECT project_id, path, string_agg(module, ', ' ORDER BY module) FILTER (n <= 25) AS t FROM (SELECT project_id, path, module, row_number() OVER (PARTITION BY project_id, path ORDER BY module) AS n
+  FROM (SELECT DISTINCT project_id, path, module FROM resolved WHERE target IS NULL)) GROUP BY ALL),
+back AS (SELECT project_id, target, string_agg(DISTINCT path, ', ' ORDER BY path) AS t FROM resolved WHERE target <> path GROUP BY ALL),
+by_file AS (SELECT q.project_id, q.about, '### File `' || q.about || '`' || chr(10) || 'Imports project files: ' || coalesce(own.t, 'none') || chr(10) || coalesce('External imports: ' || ext.t || chr(10), '')
+  || 'Imported by: ' || coalesce(back.t, 'no uploaded file') || chr(10) AS section FROM (SELECT DISTINCT project_id, about FROM questions) q LEFT JOIN own ON own.project_id = q.project_id AND own.path = q.about
+  LEFT JOIN ext ON ext.project_id = q.project_id AND ext.path = q.about LEFT JOIN back ON back.project_id = q.project_id AND back.target = q.about)"""
+
+
+@query(f"""WITH {BLOCKS}, {SECTIONS}, whole AS (SELECT q.project_id, question_id, '{relations.HEADING}' || chr(10) || s.section || CASE WHEN contains(question, ' of ' || q.about) THEN chr(10) || f.section ELSE '' END || chr(10) AS text
+  FROM questions q JOIN by_symbol s ON s.project_id = q.project_id AND s.symbol = 'f_' || fw JOIN by_file f ON f.project_id = q.project_id AND f.about = q.about)
+SELECT project_id, question_id, CASE WHEN length(text) // 3 + 1 > 300 THEN regexp_replace(substr(text, 1, 900), chr(10) || '[^' || chr(10) || ']*$', '') || chr(10) || '... [relationships truncated]' || chr(10) || chr(10) ELSE text END AS text FROM whole""")
+def relation_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The relations that questions ask about, written up within 300 tokens."""
+    parsed, files, asked = _parsed_once(spark, d), code(spark, d), settled(hybrid_questions(spark, d))
+    symbols, imports = codegraph.symbols(parsed), codegraph.imports(parsed)
+    picked, named = settled(relations.chosen_symbols(asked, symbols)), settled(relations.chosen_files(asked, files))
+    return relations.relation_sections(picked, named, symbols, codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files), 300)

@@ -299,3 +299,56 @@ def test_containing_files(spark):
     plan = evaluation.containing_files(q.filter("length(question) > 25"), f)._jdf.queryExecution().optimizedPlan().toString()
     tested = next(line for line in plan.split("\n") if "Contains(content" in line)
     assert "Cross" not in plan and "path#" in tested.replace("Contains", "")  # the texts of pairs that a rare word made, by file
+
+
+def test_cut_to_budget(spark):
+    text = "one\ntwo three\n" + "x" * 40 + "\nend"
+    rows = spark.createDataFrame([(n, text) for n in (1, 2, 3, 5, 10, 19, 20, 50)] + [(2, "longlongline"), (9, "")], "budget int, text string")
+
+    def want(t, budget):
+        if len(t) // 3 + 1 <= budget:
+            return t
+        return t[: budget * 3].rsplit("\n", 1)[0] + "\n... [relationships truncated]\n\n"
+
+    for r in rows.withColumn("cut", relations.cut_to_budget(F.col("text"), F.col("budget"))).collect():
+        assert r["cut"] == want(r["text"], r["budget"]), r
+
+
+def test_pairs_of_blocks_have_keys_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_QUESTIONS", 4)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 5)
+    rows = lambda n, key: spark.createDataFrame([("hot", f"{key}{k}", [float(k % 7), 1.0, float(k % 3)]) for k in range(n)] + [("p", f"{key}x", [1.0, 0.0, 0.0])], f"project_id string, {key} string, embedding array<double>")
+    asked, held = rows(13, "question_id"), rows(23, "chunk_id")
+    pairs = vectors.block_pairs(asked, held, 16)
+    keys = pairs.groupBy("project_id", "block", "part").count().collect()
+    assert len([k for k in keys if k["project_id"] == "hot"]) >= 12  # one project fills many tasks
+    met = [(q, c) for r in pairs.collect() for q in r["ids"] for c in r["chunk_ids"]]
+    assert len(met) == len(set(met)) == 13 * 23 + 1
+    monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", 0)
+    by_pairs = vectors.nearest(held, asked, 3)
+    monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", 10**9)
+    assert sorted(map(tuple, by_pairs.select("question_id", "rank", "chunk_id").collect())) == sorted(map(tuple, vectors.nearest(held, asked, 3).select("question_id", "rank", "chunk_id").collect()))
+
+
+def test_statistics_follow_changes(spark, tmp_path):
+    from corpusjobs.operators import corpus_stats
+
+    root = str(tmp_path / "corpus")
+    chunk = lambda *r: spark.createDataFrame([(p, f, f"{f}{k}", k, t) for p, f, k, t in r], "project_id string, path string, chunk_id string, start_line int, search_text string")
+    files = lambda *r: spark.createDataFrame(list(r), "project_id string, path string")
+    one = [("p", "a", 1, "red fish blue"), ("p", "a", 2, "fish"), ("p", "b", 1, "red red"), ("q", "a", 1, "fish")]
+    corpus_stats.update(spark, chunk(*one), files(), root, "0", buckets=4)
+    two = [("p", "a", 1, "green fish")]
+    corpus_stats.update(spark, chunk(*two), files(("p", "a"), ("q", "a")), root, "1", buckets=4)
+    for again in (("0", one), ("1", two)):  # batches that come again
+        corpus_stats.update(spark, chunk(*again[1]), files(("p", "a")), root, again[0], buckets=4)
+    corpus_stats.compact(spark, root, "c")
+    corpus_stats.update(spark, chunk(("p", "c", 1, "red fish")), files(), root, "2", buckets=4)
+    now = chunk(*two, one[2], ("p", "c", 1, "red fish"))
+    df, sizes = corpus_stats.statistics(spark, root)
+    projects = bm25.project_stats(now)
+    assert sorted(map(tuple, sizes.collect())) == sorted(map(tuple, projects.collect())) == [("p", 3, 2.0)]
+    assert sorted(map(tuple, df.collect())) == sorted((r["project_id"], r["term"], r["df"]) for r in bm25.term_stats(bm25.postings(now), projects).collect())
+    asked = spark.createDataFrame([("p", "1", "red fish"), ("q", "2", "fish")], "project_id string, question_id string, question string")
+    scores = lambda rows: sorted((r["question_id"], r["chunk_id"], round(r["score"], 9)) for r in rows.collect())
+    assert scores(corpus_stats.scores(spark, root, asked)) == scores(bm25.scores(now, asked)) != []
