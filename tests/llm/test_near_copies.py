@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from corpusjobs.llm import near_copies, simhash
 
