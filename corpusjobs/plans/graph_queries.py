@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusjobs.functions import text as T
 from corpusjobs.functions.text import STOP_WORDS
-from corpusjobs.operators import codegraph, relations, retrieval, vectors
+from corpusjobs.operators import chunking, codegraph, relations, retrieval, vectors
 from corpusjobs.plans import views as V
 from corpusjobs.sources.checkpoints import settled
 from corpusjobs.sources.readers import spread
@@ -381,3 +382,65 @@ def relation_sections(spark: SparkSession, d: str) -> DataFrame:
     symbols, imports = codegraph.symbols(parsed), codegraph.imports(parsed)
     picked, named = settled(relations.chosen_symbols(asked, symbols)), settled(relations.chosen_files(asked, files))
     return relations.relation_sections(picked, named, symbols, codegraph.calls(parsed), imports, codegraph.resolved_imports(imports, files), 300)
+
+
+@query(f"""WITH {CODE}, every AS (SELECT *, unnest(range(1, CASE WHEN py THEN 9 ELSE 11 END)) AS k FROM code)
+SELECT project_id, path, CAST(off + k AS INT) AS line, CASE
+  WHEN py AND k IN (3, 4) OR NOT py AND k BETWEEN 2 AND 5 THEN 'f_' || w[2] WHEN py AND k = 6 THEN 'C_' || w[4] WHEN py AND k > 6 THEN 'C_' || w[4] || '.m_' || w[5]
+  WHEN NOT py AND k > 5 THEN 'C_' || w[4] END AS symbol,
+  CASE WHEN py THEN 'python' ELSE 'javascript' END AS file_type FROM every WHERE NOT (py AND k = 5)""")
+def code_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The statement, member or block that each line of the synthetic code belongs to: chunks of a line, with the labels of their segments."""
+    chunks = chunking.chunk(code(spark, d), max_chars=1, overlap=0)
+    return chunks.select("project_id", "path", F.col("start_line").alias("line"), "symbol", "file_type")
+
+
+@query(f"""WITH {CODE}, chunked AS (SELECT project_id, path, count(*) AS blocks, any_value(py) AS py FROM code GROUP BY ALL) SELECT project_id, path, CAST(blocks * CASE WHEN py THEN 7 ELSE 10 END AS BIGINT) AS covered, 0 AS wrong_text, 0 AS too_long FROM chunked""")
+def code_chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Of each synthetic source file at production sizes: lines with text that its chunks cover, chunks whose text is not their lines,
+    and chunks of several lines that are too long."""
+    files = code(spark, d)
+    chunks = settled(chunking.chunk(files))
+    lines = settled(chunking.lines(files))
+    spread_ = chunks.select("project_id", "path", "chunk_index", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
+    covered = lines.join(spread_.select("project_id", "path", "line_no").distinct(), ["project_id", "path", "line_no"]).filter(F.col("line").rlike(r"\S"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
+    source = spread_.join(lines, ["project_id", "path", "line_no"]).groupBy("project_id", "path", "chunk_index").agg(text.alias("source"))
+    wrong = chunks.join(source, ["project_id", "path", "chunk_index"], "left").groupBy("project_id", "path").agg(
+        F.count_if(~F.col("content").eqNullSafe(F.col("source"))).cast("int").alias("wrong_text"),
+        F.count_if((F.char_length("content") + 1 > chunking.MAX_CHARS) & (F.col("end_line") > F.col("start_line"))).cast("int").alias("too_long"),
+    )
+    return covered.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("covered")).join(wrong, ["project_id", "path"])
+
+
+#: Import forms of further languages, by the remainder of doc_id: extension, lines of a block, source, (line in the block, module) of what it imports.
+LANGUAGES = [
+    (".java", 3, "import com.m_{1}.m_{2};\nimport static q.m_{3}.m_{4};\nclass C_{5} {{ }}\n", [(1, "com.m_{1}.m_{2}"), (2, "q.m_{3}.m_{4}")]),
+    (".c", 3, '#include "../inc/m_{1}.h"\n#include <m_{2}.h>\n#include "m_{3}.h"\n', [(1, "file:inc/m_{1}.h"), (3, "file:lib/m_{3}.h")]),
+    (".go", 5, 'import "s/m_{1}"\nimport (\n  "a/m_{2}"\n  x "c/m_{3}"\n)\n', [(1, "s/m_{1}"), (3, "a/m_{2}"), (4, "c/m_{3}")]),
+    (".rs", 2, "pub use a::m_{1};\nuse b::m_{2}::m_{3};\n", [(1, "a::m_{1}"), (2, "b::m_{2}::m_{3}")]),
+    (".cs", 2, "using static A.m_{1};\nusing B.m_{2};\n", [(1, "A.m_{1}"), (2, "B.m_{2}")]),
+]
+
+
+def foreign_code(spark: SparkSession, d: str) -> DataFrame:
+    """project_id, path, content of synthetic code in five further languages, a block for each six words."""
+    kind, path, content = F.col("doc_id") % len(LANGUAGES), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (ext, _, template, _) in enumerate(LANGUAGES):
+        path = F.when(kind == n, F.concat(F.lit("lib/doc_"), F.col("doc_id").cast("string"), F.lit(ext))).otherwise(path)
+        content = F.when(kind == n, F.array_join(F.transform("groups", functools.partial(_filled, template)), "")).otherwise(content)
+    return _documents(spark, d).select("project_id", path.alias("path"), content.alias("content"))
+
+
+def _foreign_sql() -> str:
+    parts = []
+    for n, (ext, size, _, imports) in enumerate(LANGUAGES):
+        for line, module in imports:
+            parts.append(f"SELECT project_id, 'lib/doc_' || doc_id || '{ext}' AS path, CAST(g * {size} + {line} AS INT) AS line, {_sql_concat(module)} AS module, '' AS name FROM code WHERE doc_id % {len(LANGUAGES)} = {n}")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"WITH {CODE} {_foreign_sql()}")
+def foreign_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports of Java, C, Go, Rust and C# files."""
+    return codegraph.imports(codegraph.parse(foreign_code(spark, d)))
