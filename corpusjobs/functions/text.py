@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STOP_WORDS = (
     "the a an is are was of to in on for and or how what where why does do it this that with be can i me my you which when by from as at file"
 ).split()
+#: What an identifier or number is, and what its camel-case and digit parts are.
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+"
 CAMEL = r"[A-Z]+(?=[A-Z][a-z]|[0-9]|\b)|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 CHARS_PER_TOKEN = 3
