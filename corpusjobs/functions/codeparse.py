@@ -49,12 +49,18 @@ def _absolute(module: str | None, level: int, package: str) -> str:
 
 
 def _written(func: ast.expr, name: str) -> str:
+    if isinstance(func, ast.Name):
+        return name[:WRITTEN]
     try:
         return ast.unparse(func)[:WRITTEN]
     except RecursionError:
         return name
 
 
+#: Nodes that hold nothing to look for.
+_LEAVES = (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.alias, ast.Pass, ast.Break, ast.Continue)
+
+
 def python_rows(content: str, path: str) -> list[Row]:
     """Rows of a Python file, none if it does not parse. Decorators are read inside what they decorate."""
     try:
@@ -87,7 +93,7 @@ def python_rows(content: str, path: str) -> list[Row]:
                 continue
             case ast.expr():
                 is_class = False
-        todo += [(child, inside, is_class) for child in reversed(list(ast.iter_child_nodes(node)))]
+        todo += [(child, inside, is_class) for child in reversed(list(ast.iter_child_nodes(node))) if not isinstance(child, _LEAVES)]
     return rows
 
 

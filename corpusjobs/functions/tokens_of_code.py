@@ -49,11 +49,14 @@ def tokens_of(lines: list[str]) -> list[Line]:
             elif not (m := _TOKEN.search(line, at)):
                 break
             else:
-                commented, at = m.group() == "/*", m.end()
-                if m.lastgroup == "string":
-                    found.append(Token("string", m.group()[1:-1], *m.span()))
-                elif m.lastgroup != "comment":
-                    found.append(Token(m.lastgroup, m.group(), *m.span()))
+                kind, text, start = m.lastgroup, m.group(), m.start()
+                at = start + len(text)
+                if kind == "string":
+                    found.append(Token(kind, text[1:-1], start, at))
+                elif kind == "comment":
+                    commented = text == "/*"
+                else:
+                    found.append(Token(kind, text, start, at))
         out.append(found)
     return out
 
