@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusjobs.functions import text as T
 from corpusjobs.operators import analysis, bm25, context, evaluation
 from corpusjobs.plans import views as V
+from corpusjobs.sources.checkpoints import own_folder
 from corpusjobs.plans.search_queries import RANKED
 from corpusjobs.streaming import streams
 
@@ -222,3 +223,42 @@ def assembled_answers(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     events = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_id").alias("seq"), F.when(kind == "purchase", "done").otherwise("token").alias("event"), F.concat(kind, F.lit(" ")).alias("payload"), "ts")
     return streams.answers(events).select("request_id", F.md5("answer").alias("answer_md5"), "tokens", "complete")
+
+
+def _as_stream(spark: SparkSession, folder: str, *parts: DataFrame) -> DataFrame:
+    """Rows written to a folder, read as a stream of files."""
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+    return spark.readStream.schema(parts[0].schema).parquet(folder)
+
+
+def _drained(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives until its source has no more, from a file sink."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+@query("""WITH t AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN 'done' ELSE 'token' END AS event, event_type || ' ' AS payload,
+  CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS opens FROM events),
+n AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS no FROM t)
+SELECT CAST(user_id AS VARCHAR) AS request_id, epoch_us(min(ts)) AS started, md5(coalesce(string_agg(payload, '' ORDER BY event_id) FILTER (event = 'token'), '')) AS answer_md5,
+  count(*) FILTER (event = 'token') AS tokens, bool_or(event = 'done') AS complete FROM n GROUP BY user_id, no HAVING count(*) FILTER (event = 'token') > 0""")
+def streamed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers put together from a stream of events, a session of each request; an event a week later closes all others."""
+    kind, folder = F.col("event_type"), own_folder(spark, "answers")
+    events = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("request_id"), F.col("event_id").cast("long").alias("seq"), F.when(kind == "purchase", "done").otherwise("token").alias("event"), F.concat(kind, F.lit(" ")).alias("payload"), F.col("ts").cast("timestamp").alias("ts"))
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 7 DAYS")).alias("ts")).select(F.lit("the last").alias("request_id"), F.lit(0).cast("long").alias("seq"), F.lit("token").alias("event"), F.lit("").alias("payload"), "ts")
+    out = _drained(streams.answer_stream(_as_stream(spark, f"{folder}/in", events, last)), folder).filter("request_id <> 'the last'")
+    return out.select("request_id", F.unix_micros("started").alias("started"), F.md5("answer").alias("answer_md5"), "tokens", "complete")
+
+
+@query("""SELECT DISTINCT lower(trim(CASE WHEN user_id % 2 = 0 THEN '  ' || upper(event_type) || user_id || ' ' ELSE event_type || user_id END)) AS question FROM events""")
+def streamed_log(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of log records without the questions that came before."""
+    user, kind, folder = F.col("user_id"), F.col("event_type"), own_folder(spark, "log")
+    text = F.when(user % 2 == 0, F.concat(F.lit("  "), F.upper(kind), user.cast("string"), F.lit(" "))).otherwise(F.concat(kind, user.cast("string")))
+    log = V.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("timestamp"), text.alias("question"))
+    # all of a year's questions are within the delay
+    out = _drained(streams.without_repeated_questions(_as_stream(spark, f"{folder}/in", log), late="1000 days"), folder)
+    return out.select(F.lower(F.trim("question")).alias("question"))

@@ -133,3 +133,26 @@ def stored_chunks(spark: SparkSession, d: str) -> DataFrame:
     sinks.write_files(spark, V.whole_chunks(files).drop("search_text"), root)
     wanted = files.join(V.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     return sinks.stored_files(spark, root, wanted).select("project_id", "path", "chunk_index", "start_line", "end_line", "chunk_id")
+
+
+CHANGED = PROSE.replace("files AS", "files_0 AS", 1) + ", files AS (SELECT project_id, path, coalesce(b.text, content) AS content, doc_id FROM files_0 LEFT JOIN benchmark b ON b.item_id = doc_id)"
+
+
+@query(f"""WITH {CHANGED}, {LINES} SELECT project_id, path, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM lines WHERE regexp_matches(line, '[^[:space:]]') GROUP BY ALL""")
+def ingested_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Files that came in as a stream, those with a benchmark item's number twice: put together again from the stored chunks."""
+    from corpusjobs.sources.checkpoints import own_folder
+    from corpusjobs.streaming import streams
+
+    root = own_folder(spark, "ingested")
+    at = lambda day, seq: (F.to_timestamp(F.lit(f"2024-01-0{day}")).alias("uploaded_at"), seq.cast("long").alias("seq"))
+    files = prose(spark, d)
+    items = V.table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("doc_id"), F.col("text").alias("passage"))
+    newer = files.join(items, "doc_id").select("project_id", "path", F.col("passage").alias("content"), *at(2, F.col("doc_id")))
+    for part in (files.select("project_id", "path", "content", *at(1, F.col("doc_id"))), newer):
+        part.write.mode("append").parquet(f"{root}/in")
+        streams.ingest(spark.readStream.schema(part.schema).parquet(f"{root}/in"), f"{root}/tables", f"{root}/state", max_chars=600).awaitTermination()
+    chunks = spark.read.parquet(f"{root}/tables/chunks").drop("bucket")
+    whole = chunking.lines(chunking.rebuilt(chunks)).filter(F.col("line").rlike(r"\S"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
+    return whole.groupBy("project_id", "path").agg(F.md5(text).alias("text_md5"))

@@ -291,3 +291,15 @@ def changed_corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
     corpus_stats.compact(spark, root, "both")
     df, sizes = corpus_stats.statistics(spark, root)
     return df.join(sizes, "project_id").select("project_id", "term", "df", "n", F.round("avg_len", 6).alias("avg_len"))
+
+
+def _measured(texts: list[str]) -> list[list[float]]:
+    """Stands for a model: characters, spaces and full stops of each text."""
+    return [[float(len(t)), float(t.count(" ")), float(t.count("."))] for t in texts]
+
+
+@query("""SELECT doc_id, length(t) AS chars, length(t) - length(replace(t, ' ', '')) AS spaces, length(t) - length(replace(t, '.', '')) AS stops FROM (SELECT doc_id, 'search_document: ' || coalesce(text, '') AS t FROM documents)""")
+def embedded_documents(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through a model given as a callable, in batches and with a task prefix."""
+    out = vectors.embed(V.table(spark, d, "documents").select("doc_id", "text"), "text", _measured, prefix="search_document: ")
+    return out.select("doc_id", *(F.col("embedding")[k].cast("long").alias(name) for k, name in enumerate(("chars", "spaces", "stops"))))
