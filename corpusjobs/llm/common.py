@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import string
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -31,6 +33,14 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
+def give_back() -> None:
+    """Hand memory that is free within this process back to the system. A Python worker serves many tasks of many stages, and would
+    otherwise keep what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Few rows and bytes at a time, as rows are whole texts: at most `rows`, and `size` bytes unless one row has more."""
     for batch in batches:
@@ -42,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, size: int = 1 <<
                 rest += [part.slice(half), part.slice(0, half)]
             else:
                 yield part
+    give_back()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -181,15 +180,15 @@ def links(points: DataFrame, radius: int = RADIUS, shard_points: int = SHARD_POI
                     ["shard", "fp", "first", "own"],
                 )
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["own", "first"], ascending=[False, True], kind="stable")
-        first = pdf["first"].to_numpy()
-        label = link(pdf["fp"].to_numpy().view(np.uint64), int(pdf["own"].sum()), radius)
+    def within(table: pa.Table) -> pa.Table:
+        own, first = table["own"].to_numpy(), table["first"].combine_chunks()
+        order = np.lexsort((first.fill_null(np.iinfo(np.int64).max).to_numpy(), ~own))  # own points first, by their document
+        label = link(table["fp"].to_numpy().view(np.uint64)[order], int(own.sum()), radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": first[moved], "b": first[label[moved]]})
+        return pa.table([first.take(pa.array(order[at])) for at in (moved, label[moved])], ["a", "b"])
 
     dealt = points.select("fp", "first").mapInArrow(deal, "shard int, fp long, first long, own boolean")
-    return dealt.groupBy("shard").applyInPandas(within, "a long, b long")
+    return dealt.groupBy("shard").applyInArrow(within, "a long, b long")
 
 
 def find_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
