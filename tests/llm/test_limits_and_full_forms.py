@@ -34,11 +34,11 @@ def test_full_forms(spark):
     got = {r["canon"]: r["surrogate"] for r in pii.settle(rows, b"key").collect()}
     assert len(got) == len(set(got.values())) == len(every) + len(others)
     assert set(got[e] for e in every) <= set(every) and not {got[e] for e in others} & set(others)
-    # a network of which all addresses are real
-    net = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    # a network of which all addresses are real, within a larger one
+    net = [f"192.168.1.{b}" for b in range(256)]
     rows = spark.createDataFrame([("ip", e, None) for e in net], "kind string, canon string, hint string")
     got = {r["canon"]: r["surrogate"] for r in pii.settle(rows, b"key").collect()}
-    assert set(got) == set(net) == set(got.values())
+    assert set(got) == set(net) and len(set(got.values())) == 256 and not set(got.values()) & set(net)
 
 
 def test_text_with_a_full_form(spark):
