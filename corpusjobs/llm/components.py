@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by alternating large-star and small-star steps.
+
+Edge cases: links with a null end and links of a node to itself are left out; repeated links and links given both ways count once; an
+empty table gives an empty result; columns other than a and b are ignored.
+"""
 
 from __future__ import annotations
 

@@ -80,3 +80,12 @@ def test_long_texts(spark, sides):
     docs = documents(spark, [(0, long), (1, long + " ends otherwise"), (2, "short one")])
     rows = {name: run().collect() for name, run in operators(docs, *sides).items() if name in ("licences", "tokens", "pii", "quality", "exact", "leaks", "simhash", "selected", "kept", "clean")}
     assert all(sorted(r["doc_id"] for r in found) == [0, 1, 2] for found in rows.values())
+
+
+def test_components_of_odd_links(spark):
+    from corpusjobs.llm.components import components
+
+    rows = [(5, 3, "x"), (3, 5, "y"), (3, 3, "z"), (None, 4, "q"), (4, None, "q"), (9, 8, "r"), (8, 5, "s"), (9, 8, "r"), (20, 21, "t")]
+    links = spark.createDataFrame(rows, "a long, b long, node string")
+    assert sorted(map(tuple, components(links).collect())) == [(3, 3), (5, 3), (8, 3), (9, 3), (20, 20), (21, 20)]
+    assert components(links.filter("a > 99")).collect() == []
