@@ -314,6 +314,14 @@ def test_cut_to_budget(spark):
         assert r["cut"] == want(r["text"], r["budget"]), r
 
 
+def test_a_cut_after_a_line_end_drops_that_end_alone(spark):
+    rows = spark.createDataFrame([("a\nbcde\n" + "x" * 9, 2), ("ab\rcd\n" + "x" * 9, 2)], "text string, budget int")
+    got = [r[0].split("\n...")[0] for r in rows.select(relations.cut_to_budget(F.col("text"), F.col("budget"))).collect()]
+    assert got == ["a", "ab\rcd"]
+    at_end = spark.createDataFrame([("a\nbcd\n" + "x" * 9, 2)], "text string, budget int")
+    assert at_end.select(relations.cut_to_budget(F.col("text"), F.col("budget"))).first()[0].split("\n...")[0] == "a\nbcd"
+
+
 def test_pairs_of_blocks_have_keys_of_their_own(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_QUESTIONS", 4)
     monkeypatch.setattr(vectors, "BLOCK_VECTORS", 5)
