@@ -49,3 +49,14 @@ def test_hashed_vectors_of_odd_texts(spark):
     assert len(got) == 5
     for _, n, embedding in got:
         assert embedding == pytest.approx(want(tokens[n]))
+
+
+def test_no_text_goes_through_a_window_over_a_source(spark, tmp_path):
+    """A source may hold most texts: only numbers are ordered within it. Rows that come again, nulls and single rows keep the lag's values."""
+    rows = [("s", 2, "b"), ("s", 4, "d"), ("s", 4, "d again"), ("s", 8, None), ("s", 3, "c"), (None, 6, "f"), (None, 10, "g"), ("t", None, "x")]
+    spark.createDataFrame(rows, "source string, doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = G._before(spark, str(tmp_path))
+    got = sorted(((r["source"], r["doc_id"], r["prev"]) for r in found.collect()), key=repr)
+    assert got == sorted([("s", 2, 2), ("s", 4, 2), ("s", 4, 4), ("s", 8, 4), ("s", 3, 3), (None, 6, 6), (None, 10, 6), ("t", None, None)], key=repr)
+    windows = [line for line in plan_of(found).split("\n") if "Window [" in line and "lag(" in line]
+    assert len(windows) == 1 and "text" not in windows[0]
