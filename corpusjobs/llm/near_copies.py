@@ -9,8 +9,11 @@ A text is the set of hashes of its `SHINGLE`-word shingles. Two texts are linked
   are candidates, so the search is exact there.
 * Larger buckets are parted by the element that follows in the document's order, and treated in the same way. What is
   larger even then links its documents to the smallest one, as the whole bucket does, so candidates grow with the number
-  of documents and not with its square. Pairs in such buckets may be missed where neither meets a smallest one; with a larger `bucket` fewer
-  buckets are treated so, and with one of the number of documents none is, at the cost of all pairs of a bucket.
+  of documents and not with its square.
+* That may miss pairs. So where the links found join a large bucket's documents into several groups, all its pairs of documents of
+  different groups are looked at (`across`), by bitmaps that rule out most: no two groups stay apart that a similar pair
+  joins. Pairs within a group need no link. This is quadratic in the documents of a bucket that are in none of its large groups, in
+  blocks of `BLOCK` documents, so no task holds a bucket.
 
 SimHash finds candidates as well, by op 10's tree of vantage points: documents with fingerprints a bit or two apart. They take in
 long documents with small changes, whatever their buckets.
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusjobs.llm import simhash
@@ -39,6 +43,8 @@ from corpusjobs.llm.components import components
 SHINGLE, BUCKET = 5, 64
 #: Sampled documents, sampled documents that make an element common, and common elements at most.
 SAMPLE, COMMON, MAX_COMMON = 2048, 20, 100_000
+#: Documents of a large bucket that a task compares with as many others, and bits of a set's bitmap: of the smallest and of the largest sets.
+BLOCK, BITS = 512, (512, 16_384)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -124,13 +130,17 @@ def _to_first(rows: DataFrame, bucket: int) -> DataFrame:
     return rows.filter(fits).select(F.col("doc_id").alias("a"), F.col("first.doc_id").alias("b"), "n", F.col("first.n").alias("m"), F.lit(0).alias("shared"))
 
 
-def candidates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """a, b: distinct pairs of documents, b the smaller, that may be similar.
+def buckets(docs: DataFrame) -> DataFrame:
+    """The rows of all prefixes in buckets of several documents, written."""
+    return cut(_bucketed(cut(prefixes(docs)), ["key"]))
+
+
+def candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: of rows from `buckets`, distinct pairs of documents, b the smaller, that may be similar.
 
     Of two prefixes, all common elements up to the end of the one that ends first are in both. So similar sets share at
     least ceil(4 (n + m) / 9) elements less those that can follow that prefix; elements with large buckets count as shared.
     """
-    rows = cut(_bucketed(cut(prefixes(docs)), ["key"]))
     large = rows.filter(F.col("in_bucket") > bucket)
     parts = cut(_bucketed(large.drop("in_bucket", "first"), ["key", "next"]))
     found = _pairs(rows, ["key"], 1, bucket).unionByName(_to_first(rows, bucket)).unionByName(_pairs(parts, ["key", "next"], 0, bucket)).unionByName(_to_first(parts, bucket))
@@ -148,10 +158,88 @@ def by_fingerprint(docs: DataFrame) -> DataFrame:
     return same.unionByName(simhash.links(points).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
 
 
-def links(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """a, b: the candidates that are similar."""
-    texts = _texts(docs)
-    pairs = cut(candidates(texts, bucket).unionByName(by_fingerprint(texts)).distinct())
+def bitmap(elements: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of a set's elements fall on it, as 64-bit words. Folded in half, the bitmap is the one of half the bits."""
+    size = min(max(BITS[0], 1 << (4 * len(elements) - 1).bit_length()), BITS[1])
+    odd = (np.bincount(elements & (size - 1), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    while words.shape[1] > width:
+        words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+    return words
+
+
+def possible(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int]]:
+    """Places in left and right, (sizes, groups, bitmaps of one width) each, of what is in different groups and may be similar.
+
+    Sets of n and m elements with a similarity of 4/5 or more differ in (n + m) / 9 elements at most, and their bitmaps in no more bits."""
+    (n, one, x), (m, other, y) = left, right
+    width = min(x.shape[1], y.shape[1])
+    x, y = _folded(x, width), _folded(y, width)
+    for k in range(len(n)):
+        near = np.flatnonzero((other != one[k]) & (5 * m >= 4 * n[k]) & (5 * n[k] >= 4 * m))
+        differ = np.bitwise_count(y[near] ^ x[k]).sum(axis=1, dtype=np.int64)
+        yield from ((k, at) for at in near[9 * differ <= n[k] + m[near]].tolist())
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """a, b: what may be similar of a pair of blocks; the rows of the second one, if it is another, have `second`."""
+    second = table.column("second").to_numpy()
+    ids, n, group = (table.column(c).to_numpy() for c in ("doc_id", "n", "component"))
+    bits = table.column("bits").combine_chunks()
+    words = [np.frombuffer(x.as_buffer(), "<u8") for x in bits]
+    widths = np.array([len(w) for w in words])
+    parts = {(side, w): np.flatnonzero((second == side) & (widths == w)) for side in (False, True) for w in set(widths.tolist())}
+    of = lambda rows: (n[rows], group[rows], np.stack([words[r] for r in rows]))
+    one_block, a, b = not second.any(), [], []
+    for (side, w), rows in parts.items():
+        for (other, v), more in parts.items():
+            # a block with the other one or with itself, then each pair of widths once; where sizes fit, no width is over twice the other
+            if side or other == one_block or one_block and v < w or max(w, v) > 2 * min(w, v) or not len(rows) or not len(more):
+                continue
+            for x, y in possible(of(rows), of(more)):
+                a.append(int(max(ids[rows[x]], ids[more[y]])))
+                b.append(int(min(ids[rows[x]], ids[more[y]])))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def across(texts: DataFrame, rows: DataFrame, found: DataFrame, bucket: int = BUCKET) -> DataFrame | None:
+    """a, b: pairs of documents that share a large bucket of `rows`, that the links `found` do not join and that may be similar; None if there
+    is no such bucket.
+
+    A bucket's documents are put in the order of their groups and in blocks; blocks of one and the same group do not meet. Buckets with the
+    same documents, as groups of templates have for each element of the template, are looked at once."""
+    groups = cut(components(found).select(F.col("node").alias("doc_id"), "component").distinct())
+    large = rows.filter(F.col("in_bucket") > bucket).select("key", "doc_id").distinct().join(groups, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    held = [F.count(F.lit(1)).alias("size"), *(F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"held_{k}") for k in range(2))]
+    mixed = large.groupBy("key").agg(*held, F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    keys = cut(mixed.groupBy("size", "held_0", "held_1").agg(F.min("key").alias("key")).select("key"))
+    if keys.isEmpty():
+        return None
+    place = F.row_number().over(W.partitionBy("key").orderBy("component", "doc_id"))
+    placed = cut(large.join(keys, "key").withColumn("block", F.floor((place - 1) / BLOCK).cast("int")))
+    blocks = placed.groupBy("key", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    other = blocks.select("key", *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")))
+    meet = cut(blocks.join(other, "key").filter("block <= other_block and (low < other_high or other_low < high)").select("key", F.col("block").alias("i"), F.col("other_block").alias("j")))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits"])
+
+    asked = placed.select("doc_id").distinct()
+    known = cut(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(bits, "doc_id long, n long, bits binary"))
+    first = meet.withColumns({"block": F.col("i"), "second": F.lit(False)})
+    rest = meet.filter("i < j").withColumns({"block": F.col("j"), "second": F.lit(True)})
+    sides = placed.join(first.unionByName(rest), ["key", "block"]).join(known, "doc_id").select("key", "i", "j", "second", "doc_id", "component", "n", "bits")
+    return cut(sides.groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long").distinct())
+
+
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b: those of written pairs whose sets are similar."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +258,16 @@ def links(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
+def links(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """a, b: similar documents, b the smaller: enough of them to join all that a chain of similar documents joins."""
+    texts = _texts(docs)
+    rows = buckets(texts)
+    found = cut(verified(texts, cut(candidates(rows, bucket).unionByName(by_fingerprint(texts)).distinct())))
+    rest = across(texts, rows, found, bucket)
+    return found if rest is None else found.unionByName(verified(texts, rest))
+
+
 def one_of_each(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """The rows of docs that come first, by doc_id, in their group; all columns kept. With a `bucket` of the number of documents or more
-    every bucket is treated as a small one, and all pairs are found."""
+    """The rows of docs that come first, by doc_id, in their group; all columns kept. The groups are the same for any `bucket`."""
     later = components(cut(links(docs, bucket))).filter("node <> component").select(F.col("node").alias("doc_id")).distinct()
     return drop_rows(docs, later, ["doc_id"])

@@ -96,3 +96,32 @@ def test_recall_in_large_buckets(spark, group):
     assert want <= kept and len(kept - want) <= 0.01 * (len(rows) - len(want))  # none lost, one in a hundred stays at most
     if group == 100:  # treated as a small bucket, nothing is missed
         assert {r["doc_id"] for r in near_copies.one_of_each(docs, bucket=len(rows)).collect()} == want
+
+
+def test_large_buckets_lose_no_group(spark, monkeypatch):
+    """Texts of one template, most of them just too far from each other: the few pairs that are similar share large buckets only, and
+    are not the first ones there."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16, raising=False)
+    rng = random.Random(1)
+    docs = []
+    for n in range(120):
+        words = [f"t{k}" for k in range(150)]
+        for _ in range(rng.choice([3, 4])):
+            words[rng.randrange(150)] = f"c{n}x{rng.random()}"
+        docs.append((n, " ".join(words)))
+    want, pairs = first_of_each(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert pairs and sorted(r["doc_id"] for r in near_copies.one_of_each(df, bucket=2).collect()) == want
+
+
+def test_bitmaps_rule_out_no_similar_pair():
+    np = near_copies.np
+    rng = np.random.default_rng(3)
+    for size in (1, 3, 40, 300, 5000, 9000):
+        base = np.unique(rng.integers(-(2**62), 2**62, size))
+        for share in (0.9, 0.85, 0.81, 0.5):
+            more = base[: max(1, round(len(base) * share))]
+            a, b = near_copies.bitmap(base), near_copies.bitmap(more)
+            got = list(near_copies.possible((np.array([len(base)]), np.array([0]), a[None]), (np.array([len(more)]), np.array([1]), b[None])))
+            assert got or not near_copies.similar(base, more)
+            assert not got or share > 0.5 or size < 3
