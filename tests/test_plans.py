@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusjobs.functions import text as T
-from corpusjobs.operators import bm25, vectors
+from corpusjobs.operators import bm25, relations, vectors
 from corpusjobs.plans import graph_queries as G, views as V
 
 DATA = "/root/testdata/sf0.001"
@@ -51,6 +51,24 @@ def test_hashed_vectors_of_odd_texts(spark):
         assert embedding == pytest.approx(want(tokens[n]))
 
 
+def test_callees_are_written_out_last(spark):
+    """A name has up to 200 definitions of 200 calls: after they are written out nothing is shuffled or sorted. Two qualified names, calls on
+    one line and an unknown one are numbered as one window would."""
+    symbols = spark.createDataFrame([("p", "a", "m", "A.m", "method", 1, 2), ("p", "b", "m", "B.m", "method", 1, 2), ("p", "c", "m", "A.m", "method", 5, 6)], "project_id string, path string, name string, qualname string, kind string, start_line int, end_line int")
+    calls = spark.createDataFrame([("p", "a", 2, "m", "A.m", "m"), ("p", "a", 2, "x", "A.m", "x"), ("p", "b", 2, "m", "B.m", "q.m"), ("p", "c", 6, "m", "A.m", "m"), ("p", "a", 2, "m", "A.m", "z.m")], "project_id string, path string, line int, name string, caller string, expr string")
+    found = relations.callees_of(spark.createDataFrame([("p", "m")], "project_id string, symbol string"), symbols, calls)
+    got = [(r["pos"], r["path"], r["line"], r["expr"], r["internal"]) for r in sorted(found.collect(), key=lambda r: r["pos"])]
+    first = [("a", 2, "m", True), ("a", 2, "z.m", True)]
+    want = [*first, ("b", 2, "q.m", True), *first, *[("c", 6, "m", True)] * 2, *[("a", 2, "x", False)] * 2]
+    assert got == [(n, *row) for n, row in enumerate(want, 1)]
+    above = plan_of(found).split("Generate posexplode")[0]
+    assert not any(word in above for word in ("Window", "Sort", "Join", "Aggregate", "Repartition"))
+
+
+def test_invariants_of_chunks_meet_no_lines_as_rows(spark):
+    assert "Generate explode" not in plan_of(G.code_chunk_invariants(spark, DATA))
+
+
 def test_no_text_goes_through_a_window_over_a_source(spark, tmp_path):
     """A source may hold most texts: only numbers are ordered within it. Rows that come again, nulls and single rows keep the lag's values."""
     rows = [("s", 2, "b"), ("s", 4, "d"), ("s", 4, "d again"), ("s", 8, None), ("s", 3, "c"), (None, 6, "f"), (None, 10, "g"), ("t", None, "x")]
