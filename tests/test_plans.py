@@ -78,3 +78,19 @@ def test_no_text_goes_through_a_window_over_a_source(spark, tmp_path):
     assert got == sorted([("s", 2, 2), ("s", 4, 2), ("s", 4, 4), ("s", 8, 4), ("s", 3, 3), (None, 6, 6), (None, 10, 6), ("t", None, None)], key=repr)
     windows = [line for line in plan_of(found).split("\n") if "Window [" in line and "lag(" in line]
     assert len(windows) == 1 and "text" not in windows[0]
+
+
+FILES = [("p", "a/x.py", "c1", 1, "red fish"), ("p", "b/y.py", "c2", 1, "red red blue"), ("p", "b/y.py", "c3", 9, "fish"), ("p", "top.py", "c4", 1, ""), ("q", "a/x.py", "c5", 1, "red")]
+
+
+def test_only_chunks_of_named_files_are_scored(spark, monkeypatch):
+    """Questions and chunks that share a word are many more than those that are named; the scores are the same."""
+    chunks = spark.createDataFrame(FILES, "project_id string, path string, chunk_id string, start_line int, search_text string")
+    asked = spark.createDataFrame([("p", "1", "is fish red in x.py"), ("p", "2", "blue b/y.py top.py"), ("q", "1", "none"), ("q", "3", "red x.py")], "project_id string, question_id string, question string")
+    named = bm25.named_files(asked, chunks.select("project_id", "path").distinct())
+    columns = ["project_id", "question_id", "rank", "chunk_id", F.round("score", 9).alias("score")]
+    want = sorted(bm25.in_files(chunks, asked, named, scored=bm25.scores(chunks, asked)).select(columns).collect())
+    monkeypatch.setattr(bm25, "scores", None)
+    assert sorted(bm25.in_files(chunks, asked, named).select(columns).collect()) == want and len(want) == 5
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
+    assert sorted(bm25.in_files(chunks, asked, named).select(columns).collect()) == want
