@@ -94,3 +94,19 @@ def test_only_chunks_of_named_files_are_scored(spark, monkeypatch):
     assert sorted(bm25.in_files(chunks, asked, named).select(columns).collect()) == want and len(want) == 5
     monkeypatch.setattr(bm25, "BROADCAST_TERMS", 0)
     assert sorted(bm25.in_files(chunks, asked, named).select(columns).collect()) == want
+
+
+def test_spelt_names_stay_with_their_questions(spark):
+    """The sizes of names go to every task, and what a question spells is made distinct in its row: no project is one task, no table of all spots."""
+    files = spark.createDataFrame([("p", "a/x.py"), ("p", "b/x.py"), ("p", "t.py"), ("p", "a/t.python")], "project_id string, path string")
+    asked = spark.createDataFrame([("p", "1", "x.py, a/x.pys"), ("p", "2", "x.pys at.py"), ("p", "3", "olda/t.pythons"), ("p", "4", "b/t.py")], "project_id string, question_id string, question string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = bm25.named_files(asked, files)
+        executed = found._jdf.queryExecution().executedPlan().toString()
+        assert executed.count("BroadcastHashJoin") == 1
+        got = sorted((r["question_id"], r["path"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert got == [("1", "a/x.py"), ("1", "b/x.py"), ("2", "t.py"), ("3", "a/t.python"), ("3", "t.py"), ("4", "t.py")]
