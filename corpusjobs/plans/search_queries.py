@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusjobs.functions import text as T
 from corpusjobs.operators import bm25, fusion, vectors
 from corpusjobs.plans import views as V
 from corpusjobs.sources.checkpoints import settled
@@ -29,7 +28,10 @@ def _chunks(spark, d):
 
 @query(f"WITH {V.tokens_sql('documents', 'doc_id', 'text', 't')} SELECT doc_id, token, count(*) AS n FROM t GROUP BY ALL")
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return V.table(spark, d, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    # texts of one doc_id meet as texts: a row for each token would be many times the input, and its counts a table in memory
+    texts = V.table(spark, d, "documents").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    counted = bm25.term_counts(texts, ["doc_id"], "text").select("doc_id", F.inline("terms"))
+    return counted.select("doc_id", F.col("term").alias("token"), F.col("tf").alias("n"))
 
 
 @query(f"WITH {V.bm25_sql()} SELECT project_id, chunk_id, term, tf FROM tf")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusjobs.functions import text as T
 from corpusjobs.operators import bm25, relations, vectors
-from corpusjobs.plans import graph_queries as G, views as V
+from corpusjobs.plans import graph_queries as G, search_queries, views as V
 
 DATA = "/root/testdata/sf0.001"
 
@@ -110,3 +110,13 @@ def test_spelt_names_stay_with_their_questions(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert got == [("1", "a/x.py"), ("1", "b/x.py"), ("2", "t.py"), ("3", "a/t.python"), ("3", "t.py"), ("4", "t.py")]
+
+
+def test_tokens_are_counted_in_their_rows(spark, tmp_path):
+    rows = [(1, "red fish red"), (1, "fish"), (1, None), (2, None), (3, ""), (None, "blue"), (None, "blue fishRed")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = search_queries.tokenize(spark, str(tmp_path))
+    assert "Aggregate" not in plan_of(found).split("Generate")[0]
+    want = {(1, "red", 2), (1, "fish", 2), (None, "blue", 2), (None, "fishred", 1), (None, "fish", 1), (None, "red", 1)}
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
