@@ -360,3 +360,27 @@ def test_statistics_follow_changes(spark, tmp_path):
     asked = spark.createDataFrame([("p", "1", "red fish"), ("q", "2", "fish")], "project_id string, question_id string, question string")
     scores = lambda rows: sorted((r["question_id"], r["chunk_id"], round(r["score"], 9)) for r in rows.collect())
     assert scores(corpus_stats.scores(spark, root, asked)) == scores(bm25.scores(now, asked)) != []
+
+
+def test_code_is_read_by_shapes():
+    """Statements that differ in names go through the parser once; rows are those of the whole file, and of names that mean something."""
+    block = "from .m_{0} import f_{0}\n@d_{0}.e\ndef f_{0}(x):\n    return g_{0}.h.k(x)(y)\nclass C_{0}:\n    async def m(self):\n        if f_{0}(1): pass\n        else: match(f_{0})\n"
+    script = "import {{ f_{0} as g, type }} from './a/m_{0}';\nconst {{ y_{0} }} = require('../z.js');\nfunction f_{0}(x) {{ return f_{0}(h_{0}(x)); }}\nclass C_{0} {{\n  m_{0}(x) {{\n    return q.r_{0}(x);\n  }}\n}}\n"
+    for path, template, shapes, whole in (
+        ("lib/a.py", block, codeparse._PYTHON, lambda c: codeparse.python_rows(c)),
+        ("lib/a.js", script, codeparse._SCRIPT, lambda c: list(codeparse.brace_rows(c, "", ".js"))),
+    ):
+        code = "".join(template.format(w) for w in ("red", "fish", "x" * 150, "Match", "_1e5"))
+        shapes.known.clear()
+        found = shapes.read(code)
+        assert found == whole(code) and 0 < len(shapes.known) <= 4
+        rows = codeparse.rows_of(code, path)
+        assert max(len(r[5]) for r in rows) == 120 and {r[4] for r in rows if r[0] == "import"} >= {"lib.m_red" if path.endswith("py") else "path:lib/a/m_red"}
+        assert shapes is codeparse._PYTHON or not [r for r in rows if r[0] == "call" and r[3].startswith("f_")]
+    # what is no whole by itself, or no shape, is left to the whole file
+    for code in ("x = (\ny\n)\n", "s = 'def f'\n", "f(1.e5)\n", "def f(:\n", "é = f()\n", "Q1Q = f(g)\n"):
+        assert codeparse._PYTHON.read(code) is None
+    for code in ("function f(x)\n;\n", "/* }\nfunction f() { */\n", "class A {\nfunction f() {\n}\nfunction g() {\n}\n"):
+        rows = codeparse.rows_of(code, "a.js")
+        assert rows == codeparse.finished(codeparse.brace_rows(code, "a.js", ".js"), lambda of: of)
+    assert codeparse._SCRIPT.read("class A {\nb;\nfunction f() {\n}\n") is None
