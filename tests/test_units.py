@@ -384,3 +384,20 @@ def test_code_is_read_by_shapes():
         rows = codeparse.rows_of(code, "a.js")
         assert rows == codeparse.finished(codeparse.brace_rows(code, "a.js", ".js"), lambda of: of)
     assert codeparse._SCRIPT.read("class A {\nb;\nfunction f() {\n}\n") is None
+
+
+def test_segments_are_cut_by_shapes():
+    """Lines and statements that differ in names are read once, with the segments that whole files give; classes that are too large go by member."""
+    from unittest import mock
+
+    python = "".join("# c\nimport x_{0}\n@d_{0}\ndef f_{0}(x):\n    return g(x)\n\nclass C_{0}:\n    a = 1\n    # m\n    def m_{0}(self):\n        class D_{0}: b = 2\n        return 3\n".format(w) for w in ("a", "bb", "ccc"))
+    script = "".join("import {{ f_{0} }} from './m_{0}';\nconst g_{0} = (x) => {{\n  return x;\n}};\nclass C_{0} {{\n  m_{0}(x) {{ }}\n}}\n}}\n".format(w) for w in ("a", "bb", "ccc"))
+    for ext, code, known in ((".py", python, S._STATEMENTS), (".js", script, S._LINES)):
+        for size in (1, 60, 1500):
+            known.known.clear()
+            found = S.chunks_of(code, ext, size, 0)
+            assert 0 < len(known.known) <= 9
+            with mock.patch.object(known, "read", return_value=None):
+                assert S.chunks_of(code, ext, size, 0) == found
+    labels = [label for _, _, _, label in S.chunks_of(python, ".py", 1, 0)]
+    assert labels.count("C_bb.m_bb") == 4 and labels.count("f_ccc") == 3
