@@ -386,6 +386,29 @@ def test_code_is_read_by_shapes():
     assert codeparse._SCRIPT.read("class A {\nb;\nfunction f() {\n}\n") is None
 
 
+def test_many_files_are_read_at_once():
+    """Columns of many files hold the rows of each; no file that shapes tell is read by itself, and kinds that are not asked for are not made."""
+    from unittest import mock
+
+    python = "from .m_{0} import f_{0}\nfrom ..a import *\n@d.e\ndef f_{0}(x):\n    return g_{0}.h.k(x)(y) % 1\nclass C_{0}:\n    async def m(self):\n        if f_{0}(1): pass\n"
+    script = "import {{ f_{0} as g }} from './a/m_{0}';\nimport 'x';\nfunction f_{0}(x) {{ return f_{0}(h_{0}(x)); }}\nclass C_{0} {{\n  m_{0}(x) {{\n    return q.r_{0}(x);\n  }}\n}}\n"
+    files = [(f"lib/{n}/a{ext}", "".join(t.format(w) for w in words)) for n, words in enumerate((["red", "x" * 150], [], ["a", "Match", "_1e5"])) for ext, t in ((".py", python), (".js", script))]
+    odd = [("b.py", "x = f(\ny\n)\ns = 'def f'\n"), ("b.js", "f(); // g()\n"), ("b.py", "def g(:\n"), ("c.jsx", "<A />\nf();"), ("d.go", "func f() {\n  g()\n}\n"), ("e.txt", "f()"), ("f.py", "é = f()\n\x01")]
+    odd += [("g.py", "def f(): g(\n"), ("g.js", "function f(x)\n;\n"), ("h.py", "import a"), ("i.py", "9x = b\n"), ("h.js", "const a = require(\"./b\")")]
+
+    def wanted(rows, kinds):
+        return sorted((n, *r) for n, (path, code) in enumerate(rows) for r in codeparse.rows_of(code, path) if r[0] in kinds)
+
+    def found(rows, kinds):
+        return sorted(zip(*(c.to_pylist() for c in codeparse.columns_of([code for _, code in rows], [path for path, _ in rows], kinds))), key=repr)
+
+    for kinds in (["symbol", "call", "import"], ["import"], ["call"], ["symbol"]):
+        assert found(files + odd, kinds) == sorted(wanted(files + odd, kinds), key=repr)
+        with mock.patch.object(codeparse, "rows_of", side_effect=AssertionError("one by one")):
+            assert {r[1] for r in found(files, kinds)} == set(kinds)
+    assert found([], ["call"]) == []
+
+
 def test_segments_are_cut_by_shapes():
     """Lines and statements that differ in names are read once, with the segments that whole files give; classes that are too large go by member."""
     from unittest import mock
