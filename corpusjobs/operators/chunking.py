@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -37,6 +38,22 @@ def chunk(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP)
     return cut.select("*", R.file_type(F.col("path")).alias("file_type"), T.chunk_id(F.col("path"), F.col("chunk_index"), F.col("content")).alias("chunk_id"))
 
 
+def chunk_lists(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
+    """files (project_id, path, content) with `chunks`, in order: a row stays a row, so what is asked of a file and its chunks needs no join."""
+    kind = pa.list_(pa.struct([("start_line", pa.int32()), ("end_line", pa.int32()), ("content", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [S.chunks_of(content or "", ext or "", max_chars, overlap) for content, ext in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            each = [c for chunks in found for c in chunks]
+            parts = pa.StructArray.from_arrays([pa.array([c[k] for c in each], f.type) for k, f in enumerate(kind.value_type)], fields=list(kind.value_type))
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), parts, type=kind)], ["project_id", "path", "content", "chunks"])
+
+    rows = files.select("project_id", "path", "content", R.lower_extension(F.col("path")).alias("extension"))
+    return rows.mapInArrow(run, "project_id string, path string, content string, chunks array<struct<start_line:int,end_line:int,content:string>>")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """project_id, path, line_no (from 1), line."""
     return files.select("project_id", "path", F.posexplode(T.lines_of(F.col("content"))).alias("n", "line")).select(

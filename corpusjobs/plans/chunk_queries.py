@@ -76,21 +76,22 @@ def _cut(spark, d):
 def chunk_invariants(spark: SparkSession, d: str) -> DataFrame:
     """For each file: non-blank lines that chunks cover (all of them), chunks whose text is not their lines, chunks of several
     lines over the size limit, chunks that start no later than the one before."""
-    from pyspark.sql import Window as W
-
-    chunks, lines = _cut(spark, d), chunking.lines(prose(spark, d))
-    spread = chunks.select("project_id", "path", "chunk_index", F.explode(F.sequence("start_line", "end_line")).alias("line_no"))
-    covered = lines.join(spread.select("project_id", "path", "line_no").distinct(), ["project_id", "path", "line_no"]).filter(F.col("line").rlike(r"\S"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n")
-    source = spread.join(lines, ["project_id", "path", "line_no"]).groupBy("project_id", "path", "chunk_index").agg(text.alias("source"))
-    order = W.partitionBy("project_id", "path").orderBy("chunk_index")
-    checked = chunks.join(source, ["project_id", "path", "chunk_index"], "left").withColumn("before", F.lag("start_line").over(order))
-    wrong = checked.groupBy("project_id", "path").agg(
-        F.count_if(~F.col("content").eqNullSafe(F.col("source"))).cast("int").alias("wrong_text"),
-        F.count_if((F.char_length("content") + 1 > 600) & (F.col("end_line") > F.col("start_line"))).cast("int").alias("too_long"),
-        F.count_if(F.col("start_line") <= F.col("before")).cast("int").alias("stuck"),
+    by = ["project_id", "path"]
+    # lines and chunks meet in the row of their file; rows of one path are added up
+    files = chunking.chunk_lists(prose(spark, d), 600, 2).select(*by, "chunks", T.once(lines=T.lines_of(F.col("content"))))
+    size = lambda c: c["end_line"] - c["start_line"] + 1
+    numbers = F.array_distinct(F.flatten(F.transform("chunks", lambda c: F.sequence(c["start_line"], c["end_line"]))))
+    source = lambda c: F.array_join(F.slice("lines", c["start_line"], size(c)), "\n")
+    faults = {
+        "wrong_text": lambda c, n: ~c["content"].eqNullSafe(source(c)),
+        "too_long": lambda c, n: (F.char_length(c["content"]) + 1 > 600) & (size(c) > 1),
+        "stuck": lambda c, n: (n > 0) & (c["start_line"] <= F.get("chunks", n - 1)["start_line"]),
+    }
+    counted = files.select(
+        *by, F.size(F.filter(numbers, lambda n: F.get("lines", n - 1).rlike(r"\S"))).alias("covered"), *(F.size(F.filter("chunks", f)).alias(name) for name, f in faults.items())
     )
-    return covered.groupBy("project_id", "path").agg(F.count(F.lit(1)).alias("covered")).join(wrong, ["project_id", "path"], "left")
+    out = counted.groupBy(by).agg(F.sum("covered").alias("covered"), *(F.sum(name).cast("int").alias(name) for name in faults))
+    return out.filter("covered > 0")
 
 
 @query(f"""WITH {PROSE}, {LINES} SELECT project_id, path, md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5 FROM lines WHERE regexp_matches(line, '[^[:space:]]') GROUP BY ALL""")

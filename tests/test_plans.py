@@ -120,3 +120,16 @@ def test_tokens_are_counted_in_their_rows(spark, tmp_path):
     want = {(1, "red", 2), (1, "fish", 2), (None, "blue", 2), (None, "fishred", 1), (None, "fish", 1), (None, "red", 1)}
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_files_and_chunks_meet_in_their_row(spark):
+    """chunk_invariants compares the lines of a file with its chunks without a join, and adds up rows of one path."""
+    from corpusjobs.plans import chunk_queries
+
+    plan = chunk_queries.chunk_invariants(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    from corpusjobs.operators import chunking
+
+    found = chunking.chunk_lists(spark.createDataFrame([("p", "a.txt", "a\n\nb\n"), ("p", "b.txt", None), ("p", "c.txt", " \n")], "project_id string, path string, content string"), 3, 0)
+    got = {r["path"]: [tuple(c) for c in r["chunks"]] for r in found.collect()}
+    assert got == {"a.txt": [(1, 2, "a\n"), (3, 3, "b")], "b.txt": [], "c.txt": []}

@@ -404,11 +404,29 @@ def test_many_files_are_read_at_once():
 
     for kinds in (["symbol", "call", "import"], ["import"], ["call"], ["symbol"]):
         assert found(files + odd, kinds) == sorted(wanted(files + odd, kinds), key=repr)
-        with mock.patch.object(codeparse, "rows_of", side_effect=AssertionError("one by one")):
+        with mock.patch.object(codeparse, "rows_of_whole", side_effect=AssertionError("one by one")):
             assert {r[1] for r in found(files, kinds)} == set(kinds)
     assert found([], ["call"]) == []
 
 
+def test_prose_is_not_learnt():
+    """Shapes that come once, lines that tell nothing and files whose first line is no Python are not parsed piece by piece."""
+    from unittest import mock
+
+    prose = "".join(f"A {w} of words\nand, {w}; more.\n" for w in ("red", "fine old", "very long and new"))
+    for shapes in (codeparse._PYTHON, codeparse._SCRIPT, S._LINES, S._STATEMENTS):
+        shapes.known.clear()
+        getattr(shapes, "forms", {}).clear()
+    with mock.patch.object(codeparse.ast, "parse", wraps=codeparse.ast.parse) as parse:
+        assert codeparse.columns_of([prose] * 1, ["a.py"], ["call"])[0].to_pylist() == []
+        assert [c[:2] for c in S.chunks_of(prose, ".py", 1500, 0)] == [c[:2] for c in S.chunks_of(prose, ".js", 1500, 0)] == [(1, 6)]
+    assert all(len(call.args[0]) < 20 for call in parse.call_args_list)
+    assert codeparse.columns_of([prose], ["a.js"], ["call"])[0].to_pylist() == [] and not codeparse._SCRIPT.known and not S._STATEMENTS.known and len(S._LINES.known) == 1
+    for deep in ("-" * 20_000 + "x\n", "9" * 9000 + "\n", "x y\0\n"):
+        assert S.chunks_of(deep, ".py", 1500, 0)[0][:2] == (1, 1) and codeparse.rows_of_whole(deep, "a.py") == []
+    assert S.chunks_of("class A:\n  x = 1\nb = 2\n", ".py", 12, 0)[0][3] == "A"
+
+
 def test_segments_are_cut_by_shapes():
     """Lines and statements that differ in names are read once, with the segments that whole files give; classes that are too large go by member."""
     from unittest import mock
