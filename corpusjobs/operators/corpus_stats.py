@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from corpusjobs.operators import bm25
 from corpusjobs.sources import sinks
-from corpusjobs.sources.checkpoints import settled
+from corpusjobs.sources.checkpoints import settled, written
 
 DF, SIZES = "project_id string, term string, df long", "project_id string, n long, tokens long"
 
 
 def _postings(chunks: DataFrame) -> DataFrame:
-    return chunks.select("project_id", "path", "chunk_id", "start_line").join(bm25.chunk_terms(chunks), ["project_id", "chunk_id"])
+    return bm25.term_counts(chunks, ["project_id", "path", "chunk_id", "start_line"], "search_text")
 
 
 def _counts(postings: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,9 @@ def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def update(spark: SparkSession, chunks: DataFrame, touched: DataFrame, root: str, batch: str, buckets: int = sinks.BUCKETS) -> None:
     """Take in a batch: the files `touched` (project_id, path) now have just the chunks given (project_id, path, chunk_id, start_line, search_text)."""
-    new = settled(_postings(chunks))
+    if sinks.is_done(spark, f"{root}/df", batch) and sinks.is_done(spark, f"{root}/postings", batch):
+        return  # repeated after it was written
+    new = written(_postings(chunks), "postings")
     files = touched.select("project_id", "path").unionByName(new.select("project_id", "path")).distinct()
     if not sinks.is_done(spark, f"{root}/df", batch):
         old = settled(sinks.stored_files(spark, f"{root}/postings", files, buckets)) if sinks.exists(spark, f"{root}/postings") else new.limit(0)

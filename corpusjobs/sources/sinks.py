@@ -56,23 +56,30 @@ def write_files(spark: SparkSession, new: DataFrame, root: str, touched: DataFra
     if batch is not None and is_done(spark, root, batch):
         return False
     named = new.withColumn("bucket", bucket(F.col("path"), buckets))
+    within = [c for c in ("path", "start_line", "chunk_index", "line") if c in named.columns]
+
+    def put(rows: DataFrame) -> None:
+        dealt = rows.repartition("project_id", "bucket").sortWithinPartitions("project_id", "bucket", *within)
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "bucket").parquet(root)
+
     keys = named.select("project_id", "bucket", "path")
     if touched is not None:
         keys = keys.unionByName(touched.select("project_id", "path").withColumn("bucket", bucket(F.col("path"), buckets)).select(keys.columns))
     keys = keys.distinct()
     try:
         old = spark.read.schema(named.schema).parquet(root)
-    except Exception as e:  # noqa: BLE001  the table's first write
+    except Exception as e:  # noqa: BLE001  the table's first write: no row is replaced
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        old = spark.createDataFrame([], named.schema)
+        put(named)
+        if batch is not None:
+            mark_done(spark, root, batch)
+        return True
     parts = keys.select("project_id", "bucket").distinct()
     affected = old.join(parts, ["project_id", "bucket"], "left_semi")
     rows = settled(replaced(affected.select(named.columns), named, also=keys))
     emptied = parts.join(rows.select("project_id", "bucket").distinct(), ["project_id", "bucket"], "left_anti")
-    within = [c for c in ("path", "start_line", "chunk_index", "line") if c in rows.columns]
-    dealt = rows.repartition("project_id", "bucket").sortWithinPartitions("project_id", "bucket", *within)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "bucket").parquet(root)
+    put(rows)
     for r in emptied.collect():  # partitions that lost their last file: at most a few for each upload
         path, fs = _path(spark, f"{root}/project_id={r['project_id']}/bucket={r['bucket']}")
         fs.delete(path, True)

@@ -133,3 +133,23 @@ def test_files_and_chunks_meet_in_their_row(spark):
     found = chunking.chunk_lists(spark.createDataFrame([("p", "a.txt", "a\n\nb\n"), ("p", "b.txt", None), ("p", "c.txt", " \n")], "project_id string, path string, content string"), 3, 0)
     got = {r["path"]: [tuple(c) for c in r["chunks"]] for r in found.collect()}
     assert got == {"a.txt": [(1, 2, "a\n"), (3, 3, "b")], "b.txt": [], "c.txt": []}
+
+
+def test_first_batch_of_a_corpus_is_written_as_it_comes(spark, tmp_path):
+    """Postings follow from the rows of chunks, and a table's first write replaces nothing, so nothing is joined or settled for it; a batch that
+    comes again is not counted anew."""
+    from unittest import mock
+
+    from corpusjobs.operators import corpus_stats
+    from corpusjobs.sources import sinks
+
+    files = spark.createDataFrame([("p", "a.md", "red fish"), ("p", "b.md", "red")], "project_id string, path string, content string")
+    chunks, root = V.whole_chunks(files), str(tmp_path / "corpus")
+    assert "Join" not in plan_of(corpus_stats._postings(chunks))
+    with mock.patch.object(sinks, "settled", side_effect=AssertionError("settled")):
+        corpus_stats.update(spark, chunks, files, root, "first")
+    with mock.patch.object(corpus_stats, "_postings", side_effect=AssertionError("counted anew")):
+        corpus_stats.update(spark, chunks, files, root, "first")
+    df, sizes = corpus_stats.statistics(spark, root)
+    assert {(r["term"], r["df"]) for r in df.collect()} >= {("red", 2), ("fish", 1)} and sizes.first()["n"] == 2
+    assert spark.read.parquet(f"{root}/postings").count() == 2
