@@ -153,3 +153,28 @@ def test_first_batch_of_a_corpus_is_written_as_it_comes(spark, tmp_path):
     df, sizes = corpus_stats.statistics(spark, root)
     assert {(r["term"], r["df"]) for r in df.collect()} >= {("red", 2), ("fish", 1)} and sizes.first()["n"] == 2
     assert spark.read.parquet(f"{root}/postings").count() == 2
+
+
+ODD = ["getUserName of the HTTPServer2 file_path __init__ x1 the_file a é12", "", None, " ", "12ab_3 9x 007 a1B2 _ __ _a A AB ABc", "the_AND Not THE", "naïve ÜBERx y\x00z\tk", "x" * 300 + " fooBar fooBar FOOBAR"]
+
+
+def test_tokens_are_counted_by_batches_of_texts(spark, monkeypatch):
+    """Counts and vectors are those of `text.tokens`, which works through each token as an expression: over a whole corpus that takes most of a query."""
+    import random
+
+    drawn = random.Random(5)
+    texts = ODD + ["".join(drawn.choice("aAbB01_ .é\n") for _ in range(60)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    counted, vector = bm25.term_counts(rows, ["k"], "t"), vectors.hashed(rows, ["k"], "t")
+    assert "lambda" not in plan_of(counted) and "lambda" not in plan_of(vector)
+    want = {k: sorted(x) if x is not None else None for k, x in rows.select("k", T.tokens(F.col("t"))).collect()}
+    got = {r["k"]: (r["length"], r["terms"]) for r in counted.collect()}
+    for k, tokens in want.items():
+        length, terms = got[k]
+        assert length == (len(tokens) if tokens is not None else None)
+        assert sorted(t["term"] for t in terms for _ in range(t["tf"])) == (tokens or []) and len({t["term"] for t in terms}) == len(terms)
+    asked = spark.createDataFrame([("p", "foo"), ("p", "x1"), ("q", "a")], "project_id string, term string")
+    chunks = rows.select(F.lit("p").alias("project_id"), F.col("k").cast("string").alias("chunk_id"), F.col("t").alias("search_text"))
+    some = sorted(map(tuple, bm25.asked_postings(chunks, asked).collect()), key=repr)
+    monkeypatch.setattr(bm25, "TASK_TERMS", 0)
+    assert sorted(map(tuple, bm25.asked_postings(chunks, asked).collect()), key=repr) == some and ("p", "0", 13, "x1", 1) in some
