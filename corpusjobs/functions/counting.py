@@ -119,3 +119,14 @@ def hashed(text: Column, dims: int) -> Column:
         return vectors_of(texts, dims)
 
     return vector(text)
+
+
+def words_among(text: Column, wanted: Broadcast) -> Column:
+    """The different words of a text, cut at white space, that are in `wanted`, a set of words as bytes."""
+
+    @F.arrow_udf(K.ArrayType(K.StringType()))
+    def among(texts: pa.Array) -> pa.Array:
+        found = [list(wanted.value.intersection(t.split())) if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+        return _lists(np.array([len(f) for f in found], np.int64), pa.array([w for f in found for w in f], pa.string()))
+
+    return among(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusjobs.functions import counting
 from corpusjobs.operators.ranking import numbered
 from corpusjobs.sources.checkpoints import settled
 
@@ -15,6 +16,8 @@ REFUSAL = r"(?i)\b(does not|doesn't|do not|don't|no|not)\b[^.]{0,80}\b(contain|i
 
 #: Words of questions that go to every task, at most.
 BROADCAST_WORDS = 1_000_000
+#: Those that go to the tasks that cut files into words, and candidates (with their questions) that go to every task, at most.
+TASK_WORDS, BROADCAST_CANDIDATES = 200_000, 100_000
 
 
 def containing_files(questions: DataFrame, files: DataFrame) -> DataFrame:
@@ -32,15 +35,21 @@ def containing_files(questions: DataFrame, files: DataFrame) -> DataFrame:
     held = files.select("project_id", "path", F.coalesce("content", F.lit("")).alias("content"))
     long_ones, short_ones = asked.filter("size(words) > 0"), asked.filter("size(words) = 0")
     wanted = long_ones.select("project_id", F.explode("words").alias("word")).distinct()
+    few = [r[0] for r in wanted.select("word").distinct().limit(TASK_WORDS + 1).collect()]
+    if len(few) <= TASK_WORDS:  # a file's other words do not become rows
+        own = counting.words_among(F.col("content"), files.sparkSession.sparkContext.broadcast(frozenset(w.encode() for w in few)))
+    else:
+        own = F.array_distinct(F.split("content", r"\s+"))
     small = F.broadcast if wanted.count() <= BROADCAST_WORDS else (lambda x: x)
-    found = held.select("project_id", "path", F.explode(F.array_distinct(F.split("content", r"\s+"))).alias("word")).join(small(wanted), ["project_id", "word"])
-    found = settled(found)
+    found = settled(held.select("project_id", "path", F.explode(own).alias("word")).join(small(wanted), ["project_id", "word"]))
     rarity = found.groupBy("project_id", "word").agg(F.count(F.lit(1)).alias("files"))
     each = long_ones.select("project_id", "question_id", F.explode("words").alias("word")).join(rarity, ["project_id", "word"], "left")
     # a word that no file holds is the rarest, and meets none
     rarest = each.groupBy("project_id", "question_id").agg(F.min_by("word", F.struct(F.coalesce("files", F.lit(0)), "word")).alias("word"))
-    candidates = rarest.join(found, ["project_id", "word"]).select("project_id", "question_id", "path")
-    verified = candidates.join(long_ones.select("project_id", "question_id", "question"), ["project_id", "question_id"]).join(held, ["project_id", "path"])
+    candidates = settled(rarest.join(found, ["project_id", "word"]).select("project_id", "question_id", "path"))
+    posed = candidates.join(long_ones.select("project_id", "question_id", "question"), ["project_id", "question_id"])
+    # texts stay where they are while the questions that meet them are few
+    verified = (F.broadcast(posed) if candidates.count() <= BROADCAST_CANDIDATES else posed).join(held, ["project_id", "path"])
     out = verified.filter(F.contains("content", F.col("question"))).select("project_id", "question_id", "path")
     if short_ones.limit(1).count():
         sizes = short_ones.select("project_id", F.char_length("question").alias("n")).distinct()

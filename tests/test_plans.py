@@ -178,3 +178,18 @@ def test_tokens_are_counted_by_batches_of_texts(spark, monkeypatch):
     some = sorted(map(tuple, bm25.asked_postings(chunks, asked).collect()), key=repr)
     monkeypatch.setattr(bm25, "TASK_TERMS", 0)
     assert sorted(map(tuple, bm25.asked_postings(chunks, asked).collect()), key=repr) == some and ("p", "0", 13, "x1", 1) in some
+
+
+def test_texts_stay_where_they_are_for_few_questions(spark, monkeypatch):
+    """A file gives rows for asked words alone, cut in its row, and its content is not shuffled to meet the questions that it may hold."""
+    from corpusjobs.operators import evaluation
+
+    files = spark.createDataFrame([("p", "a", "x red fish y\n"), ("p", "b", "red fish red  fish"), ("p", "c", None), ("q", "a", "x red fish y")], "project_id string, path string, content string")
+    asked = spark.createDataFrame([("1", "p", "red fish y"), ("2", "p", "fish red  fish"), ("3", "p", "not red here")], "question_id string, project_id string, question string")
+    found = evaluation.containing_files(asked, files)
+    texts = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line and "content" in line]
+    assert texts == [] and "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    monkeypatch.setattr(evaluation, "TASK_WORDS", 0)
+    monkeypatch.setattr(evaluation, "BROADCAST_CANDIDATES", 0)
+    assert sorted(map(tuple, evaluation.containing_files(asked, files).collect())) == got == [("p", "1", "a"), ("p", "2", "b")]
