@@ -442,3 +442,22 @@ def test_segments_are_cut_by_shapes():
                 assert S.chunks_of(code, ext, size, 0) == found
     labels = [label for _, _, _, label in S.chunks_of(python, ".py", 1, 0)]
     assert labels.count("C_bb.m_bb") == 4 and labels.count("f_ccc") == 3
+
+
+def test_lines_that_tell_nothing_are_not_cut_into_tokens(monkeypatch):
+    """Prose under the name of a script is not taken apart; rows and cuts are those of reading every line."""
+    from corpusjobs.functions import tokens_of_code
+
+    words = ["class", "C", "import", "export", "default", "function", "f", "(", ")", "{", "}", ";", "=>", "const", "x", "=", "from", '"m"', ",", "//", "/*", "*/", "static", "fun", "<", ">", "letter", "$let", "é", "new", "public", "`", "require", ".", "async", "void"]
+    draw = random.Random(11)
+    texts = ["\n".join(draw.choice(["", " ", "  "]) + " ".join(draw.choice(words) for _ in range(draw.randint(0, 7))) for _ in range(draw.randint(1, 14))) for _ in range(3000)]
+    texts += ["import {\n  a,\n  b\n} from 'x'\nf()", "export {\na }\nfrom 'x'", "void f()\n;\n{\n}", "class A\n{\n  m() {\n  }\n}\n", "function f()\nplain\n;\n{ g() }"]
+    got = [(list(codeparse.brace_rows(t, f"a/b{e}", e)), S.brace_segments(S.lines_of(t))) for t in texts for e in (".js", ".ts", ".java", ".kt", ".go", ".c")]
+    read = []
+    monkeypatch.setattr(codeparse, "tokens_of", lambda lines: read.append([x for x in lines if x]) or tokens_of_code.tokens_of(lines))
+    list(codeparse.brace_rows("All of this is prose.\nLetters call it function so.\nsee (here)\n" * 50, "a.js", ".js"))
+    assert read == [["see (here)"] * 50]
+    monkeypatch.setattr(codeparse, "telling", lambda lines: lines)
+    monkeypatch.setattr(S, "telling", lambda lines, ends: lines)
+    assert got == [(list(codeparse.brace_rows(t, f"a/b{e}", e)), S.brace_segments(S.lines_of(t))) for t in texts for e in (".js", ".ts", ".java", ".kt", ".go", ".c")]
+    assert sum(len(r) for r, _ in got) > 3000
