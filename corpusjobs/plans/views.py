@@ -47,7 +47,7 @@ def whole_chunks(files: DataFrame) -> DataFrame:
     """A chunk for each file."""
     from corpusjobs.functions import text as T
 
-    n = F.size(T.lines_of(F.col("content")))
+    n = T.line_count(F.col("content"))
     none = F.lit(None).cast("string")
     return files.select(
         "project_id", "path", F.lit(0).alias("chunk_index"), F.lit(1).alias("start_line"), n.alias("end_line"), "content", none.alias("symbol"),
