@@ -103,7 +103,7 @@ def project_files(spark: SparkSession, d: str) -> DataFrame:
     doc = F.col("doc_id")
     folder = F.regexp_replace("path", "[^/]+$", "")
     name = F.when(doc % 31 == 0, "README.md").when(doc % 31 == 1, "package.json").when(doc % 31 == 2, "main.py").when(doc % 31 == 3, "Index.js")
-    return V.files(spark, d).select("project_id", F.when(doc % 31 <= 3, F.concat(doc.cast("string"), F.lit("/"), folder, name)).otherwise(F.col("path")).alias("path"), "content", F.size(T.lines_of(F.col("content"))).alias("lines"))
+    return V.files(spark, d).select("project_id", F.when(doc % 31 <= 3, F.concat(doc.cast("string"), F.lit("/"), folder, name)).otherwise(F.col("path")).alias("path"), "content", T.line_count(F.col("content")).alias("lines"))
 
 
 PROJECT = V.FILES.replace("files AS (", "files0 AS (") + """, files AS (SELECT project_id, CASE WHEN doc_id % 31 <= 3 THEN doc_id || '/' || regexp_replace(path, '[^/]+$', '') || ['README.md', 'package.json', 'main.py', 'Index.js'][CAST(doc_id % 31 + 1 AS INT)] ELSE path END AS path, content FROM files0),

@@ -42,3 +42,8 @@ def _same(spark, tables, name):
 @pytest.mark.parametrize("name", CHUNKS)
 def test_whole_chunks(spark, tables, name):
     _same(spark, tables, name)
+
+
+@pytest.mark.parametrize("name", ["prioritized_files", "project_trees"])
+def test_files_of_projects(spark, tables, name):
+    _same(spark, tables, name)
