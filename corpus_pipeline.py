@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusjobs.llm import decontam, exact_dedup, near_copies, packing, quality
-from corpusjobs.llm.common import read_table, shared_checkpoints
+from corpusjobs.llm.common import freed, read_table, shared_checkpoints
 from corpusjobs.llm.queries import vocabulary
 
 
@@ -80,7 +80,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{n}")
+        with freed(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{n}")
         if n:
             _remove(spark, f"{base}/{n - 1}")
         docs = spark.read.parquet(f"{base}/{n}")

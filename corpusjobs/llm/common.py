@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusjobs.sources.checkpoints import settled, shared_checkpoints  # noqa: F401
+from corpusjobs.sources.checkpoints import freed, settled, shared_checkpoints  # noqa: F401
 
 #: Bytes of the separators that count as white space in the text contracts: space and \x09 to \x0D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"

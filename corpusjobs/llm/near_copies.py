@@ -13,12 +13,12 @@ A text is the set of hashes of its `SHINGLE`-word shingles. Two texts are linked
 * That may miss pairs. So where the links found join a large bucket's documents into several groups, all its pairs of documents of
   different groups are looked at (`across`), by bitmaps that rule out most: no two groups stay apart that a similar pair
   joins. Pairs within a group need no link. This is quadratic in the documents of a bucket that are in none of its large groups, in
-  blocks of `BLOCK` documents, so no task holds a bucket.
+  blocks of `BLOCK` documents, so no task holds a bucket. Blocks meet in rounds: what is sent at once is a few times the bitmaps.
 
 SimHash finds candidates as well, by op 10's tree of vantage points: documents with fingerprints a bit or two apart. They take in
 long documents with small changes, whatever their buckets.
 
-Candidates are verified on the whole sets before connected components join the links.
+Candidates are verified, by bitmaps and then on the whole sets, before connected components join the links.
 
 Edge cases: null, empty and blank texts are one set and linked; texts shorter than a shingle have one, the whole
 sequence; texts of any length count with all their shingles; a similarity of just 4/5 is a link; repeated rows share their
@@ -29,6 +29,7 @@ are carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,11 @@ SHINGLE, BUCKET = 5, 64
 #: Sampled documents, sampled documents that make an element common, and common elements at most.
 SAMPLE, COMMON, MAX_COMMON = 2048, 20, 100_000
 #: Documents of a large bucket that a task compares with as many others, and bits of a set's bitmap: of the smallest and of the largest sets.
-BLOCK, BITS = 512, (512, 16_384)
+BLOCK, BITS = 2048, (512, 16_384)
+#: Bitmaps that blocks send in a round: so many times the different ones, and this many at least.
+ROUND, LEAST_ROUND = 4, 1 << 20
+#: Numbers of documents whose texts are asked for that are broadcast, at most; with more, texts are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -67,6 +72,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
 
 
+def _asked(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts with one of some distinct doc_ids. Texts stay where they are while these are few."""
+    ids = cut(ids)
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def common_elements(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(elements, sorted; sampled documents with each) of the elements that many sampled documents hold."""
     picked = cut(docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
@@ -112,8 +123,10 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
 def _bucketed(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows in buckets of several by the columns `by`, with the bucket's size and its smallest document (doc_id, n)."""
-    buckets = rows.groupBy(by).agg(F.count(F.lit(1)).alias("in_bucket"), F.min(F.struct("doc_id", "n")).alias("first")).filter("in_bucket > 1")
-    return rows.join(buckets, by)
+    # by a window rows cross the network once; a bucket that does not fit into memory is spilled
+    bucket = W.partitionBy(*by)
+    held = {"in_bucket": F.count(F.lit(1)).over(bucket), "first": F.min(F.struct("doc_id", "n")).over(bucket)}
+    return rows.withColumns(held).filter("in_bucket > 1")
 
 
 def _pairs(rows: DataFrame, by: list[str], shared: int, bucket: int) -> DataFrame:
@@ -132,7 +145,7 @@ def _to_first(rows: DataFrame, bucket: int) -> DataFrame:
 
 def buckets(docs: DataFrame) -> DataFrame:
     """The rows of all prefixes in buckets of several documents, written."""
-    return cut(_bucketed(cut(prefixes(docs)), ["key"]))
+    return cut(_bucketed(prefixes(docs), ["key"]))
 
 
 def candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -165,12 +178,29 @@ def bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view("<u8")
 
 
+def bitmaps(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, n, bits: the size and the bitmap of the sets of some documents (doc_id; distinct), written."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits"])
+
+    return cut(_asked(texts, ids).select("doc_id", "text").mapInArrow(bits, "doc_id long, n long, bits binary"))
+
+
 def _folded(words: np.ndarray, width: int) -> np.ndarray:
     while words.shape[1] > width:
         words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
     return words
 
 
+def _differ(x: np.ndarray, y: np.ndarray) -> int:
+    width = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(_folded(x, width) ^ _folded(y, width)).sum())
+
+
 def possible(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> Iterator[tuple[int, int]]:
     """Places in left and right, (sizes, groups, bitmaps of one width) each, of what is in different groups and may be similar.
 
@@ -224,23 +254,34 @@ def across(texts: DataFrame, rows: DataFrame, found: DataFrame, bucket: int = BU
     other = blocks.select("key", *(F.col(c).alias(f"other_{c}") for c in ("block", "low", "high")))
     meet = cut(blocks.join(other, "key").filter("block <= other_block and (low < other_high or other_low < high)").select("key", F.col("block").alias("i"), F.col("other_block").alias("j")))
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "bits"])
-
-    asked = placed.select("doc_id").distinct()
-    known = cut(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(bits, "doc_id long, n long, bits binary"))
-    first = meet.withColumns({"block": F.col("i"), "second": F.lit(False)})
-    rest = meet.filter("i < j").withColumns({"block": F.col("j"), "second": F.lit(True)})
-    sides = placed.join(first.unionByName(rest), ["key", "block"]).join(known, "doc_id").select("key", "i", "j", "second", "doc_id", "component", "n", "bits")
-    return cut(sides.groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long").distinct())
+    known = bitmaps(texts, placed.select("doc_id").distinct())
+    rows = meet.join(placed.groupBy("key", "block").agg(F.count(F.lit(1)).alias("size")), (placed["key"] == meet["key"]) & F.col("block").isin(F.col("i"), F.col("j")))
+    rounds = -(-(rows.agg(F.sum("size")).first()[0] or 0) // max(LEAST_ROUND, ROUND * known.count())) or 1
+    found = []
+    for k in range(rounds):
+        now = meet.filter(F.pmod(F.xxhash64("key", "i", "j"), F.lit(rounds)) == k)
+        first = now.withColumns({"block": F.col("i"), "second": F.lit(False)})
+        rest = now.filter("i < j").withColumns({"block": F.col("j"), "second": F.lit(True)})
+        sides = placed.join(first.unionByName(rest), ["key", "block"]).join(known, "doc_id").select("key", "i", "j", "second", "doc_id", "component", "n", "bits")
+        found.append(cut(sides.groupBy("key", "i", "j").applyInArrow(_compared, "a long, b long").distinct()))
+    return cut(reduce(DataFrame.unionByName, found).distinct()) if rounds > 1 else found[0]
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b: those of written pairs whose sets are similar."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """a, b: those of written pairs whose sets are similar. Bitmaps, a tenth of the sets, rule out most others before sets are sent."""
+
+    def rule_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, m = (batch.column(c).to_numpy() for c in (2, 4))
+            x, y = ([np.frombuffer(b, "<u8")[None] for b in batch.column(c).to_pylist()] for c in (3, 5))
+            differ = np.array([_differ(a, b) for a, b in zip(x, y)], np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array((9 * differ <= n + m) & (5 * m >= 4 * n) & (5 * n >= 4 * m)))
+
+    ids = lambda rows: rows.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    known = bitmaps(texts, ids(pairs))
+    one, two = (known.select(F.col("doc_id").alias(p), F.col("n").alias(f"n_{p}"), F.col("bits").alias(f"bits_{p}")) for p in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    pairs = cut(both.mapInArrow(rule_out, "a long, b long"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -252,7 +293,7 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
             left, right = ([np.frombuffer(x, np.int64) for x in batch.column(c).to_pylist()] for c in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(left, right)], pa.bool_()))
 
-    known = cut(texts.join(asked, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(sets, "id long, elements binary"))
+    known = cut(_asked(texts, ids(pairs)).select("doc_id", "text").mapInArrow(sets, "id long, elements binary"))
     one = known.select(F.col("id").alias("a"), F.col("elements").alias("x"))
     two = known.select(F.col("id").alias("b"), F.col("elements").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")

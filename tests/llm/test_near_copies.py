@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusjobs.llm import near_copies, simhash
@@ -125,3 +126,29 @@ def test_bitmaps_rule_out_no_similar_pair():
             got = list(near_copies.possible((np.array([len(base)]), np.array([0]), a[None]), (np.array([len(more)]), np.array([1]), b[None])))
             assert got or not near_copies.similar(base, more)
             assert not got or share > 0.5 or size < 3
+
+
+def test_disk_of_a_stage_is_freed_and_blocks_meet_in_rounds(spark, monkeypatch):
+    """What a settled table shuffled is gone; texts are not shuffled for a few asked ones; many small rounds find what one finds."""
+    import time
+
+    from corpusjobs.sources.checkpoints import CLEANUP, settled
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: folder.getAllFiles().size()
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    kept = settled(spark.range(20_000).groupBy((F.col("id") % 7000).alias("k")).count())
+    ends = time.time() + 20
+    while files() > before and time.time() < ends:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANUP, "false") == setting and kept.count() == 7000
+
+    words = [f"w{n}" for n in range(40)]
+    rows = [(n, " ".join(words + [f"x{n // 2}y{k}" for k in range(60 + n % 2)])) for n in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plan = near_copies._asked(docs, spark.range(3).withColumnRenamed("id", "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+    want = sorted(r[0] for r in near_copies.one_of_each(docs, 10).select("doc_id").collect())
+    for name, value in (("BLOCK", 16), ("ROUND", 0), ("LEAST_ROUND", 400)):
+        monkeypatch.setattr(near_copies, name, value)
+    assert want == sorted(r[0] for r in near_copies.one_of_each(docs, 10).select("doc_id").collect()) == list(range(0, 300, 2))
